@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 SLICES = 2_000
 
 
@@ -20,14 +21,11 @@ def _spread(value: Column) -> Column:
     return F.signum(value) * F.sqrt(F.sqrt(F.abs(value)))
 
 
-def quantile_name(prefix: str, q: float) -> str:
-    return f"{prefix}{round(q * 100, 4):g}".replace(".", "_")
-
-
 def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float],
               slices: int = SLICES) -> DataFrame:
     """Linear-interpolated exact quantiles per group: one column per entry of
-    `probs` (name -> probability), plus `n_values`. NULL and NaN are skipped."""
+    `probs` (name -> probability), plus `n_values`. NULL and NaN values are
+    skipped, and so are NULL groups."""
     groups = list(groups)
     keys = groups or ["_all"]
     if not groups:
@@ -41,12 +39,12 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_total"))
     scale = F.nullif(_spread(F.col("_hi")) - _spread(F.col("_lo")), F.lit(0.0))
     index = F.floor((_spread(F.col("_v")) - _spread(F.col("_lo"))) / scale * F.lit(float(slices)))
-    placed = counts.join(bounds, _same(counts, bounds, keys), "inner").select(
-        *[counts[k] for k in keys], "_v", "_c", "_total",
+    placed = counts.join(bounds, keys).select(
+        *keys, "_v", "_c", "_total",
         F.least(F.coalesce(index, F.lit(0)), F.lit(slices - 1)).alias("_s"))
 
     per_slice = placed.groupBy(*keys, "_s").agg(
-        F.sum("_c").alias("_sc"), F.first("_total").alias("_total"))
+        F.sum("_c").alias("_sc"), F.max("_total").alias("_total"))
     w = Window.partitionBy(*keys).orderBy("_s")
     ranked = per_slice.withColumn("_end", F.sum("_sc").over(w)).withColumn(
         "_start", F.col("_end") - F.col("_sc"))
@@ -58,10 +56,8 @@ def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str,
     near = ranked.where(wanted).select(*keys, "_s", "_start")
 
     inside = Window.partitionBy(*keys, "_s").orderBy("_v")
-    cond = _same(placed, near, [*keys, "_s"])
     candidates = (
-        placed.join(near, cond, "inner")
-        .select(*[placed[k] for k in keys], placed["_s"], "_v", "_c", "_total", "_start")
+        placed.join(near, [*keys, "_s"])
         .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
         .withColumn("_from", F.col("_to") - F.col("_c"))
     )
@@ -91,9 +87,3 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, flo
     """Quantiles of several columns in one pass: one row per column."""
     return quantiles(melt(df, [], columns), ["column"], "value", probs)
 
-
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond

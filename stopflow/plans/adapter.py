@@ -59,7 +59,35 @@ class Tables:
             F.when(~no_measure, (eid % 11) * 0.6).alias("precipitation"),
             F.when(~no_measure, (eid % 60).cast("double")).alias("snow_depth"),
             (F.col("user_id") % 7).cast("int").alias("train_class_code"),
-            "k", "user_id", "event_type",
+            "k", "user_id", "event_type", (F.floor("value").cast("int") - 110).alias("delay_int"),
+        )
+
+    @cached_property
+    def feed(self) -> DataFrame:
+        """The same stops with the raw text columns of the country feeds."""
+        s, k = F.col("seq"), F.col("k")
+
+        def pick(n: int, *texts):
+            return F.get(F.array(*[F.lit(x) for x in texts]), (s % n).cast("int"))
+
+        return self.stops.select(
+            "*",
+            F.when(s % 17 == 0, "N").when(s % 19 == 0, "S").when(s % 23 == 0, "abc").when(s % 29 == 0, None)
+            .when(s % 31 == 0, " 7 ").otherwise(F.col("delay_int").cast("string")).alias("arrival_text"),
+            F.when(s % 37 == 0, "N").when(s % 41 == 0, "S").otherwise((F.col("delay_int") + 1).cast("string")).alias("departure_text"),
+            pick(10, " ec ", "FR", "ic", "Sprinter", "Intercity direct", "P", "mus", "XYZ", "", "REG").alias("type_text"),
+            pick(11, "Sunny", "cloudy", " light rain ", "moderate rain", "HEAVY RAIN", "light snow", "moderate snow",
+                 "heavy snow", "hail", "partially cloudy", None).alias("weather_text"),
+            pick(6, "true", "False", "TRUE", "1", "0", "maybe").alias("bool_text"),
+            F.when(s % 43 == 0, "true").otherwise("false").alias("full_text"),
+            F.concat(k, F.lit(","), s % 10).alias("distance_text"),
+            F.when(s % 3 == 0, F.concat(k, F.lit("min"))).when(s % 3 == 1, F.concat(F.lit("ca "), k, F.lit(" min")))
+            .otherwise(F.concat(k, F.lit(" of 60 min"))).alias("duration_text"),
+            F.when(s % 25 == 0, "2024/13/40").otherwise(F.concat_ws(
+                "/", F.year("date"), F.month("date"), F.dayofmonth("date"))).alias("slash_text"),
+            F.concat(F.lit(" st "), k).alias("code_text"),
+            F.concat(k, F.lit(", "), (k + 1) % 100, F.lit(",zz")).alias("codes_text"),
+            F.when(s % 47 == 0, F.lit(None).cast("double")).otherwise((s % 900).cast("double")).alias("visibility"),
         )
 
     @cached_property
@@ -175,9 +203,25 @@ _CTE = {
                CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 11 AS DOUBLE) * 0.6::DOUBLE END AS precipitation,
                CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 60 AS DOUBLE) END AS snow_depth,
                CAST(user_id % 7 AS INTEGER) AS train_class_code, k, user_id, event_type,
+               CAST(floor(value) AS INTEGER) - 110 AS delay_int,
                CAST(COALESCE(CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN NULL ELSE value - 110 END > 5, false)
                     OR (event_type = 'error' AND event_id % 10 = 0) AS INTEGER) AS y_stop
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)"""),
+    "feed": ("stops", """
+        SELECT *, CASE WHEN seq % 17 = 0 THEN 'N' WHEN seq % 19 = 0 THEN 'S' WHEN seq % 23 = 0 THEN 'abc' WHEN seq % 29 = 0 THEN NULL
+                    WHEN seq % 31 = 0 THEN ' 7 ' ELSE CAST(delay_int AS VARCHAR) END AS arrival_text,
+               CASE WHEN seq % 37 = 0 THEN 'N' WHEN seq % 41 = 0 THEN 'S' ELSE CAST(delay_int + 1 AS VARCHAR) END AS departure_text,
+               [' ec ', 'FR', 'ic', 'Sprinter', 'Intercity direct', 'P', 'mus', 'XYZ', '', 'REG'][seq % 10 + 1] AS type_text,
+               ['Sunny', 'cloudy', ' light rain ', 'moderate rain', 'HEAVY RAIN', 'light snow', 'moderate snow', 'heavy snow',
+                'hail', 'partially cloudy', NULL][seq % 11 + 1] AS weather_text,
+               ['true', 'False', 'TRUE', '1', '0', 'maybe'][seq % 6 + 1] AS bool_text,
+               CASE WHEN seq % 43 = 0 THEN 'true' ELSE 'false' END AS full_text,
+               k || ',' || (seq % 10) AS distance_text,
+               CASE seq % 3 WHEN 0 THEN k || 'min' WHEN 1 THEN 'ca ' || k || ' min' ELSE k || ' of 60 min' END AS duration_text,
+               CASE WHEN seq % 25 = 0 THEN '2024/13/40' ELSE year(date) || '/' || month(date) || '/' || day(date) END AS slash_text,
+               ' st ' || k AS code_text, k || ', ' || ((k + 1) % 100) || ',zz' AS codes_text,
+               CASE WHEN seq % 47 <> 0 THEN CAST(seq % 900 AS DOUBLE) END AS visibility
+        FROM stops"""),
     "services": ("stops", """
         SELECT service_id, date, train_class_code, max(y_stop) AS is_disrupted FROM stops GROUP BY ALL"""),
     "hops": ("stops", """
