@@ -98,9 +98,9 @@ def italy_stations(ops: DataFrame, master: DataFrame, mileage: DataFrame, ref_en
     """Stations by name: early mean delay, degree from route neighbours, coordinates."""
     measured = ops.where(F.col("station_name").isNotNull()).groupBy("station_name").agg(
         _history("arrival_delay", "cancelled", "date", ref_end).alias("avg_historical_delay"))
-    degree = adjacency_from_order(
-        mileage, ["train_id"], ["station_order", "station_name"], "station_name").groupBy(
-        F.col("station_from").alias("station_name")).agg(F.count(F.lit(1)).alias("degree"))
+    pairs = consecutive_pairs(mileage, ["train_id"], ["station_order", "station_name"], "station_name").select("a", "b").distinct()
+    degree = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(
+        F.col("a").alias("station_name")).agg(F.countDistinct("b").alias("degree"))
     coords = master.groupBy(C.code("name").alias("station_name")).agg(
         F.min("lat").alias("lat"), F.min("lon").alias("lon"))
     out = measured.join(coords, "station_name", "left").join(degree, "station_name", "left")

@@ -65,7 +65,7 @@ def scale(df: DataFrame, statistics: DataFrame, columns: Sequence[str], suffix:
 # -- sampling --------------------------------------------------------------------
 
 def _mix(ids: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(i) for i in ids], F.lit(seed))
+    return F.md5(F.concat_ws("|", *[F.col(i).cast("string") for i in ids], F.lit(str(seed))))
 
 
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:

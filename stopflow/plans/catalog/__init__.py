@@ -1,3 +1,3 @@
 """All registered queries, grouped by the part of the blueprint they cover."""
 
-from stopflow.plans.catalog import cleaning, features  # noqa: F401
+from stopflow.plans.catalog import cleaning, features, tables  # noqa: F401
