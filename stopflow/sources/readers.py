@@ -15,16 +15,25 @@ from stopflow.functions import constants as K
 from stopflow.operators.parse import rename_known
 from stopflow.sources import schemas
 
-FILE = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, encoding: str | None = None) -> DataFrame:
+def source_file(pattern: str = r"([^/]+)$"):
+    """Part of the input path that names the file (or the folder of its parts)."""
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
+def csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, encoding: str | None = None) -> DataFrame:
+    """CSV with a header. A schema declares types by *name*; columns of the file
+    it does not know stay text. Only the header line is read to plan this."""
     reader = spark.read.option("header", True)
     if encoding:
         reader = reader.option("encoding", encoding)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    plain = reader.csv(path)
+    if schema is None:
+        return plain
+    known = {f.name: f.dataType for f in schema}
+    typed = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in plain.columns])
+    return reader.schema(typed).csv(path)
 
 
 def in_window(date: str = "date", start=K.WINDOW_START, end=K.WINDOW_END):
@@ -36,9 +45,9 @@ def operations(spark: SparkSession, path: str, start=K.WINDOW_START, end=K.WINDO
     return csv(spark, path, schemas.OPERATIONS).where(in_window("date", start, end))
 
 
-def load_log(df: DataFrame, kept) -> DataFrame:
+def load_log(df: DataFrame, kept, pattern: str = r"([^/]+)$") -> DataFrame:
     """Per file: rows read, rows kept, and kept rows so far (files in name order)."""
-    per_file = df.groupBy(FILE.alias("file")).agg(
+    per_file = df.groupBy(source_file(pattern).alias("file")).agg(
         F.count(F.lit(1)).alias("raw_rows"), F.count_if(kept).alias("kept_rows"))
     return per_file.withColumn("cum_kept", F.sum("kept_rows").over(Window.orderBy("file")))
 
@@ -51,12 +60,12 @@ def yearly_files(folder: str, start=K.WINDOW_START, end=K.WINDOW_END) -> list[st
 def finland(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly FI files, all text, with the name of their file."""
     raw = csv(spark, yearly_files(folder))
-    return raw.withColumn("file", FILE)
+    return raw.withColumn("file", source_file(r"(matched_data_[^/]+)"))
 
 
 def netherlands_services(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly NL files: renamed, filtered by date, delays and cancellation parsed."""
-    raw = csv(spark, f"{folder}/services-2024-*").withColumn("file", FILE)
+    raw = csv(spark, f"{folder}/services-2024-*").withColumn("file", source_file(r"(services-2024-[^/]+)"))
     df = rename_known(raw, K.NL_HEADERS)
     df = df.withColumn("date", F.col("date").try_cast("date")).where(in_window())
     flags = cancellation_sources(df)
