@@ -1,3 +1,3 @@
 """All registered queries, grouped by the part of the blueprint they cover."""
 
-from stopflow.plans.catalog import cleaning, evaluation, features, files, graph, profiles, tables  # noqa: F401
+from stopflow.plans.catalog import cleaning, evaluation, features, files, graph, models, profiles, tables  # noqa: F401

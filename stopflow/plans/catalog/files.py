@@ -251,3 +251,16 @@ def s21(t: Tables):
     rows = readers.csv(t.spark, f"{folder}/*").agg(F.count(F.lit(1)).alias("n")).scalar()
     return checked.agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.sum("size_ok").cast("int").alias("n_size_ok"),
                        F.sum("md5_ok").cast("int").alias("n_md5_ok")).withColumn("n_rows", rows)
+
+
+@query("s2_stream_load", """
+    SELECT count(*) AS raw_rows, count(*) FILTER (WHERE date <= DATE '2024-01-15') AS kept_rows, count(*) FILTER (WHERE date <= DATE '2024-01-15') AS stored_rows FROM stops""")
+def s2_stream(t: Tables):
+    from stopflow.sources.schemas import OPERATIONS
+    from stopflow.streaming.ingest import load, operations_stream
+
+    stream = operations_stream(t.spark, _operations(t), OPERATIONS, end=date(2024, 1, 15), files_per_batch=2)
+    out = scratch_path(t.spark, "streamed")
+    log = load(stream, out, scratch_path(t.spark, "offsets"))
+    stored = t.spark.read.parquet(out).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return log.agg(F.sum("raw_rows").alias("raw_rows"), F.sum("kept_rows").alias("kept_rows")).withColumn("stored_rows", stored)
