@@ -20,7 +20,7 @@ def consecutive_pairs(df: DataFrame, key: Sequence[str], order: Sequence[str], s
     axis = at if isinstance(at, Column) else seconds(at) if at else F.col(order[0]).cast("double")
     columns = [station] + ([distance] if distance else [])
     slim = df.select(*dict.fromkeys([*key, *order, *columns]), axis.alias("_axis"))
-    scanned = keyed_scan(tag_slices(slim, key, F.col("_axis")), key, order, nxt=columns)
+    scanned = keyed_scan(tag_slices(slim, key, F.col("_axis")), order, nxt=columns).df
     gap = F.abs(F.col(f"next_{distance}") - F.col(distance)) if distance else F.lit(0.0)
     return scanned.where(F.col("_rn") < F.col("_n") - 1).select(
         F.col(station).alias("a"), F.col(f"next_{station}").alias("b"), gap.alias("d"))

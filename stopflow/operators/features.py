@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
-from stopflow.operators.scan import drop_tags, keyed_scan, seconds, tag_slices
+from stopflow.operators.scan import Sliced, keyed_scan, seconds, tag_slices
 
 SERVICE = ["service_id"]
 ORDER = ["scheduled_time", "seq"]
@@ -33,7 +33,7 @@ def _minutes(start: str, end: str) -> Column:
 
 # -- inside a service ----------------------------------------------------------
 
-def _tagged(df: DataFrame, key: Sequence[str], at: str | Column) -> DataFrame:
+def _tagged(df: DataFrame, key: Sequence[str], at: str | Column) -> Sliced:
     return tag_slices(df, key, seconds(at) if isinstance(at, str) else at)
 
 
@@ -55,9 +55,8 @@ def stop_position(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[s
                   time: str | None = "scheduled_time", at: Column | None = None) -> DataFrame:
     """Order, count, normalised position, first/last flags, minutes since the first stop."""
     tagged = _tagged(df, key, time if at is None else at)
-    scanned = keyed_scan(tagged, key, order, lows=[time] if time else [])
-    out = scanned.withColumns(_position_columns(time))
-    return drop_tags(out.drop(f"low_{time}"))
+    scanned = keyed_scan(tagged, order, lows=[time] if time else []).plain
+    return scanned.withColumns(_position_columns(time)).drop(f"low_{time}", "_rn", "_n")
 
 
 def stop_time(df: DataFrame, time: str = "scheduled_time", date: str = "date") -> DataFrame:
@@ -103,23 +102,23 @@ def service_identity(df: DataFrame, services: DataFrame, edges: DataFrame,
                      key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
                      time: str = "scheduled_time") -> DataFrame:
     """Class, country, stop count, route duration and distance, running distance."""
-    tagged = _tagged(df, key, time)
-    scanned = keyed_scan(tagged, key, order, prev=["station_id"], lows=[time], tops=[time])
+    scanned = keyed_scan(_tagged(df, key, time), order, prev=["station_id"], lows=[time], tops=[time])
     duration = _zero(_minutes(f"low_{time}", f"top_{time}"))
-    placed = scanned.withColumns({"service_n_stops": F.col("_n"), "service_scheduled_duration_min": duration})
-    placed = placed.drop("_rn", "_n", f"low_{time}", f"top_{time}")
-    routed = _route(with_segment_km(placed, edges), key, order)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"service_n_stops": F.col("_n"), "service_scheduled_duration_min": duration})
+        return with_segment_km(rows.drop("_rn", "_n", f"low_{time}", f"top_{time}"), edges)
+
     dim = services.groupBy("service_id").agg(F.min("train_class_code").alias("_class"))
-    out = drop_tags(routed).join(dim, "service_id", "left")
+    out = _route(scanned.map(placed), order).join(dim, "service_id", "left")
     return out.withColumns({
         "train_class_code": F.coalesce("_class", F.lit(K.OTHER_CLASS)),
         "country": C.country_of("station_id"),
     }).drop("_class", "prev_station_id", "seg_km")
 
 
-def _route(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    scanned = keyed_scan(df, key, order, sums=["seg_km"])
-    return scanned.withColumns({
+def _route(sliced: Sliced, order: Sequence[str]) -> DataFrame:
+    return keyed_scan(sliced, order, sums=["seg_km"]).plain.withColumns({
         "cum_distance_km": F.col("before_seg_km") + F.col("seg_km"),
         "service_route_distance_km": F.col("total_seg_km"),
     }).drop("before_seg_km", "total_seg_km", "_rn", "_n")
@@ -132,11 +131,11 @@ def _delta(c: str) -> Column:
 def weather_delta(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
                   time: str = "scheduled_time") -> DataFrame:
     """Change of severity and wind against the previous stop of the service."""
-    scanned = keyed_scan(_tagged(df, key, time), key, order, prev=["weather_severity", "wind_speed"])
-    return drop_tags(scanned.withColumns({
+    scanned = keyed_scan(_tagged(df, key, time), order, prev=["weather_severity", "wind_speed"]).plain
+    return scanned.withColumns({
         "delta_severity_vs_prev_stop": _delta("weather_severity"),
         "delta_wind_vs_prev_stop": _delta("wind_speed"),
-    }).drop("prev_weather_severity", "prev_wind_speed"))
+    }).drop("prev_weather_severity", "prev_wind_speed", "_rn", "_n")
 
 
 _INFLIGHT_COLUMNS = {
@@ -151,17 +150,16 @@ def inflight(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] =
     """Delay at the previous stop, running sum and running maximum over earlier
     stops. A missing delay counts as 0; the maximum never falls below 0."""
     base = df.withColumn("_d", _zero("delay_minutes"))
-    scanned = keyed_scan(_tagged(base, key, time if at is None else at), key, order,
-                         prev=["_d"], sums=["_d"], peaks=["_d"])
+    scanned = keyed_scan(_tagged(base, key, time if at is None else at), order, prev=["_d"], sums=["_d"], peaks=["_d"]).plain
     out = scanned.withColumns({k: v() for k, v in _INFLIGHT_COLUMNS.items()})
-    return drop_tags(out.drop("_d", "prev__d", "before__d", "total__d", "peak__d"))
+    return out.drop("_d", "prev__d", "before__d", "total__d", "peak__d", "_rn", "_n")
 
 
 def previous_label(df: DataFrame, label: str = "y_stop", key: Sequence[str] = SERVICE,
                    order: Sequence[str] = ("stop_order",)) -> DataFrame:
     """Label of the previous stop; the first stop of a service is dropped."""
-    scanned = keyed_scan(tag_slices(df, key, F.col(order[0]).cast("double")), key, order, prev=[label])
-    return drop_tags(scanned.where(F.col("_rn") > 0).withColumnRenamed(f"prev_{label}", "prev_y"))
+    scanned = keyed_scan(tag_slices(df, key, F.col(order[0]).cast("double")), order, prev=[label]).plain
+    return scanned.where(F.col("_rn") > 0).withColumnRenamed(f"prev_{label}", "prev_y").drop("_rn", "_n")
 
 
 # -- across days ----------------------------------------------------------------
@@ -249,20 +247,22 @@ def assemble(stops: DataFrame, services: DataFrame, stations: DataFrame, edges:
     position, weather deltas and inflight features; one join per history grain."""
     base = stops.withColumn("_d", _zero("delay_minutes")).drop("train_class_code", "country")
     scanned = keyed_scan(
-        _tagged(base, key, time), key, order,
+        _tagged(base, key, time), order,
         prev=["station_id", "weather_severity", "wind_speed", "_d"],
         sums=["_d"], peaks=["_d"], lows=[time], tops=[time])
     duration = _zero(_minutes(f"low_{time}", f"top_{time}"))
-    placed = scanned.withColumns({
+    derived = {
         **_position_columns(time),
         **{k: v() for k, v in _INFLIGHT_COLUMNS.items()},
         "delta_severity_vs_prev_stop": _delta("weather_severity"),
         "delta_wind_vs_prev_stop": _delta("wind_speed"),
         "service_n_stops": F.col("_n").cast("double"),
         "service_scheduled_duration_min": duration,
-    }).drop("_rn", "_n", "_d", "prev__d", "before__d", "total__d", "peak__d", f"low_{time}", f"top_{time}",
-            "prev_weather_severity", "prev_wind_speed")
-    routed = drop_tags(_route(with_segment_km(placed, edges), key, order)).drop("prev_station_id", "seg_km")
+    }
+    spent = ["_rn", "_n", "_d", "prev__d", "before__d", "total__d", "peak__d", f"low_{time}", f"top_{time}",
+             "prev_weather_severity", "prev_wind_speed"]
+    placed = scanned.map(lambda rows: with_segment_km(rows.withColumns(derived).drop(*spent), edges))
+    routed = _route(placed, order).drop("prev_station_id", "seg_km")
 
     classes = services.groupBy("service_id").agg(F.min("train_class_code").alias("_class"))
     out = routed.join(classes, "service_id", "left").withColumns({
@@ -272,7 +272,8 @@ def assemble(stops: DataFrame, services: DataFrame, stations: DataFrame, edges:
     out = stop_time(station_static(out, stations, betweenness), time)
     out = out.withColumn("train_key", C.train_key("service_id", "country"))
 
-    keyed = stops.withColumn("train_key", C.train_key("service_id", C.country_of("station_id")))
+    keyed = stops.select("service_id", "station_id", "date", "delay_minutes", *[c for c in ("cancelled",) if c in stops.columns],
+                         C.train_key("service_id", C.country_of("station_id")).alias("train_key"))
     daily_station = daily_rates(keyed, ["station_id"])
     lags = station_lag(daily_station)
     station_day = lags.join(neighbour_lag(lags, edges), ["station_id", "date"], "left")
@@ -281,10 +282,11 @@ def assemble(stops: DataFrame, services: DataFrame, stations: DataFrame, edges:
     else:
         station_day = station_day.withColumn("station_n_active_faults_14d", F.lit(0.0))
     out = attach(out, station_day, ["station_id", "date"])
-    out = attach(out, train_lag(daily_rates(keyed, ["train_key"])), ["train_key", "date"])
-    out = attach(out, train_station_lag(daily_rates(keyed, ["train_key", "station_id"])),
-                 ["train_key", "station_id", "date"])
-    return out.drop("train_key")
+    # Both train histories meet at their own narrow grain, so that the wide stop
+    # rows are shuffled once for them.
+    trains = train_station_lag(daily_rates(keyed, ["train_key", "station_id"])).join(
+        train_lag(daily_rates(keyed, ["train_key"])), ["train_key", "date"], "left")
+    return attach(out, trains, ["train_key", "station_id", "date"]).drop("train_key")
 
 
 # -- causes ------------------------------------------------------------------------

@@ -1,27 +1,34 @@
-"""Ordered scans within a key (position, previous row, running totals) that
+"""Ordered scans within a key (position, neighbouring row, running totals) that
 survive a hot key.
 
-A plain `Window.partitionBy(key)` puts all rows of a key into one task. Here
-the few keys that hold a noticeable share of the rows are cut into slices of
-their own time range first. The window runs per (key, slice); what a slice
-needs to know about the slices before it is one summary row, brought back by a
-join. Both helper tables have a proven size: with at most `SLICES` slices over
-all hot keys and at most `HOT_SHARE` hot keys, they never exceed
-`SLICES + HOT_SHARE` rows, which is why they may be broadcast.
+A plain `Window.partitionBy(key)` puts all rows of a key into one task. That is
+the right plan while every key is small, so `tag_slices` checks first: one count,
+and, for large tables only, one aggregate of rows per key. Keys which hold a
+noticeable share of the rows are then cut into slices of their own time range.
+The window runs per (key, slice); what a slice needs to know about the slices
+before it is one summary row, brought back by a join.
+
+Both helper tables have a proven size: at most `HOT_SHARE` keys can each hold
+more than 1/HOT_SHARE of the rows, and together they get at most
+`SLICES + HOT_SHARE` slices. That is why those two may be broadcast. A slice
+boundary only affects how work is spread, never the result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows (and at least
-# HOT_ROWS rows, below which one task copes easily).
+from stopflow.session import checkpointed
+
+# A key is hot when it holds more than 1/HOT_SHARE of all rows and more than
+# HOT_ROWS rows, below which one task copes easily.
 HOT_SHARE = 10_000
 HOT_ROWS = 1_000_000
-# Target size of a slice is 1/SLICES of all rows.
+# No slice is planned larger than 1/SLICES of all rows (or HOT_ROWS / 4).
 SLICES = 100_000
 
 
@@ -31,36 +38,56 @@ def seconds(ts: str | Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
-def tag_slices(df: DataFrame, key: Sequence[str], at: Column,
-               hot_rows: int | None = None) -> DataFrame:
-    """Add `_hot` and `_slice`. Rows of ordinary keys are all in slice 0."""
-    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+@dataclass(frozen=True)
+class Sliced:
+    """A frame ready for `keyed_scan`; `hot` says whether `_slice` exists."""
+
+    df: DataFrame
+    key: tuple[str, ...]
+    hot: bool
+
+    def map(self, fn: Callable[[DataFrame], DataFrame]) -> Sliced:
+        """Apply row-wise steps or joins that keep `_hot` and `_slice`."""
+        return Sliced(fn(self.df), self.key, self.hot)
+
+    @property
+    def plain(self) -> DataFrame:
+        return self.df.drop("_hot", "_slice") if self.hot else self.df
+
+
+def hot_keys(df: DataFrame, key: Sequence[str], at: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Hot keys with the start and width of their slices, or None."""
+    total = df.count()
+    if total <= hot_rows:
+        return None
+    limit = max(hot_rows, total // HOT_SHARE)
+    slice_rows = max(hot_rows // 4, total // SLICES, 1)
     per_key = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_from"), F.max(at).alias("_to"))
-    total = per_key.agg(F.sum("_rows").alias("t")).scalar()
-    limit = F.greatest(F.lit(hot_rows), F.floor(total / F.lit(HOT_SHARE)))
-    slices = F.greatest(F.lit(1), F.ceil(F.col("_rows") * F.least(
-        F.lit(SLICES), F.ceil(total / F.lit(max(1, hot_rows // 4)))) / total))
-    hot = (
-        per_key.where(F.col("_rows") > limit)
-        .select(*key, "_from", slices.cast("double").alias("_slices"),
-                ((F.col("_to") - F.col("_from")) / slices).alias("_width"))
-    )
+    n = F.ceil(F.col("_rows") / slice_rows)
+    hot = per_key.where(F.col("_rows") > limit).select(
+        *key, "_from", n.cast("double").alias("_slices"), ((F.col("_to") - F.col("_from")) / n).alias("_width"))
+    hot = checkpointed(hot)
+    return None if hot.isEmpty() else hot
+
+
+def tag_slices(df: DataFrame, key: Sequence[str], at: Column, hot_rows: int | None = None) -> Sliced:
+    """Prepare a frame for `keyed_scan`. `at` must be a numeric value that grows
+    with the scan order; rows of ordinary keys are all in slice 0."""
+    hot = hot_keys(df, key, at, HOT_ROWS if hot_rows is None else hot_rows)
+    if hot is None:
+        return Sliced(df, tuple(key), False)
     placed = df.join(F.broadcast(hot), list(key), "left")
     index = F.floor((at - F.col("_from")) / F.nullif(F.col("_width"), F.lit(0.0)))
     index = F.greatest(F.lit(0), F.least(F.coalesce(index, F.lit(0)), F.col("_slices") - 1))
-    return (
-        placed.withColumn("_hot", F.col("_slices").isNotNull())
-        .withColumn("_slice", F.coalesce(index, F.lit(0)).cast("long"))
-        .drop("_from", "_slices", "_width")
-    )
+    tagged = placed.withColumns({"_hot": F.col("_slices").isNotNull(), "_slice": F.coalesce(index, F.lit(0)).cast("long")})
+    return Sliced(tagged.select(*df.columns, "_hot", "_slice"), tuple(key), True)
 
 
-def keyed_scan(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], *,
-               prev: Sequence[str] = (), nxt: Sequence[str] = (), sums: Sequence[str] = (),
-               peaks: Sequence[str] = (), lows: Sequence[str] = (),
-               tops: Sequence[str] = ()) -> DataFrame:
-    """Ordered scan over rows tagged by `tag_slices`.
+def keyed_scan(sliced: Sliced, order: Sequence[Column | str], *, prev: Sequence[str] = (), nxt: Sequence[str] = (),
+               sums: Sequence[str] = (), peaks: Sequence[str] = (), lows: Sequence[str] = (),
+               tops: Sequence[str] = ()) -> Sliced:
+    """Ordered scan over the rows of each key.
 
     `order` must be unique within a key. Adds `_rn` (0-based position), `_n`
     (rows of the key) and, per requested column c: `prev_c` / `next_c` (the
@@ -68,69 +95,62 @@ def keyed_scan(df: DataFrame, key: Sequence[str], order: Sequence[Column | str],
     and over the key), `peak_c` (maximum over earlier rows), `low_c` and
     `top_c` (extremes over the key).
     """
-    key = list(key)
+    df, key = sliced.df, list(sliced.key)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    group = Window.partitionBy(*key, "_slice")
+    group = Window.partitionBy(*key, "_slice") if sliced.hot else Window.partitionBy(*key)
     seq = group.orderBy(*order)
     earlier = seq.rowsBetween(Window.unboundedPreceding, -1)
 
-    # One summary row per slice of a hot key.
-    neighbours = list(dict.fromkeys([*prev, *nxt]))
+    inside = {"_rn": F.row_number().over(seq) - 1, "_n": F.count(F.lit(1)).over(group).cast("int")}
+    inside |= {f"prev_{c}": F.lag(c).over(seq) for c in prev}
+    inside |= {f"next_{c}": F.lead(c).over(seq) for c in nxt}
+    inside |= {f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums}
+    inside |= {f"total_{c}": F.sum(c).over(group) for c in sums}
+    inside |= {f"peak_{c}": F.max(c).over(earlier) for c in peaks}
+    inside |= {f"low_{c}": F.min(c).over(group) for c in lows}
+    inside |= {f"top_{c}": F.max(c).over(group) for c in tops}
+    scanned = df.select(*df.columns, *[v.alias(k) for k, v in inside.items()])
+    if not sliced.hot:
+        return Sliced(scanned, sliced.key, False)
+
+    offsets = _offsets(df, key, order, prev, nxt, sums, peaks, lows, tops)
+    joined = scanned.join(F.broadcast(offsets), [*key, "_slice"], "left")
+    zero = F.lit(0)
+    out = {
+        "_rn": (F.col("_rn") + F.coalesce("c_rn", zero)).cast("int"), "_n": F.coalesce("c_n", "_n").cast("int")}
+    out |= {f"prev_{c}": F.when(F.col("_rn") == 0, F.col(f"c_last.{c}")).otherwise(F.col(f"prev_{c}")) for c in prev}
+    out |= {f"next_{c}": F.when(F.col("_rn") == F.col("_n") - 1, F.col(f"c_first.{c}")).otherwise(F.col(f"next_{c}")) for c in nxt}
+    out |= {f"before_{c}": F.col(f"before_{c}") + F.coalesce(f"c_sum_{c}", zero) for c in sums}
+    out |= {f"total_{c}": F.coalesce(f"c_total_{c}", f"total_{c}") for c in sums}
+    out |= {f"peak_{c}": F.greatest(f"c_peak_{c}", f"peak_{c}") for c in peaks}
+    out |= {f"low_{c}": F.coalesce(f"c_low_{c}", f"low_{c}") for c in lows}
+    out |= {f"top_{c}": F.coalesce(f"c_top_{c}", f"top_{c}") for c in tops}
+    return Sliced(joined.select(*df.columns, *[v.alias(k) for k, v in out.items()]), sliced.key, True)
+
+
+def _offsets(df, key, order, prev, nxt, sums, peaks, lows, tops) -> DataFrame:
+    """What each slice of a hot key inherits from its neighbours: one row per slice."""
+    carried = list(dict.fromkeys([*prev, *nxt]))
     aggs = [F.count(F.lit(1)).alias("s_n")]
     aggs += [F.sum(c).alias(f"s_sum_{c}") for c in sums]
     aggs += [F.max(c).alias(f"s_max_{c}") for c in dict.fromkeys([*peaks, *tops])]
     aggs += [F.min(c).alias(f"s_min_{c}") for c in lows]
     if prev:
-        aggs.append(F.max_by(F.struct(*neighbours), F.struct(*order)).alias("s_last"))
+        aggs.append(F.max_by(F.struct(*carried), F.struct(*order)).alias("s_last"))
     if nxt:
-        aggs.append(F.min_by(F.struct(*neighbours), F.struct(*order)).alias("s_first"))
+        aggs.append(F.min_by(F.struct(*carried), F.struct(*order)).alias("s_first"))
     per_slice = df.where("_hot").groupBy(*key, "_slice").agg(*aggs)
     chain = Window.partitionBy(*key).orderBy("_slice")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*key)
-    carried = [F.sum("s_n").over(before).alias("c_rn"), F.sum("s_n").over(whole).alias("c_n")]
+    out = [F.sum("s_n").over(before).alias("c_rn"), F.sum("s_n").over(whole).alias("c_n")]
     for c in sums:
-        carried += [F.sum(f"s_sum_{c}").over(before).alias(f"c_sum_{c}"),
-                    F.sum(f"s_sum_{c}").over(whole).alias(f"c_total_{c}")]
-    carried += [F.max(f"s_max_{c}").over(before).alias(f"c_peak_{c}") for c in peaks]
-    carried += [F.max(f"s_max_{c}").over(whole).alias(f"c_top_{c}") for c in tops]
-    carried += [F.min(f"s_min_{c}").over(whole).alias(f"c_low_{c}") for c in lows]
+        out += [F.sum(f"s_sum_{c}").over(before).alias(f"c_sum_{c}"), F.sum(f"s_sum_{c}").over(whole).alias(f"c_total_{c}")]
+    out += [F.max(f"s_max_{c}").over(before).alias(f"c_peak_{c}") for c in peaks]
+    out += [F.max(f"s_max_{c}").over(whole).alias(f"c_top_{c}") for c in tops]
+    out += [F.min(f"s_min_{c}").over(whole).alias(f"c_low_{c}") for c in lows]
     if prev:
-        carried.append(F.lag("s_last").over(chain).alias("c_last"))
+        out.append(F.lag("s_last").over(chain).alias("c_last"))
     if nxt:
-        carried.append(F.lead("s_first").over(chain).alias("c_first"))
-    offsets = per_slice.select(*key, "_slice", *carried)
-
-    # Inside the slice.
-    inside = [(F.row_number().over(seq) - 1).alias("i_rn"),
-              F.count(F.lit(1)).over(group).alias("i_n")]
-    inside += [F.lag(c).over(seq).alias(f"i_prev_{c}") for c in prev]
-    inside += [F.lead(c).over(seq).alias(f"i_next_{c}") for c in nxt]
-    for c in sums:
-        inside += [F.sum(c).over(earlier).alias(f"i_sum_{c}"), F.sum(c).over(group).alias(f"i_total_{c}")]
-    inside += [F.max(c).over(earlier).alias(f"i_peak_{c}") for c in peaks]
-    inside += [F.max(c).over(group).alias(f"i_top_{c}") for c in tops]
-    inside += [F.min(c).over(group).alias(f"i_low_{c}") for c in lows]
-    scanned = df.select(*df.columns, *inside)
-
-    joined = scanned.join(F.broadcast(offsets), [*key, "_slice"], "left")
-    first_row = F.col("i_rn") == 0
-    last_row = F.col("i_rn") == F.col("i_n") - 1
-    zero = F.lit(0)
-    out = [(F.col("i_rn") + F.coalesce("c_rn", zero)).cast("int").alias("_rn"),
-           F.coalesce("c_n", "i_n").cast("int").alias("_n")]
-    out += [F.when(first_row, F.col(f"c_last.{c}")).otherwise(F.col(f"i_prev_{c}")).alias(f"prev_{c}")
-            for c in prev]
-    out += [F.when(last_row, F.col(f"c_first.{c}")).otherwise(F.col(f"i_next_{c}")).alias(f"next_{c}")
-            for c in nxt]
-    for c in sums:
-        out += [(F.coalesce(f"c_sum_{c}", zero) + F.coalesce(f"i_sum_{c}", zero)).alias(f"before_{c}"),
-                F.coalesce(f"c_total_{c}", f"i_total_{c}").alias(f"total_{c}")]
-    out += [F.greatest(f"c_peak_{c}", f"i_peak_{c}").alias(f"peak_{c}") for c in peaks]
-    out += [F.coalesce(f"c_top_{c}", f"i_top_{c}").alias(f"top_{c}") for c in tops]
-    out += [F.coalesce(f"c_low_{c}", f"i_low_{c}").alias(f"low_{c}") for c in lows]
-    return joined.select(*df.columns, *out)
-
-
-def drop_tags(df: DataFrame) -> DataFrame:
-    return df.drop("_hot", "_slice", "_rn", "_n")
+        out.append(F.lead("s_first").over(chain).alias("c_first"))
+    return per_slice.select(*key, "_slice", *out)

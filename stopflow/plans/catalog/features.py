@@ -149,11 +149,11 @@ def f8(t: Tables):
     WITH {DAILY_SQL.format(src='stops')}, {LAG_SQL},
     nbr AS (SELECT e.station_from AS station_id, l.date, avg(l.station_lag1_rate) AS v
             FROM edges e JOIN lags l ON l.station_id = e.station_to GROUP BY ALL)
-    SELECT seq, round(coalesce(v, 0), 6) AS nbr_lag1_rate FROM stops LEFT JOIN nbr USING (station_id, date)""", "stops edges")
+    SELECT seq, round(coalesce(v, 0) + 1e-9, 6) AS nbr_lag1_rate FROM stops LEFT JOIN nbr USING (station_id, date)""", "stops edges")
 def f9(t: Tables):
     lags = feat.station_lag(feat.daily_rates(t.stops, ["station_id"]))
     out = feat.attach(t.stops.select("seq", "station_id", "date"), feat.neighbour_lag(lags, t.edges), ["station_id", "date"])
-    return _r6(out.select("seq", "nbr_lag1_rate"), "nbr_lag1_rate")
+    return out.select("seq", C.r6(F.col("nbr_lag1_rate") + 1e-9).alias("nbr_lag1_rate"))
 
 
 @query("f10_fault_context", """
@@ -241,7 +241,7 @@ def feature_store(t: Tables):
       coalesce(wind_speed - lag(wind_speed) OVER w, 0)::DOUBLE AS delta_wind_vs_prev_stop,
       round(sl.l1, 6) AS station_lag1_rate, round(sl.l7, 6) AS station_lag7_rate, round(sl.ld, 6) AS station_lag1_avg_delay,
       round(tl.l1, 6) AS train_lag1_rate, round(tl.l7, 6) AS train_lag7_rate, round(xl.l7, 6) AS train_station_lag7_rate,
-      round(coalesce(nb.v, 0), 6) AS nbr_lag1_rate, fc.n::DOUBLE AS station_n_active_faults_14d, """ + INFLIGHT_SQL + """
+      round(coalesce(nb.v, 0) + 1e-9, 6) AS nbr_lag1_rate, fc.n::DOUBLE AS station_n_active_faults_14d, """ + INFLIGHT_SQL + """
     FROM s JOIN stations n ON n.station_id = s.station_id JOIN sl ON sl.station_id = s.station_id AND sl.date = s.date
       JOIN tl ON tl.train_key = s.train_key AND tl.date = s.date
       JOIN xl ON xl.train_key = s.train_key AND xl.station_id = s.station_id AND xl.date = s.date
@@ -251,6 +251,7 @@ def feature_store(t: Tables):
 def f12(t: Tables):
     out = feature_store(t)
     doubles = {f.name for f in out.schema if f.dataType.simpleString() == "double"}
+    out = out.withColumn("nbr_lag1_rate", F.col("nbr_lag1_rate") + 1e-9)
     return out.select("seq", *[F.round(c, 2 if "minute" in c or "duration" in c else 6).alias(c) if c in doubles else F.col(c)
                                for c in ASSEMBLED])
 

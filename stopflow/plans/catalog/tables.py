@@ -215,7 +215,7 @@ def j3(t: Tables):
     from stopflow.operators.features import with_segment_km
     from stopflow.operators.scan import keyed_scan, tag_slices
 
-    hops = keyed_scan(tag_slices(t.stops, ["service_id"], seconds("scheduled_time")), ["service_id"], ["scheduled_time", "seq"], prev=["station_id"])
+    hops = keyed_scan(tag_slices(t.stops, ["service_id"], seconds("scheduled_time")), ["scheduled_time", "seq"], prev=["station_id"]).plain
     return with_segment_km(hops, t.edges).select("seq", "seg_km")
 
 
@@ -448,7 +448,7 @@ def o1(t: Tables):
     from stopflow.operators.scan import keyed_scan, tag_slices
 
     day = F.unix_date("date").cast("double")
-    ranked = keyed_scan(tag_slices(t.stops, ["station_id"], day), ["station_id"], ["date", "delay_int", "seq"])
+    ranked = keyed_scan(tag_slices(t.stops, ["station_id"], day), ["date", "delay_int", "seq"]).plain
     return ranked.select("station_id", "seq", (F.col("_rn") + 1).alias("place"))
 
 
