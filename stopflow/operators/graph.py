@@ -91,7 +91,8 @@ def betweenness_by_source(weighted: DataFrame, stations: DataFrame) -> DataFrame
             for source in batch["station_id"]:
                 for node, share in _dependencies(source, shipped.value).items():
                     total[node] = total.get(node, 0.0) + share
-        yield pd.DataFrame({"station_id": list(total), "score": list(total.values())})
+        if total:
+            yield pd.DataFrame({"station_id": list(total), "score": list(total.values())})
 
     sources = stations.select("station_id").distinct().repartition(context.defaultParallelism * 2, "station_id")
     return sources.mapInPandas(run, "station_id string, score double").groupBy("station_id").agg(

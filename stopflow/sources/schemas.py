@@ -20,8 +20,19 @@ _TYPES = {
 }
 
 
+_CLASSES = {
+    "string": T.StringType(), "int": T.IntegerType(), "smallint": T.ShortType(), "tinyint": T.ByteType(), "double": T.DoubleType(),
+    "float": T.FloatType(), "date": T.DateType(), "boolean": T.BooleanType(),
+}
+
+
+def struct(columns: dict[str, str]) -> T.StructType:
+    """Schema from names and type names; works before any session exists."""
+    return T.StructType([T.StructField(n, _CLASSES[t]) for n, t in columns.items()])
+
+
 def standard(table: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{c} {_TYPES[c]}" for c in K.STANDARD_TABLES[table]))
+    return struct({c: _TYPES[c] for c in K.STANDARD_TABLES[table]})
 
 
 def missing_columns(df: DataFrame, table: str) -> list[str]:
@@ -44,16 +55,22 @@ def empty_faults(spark) -> DataFrame:
 
 
 # Raw IT operations: declared types for the numeric columns, delays as text.
-OPERATIONS = T.StructType.fromDDL(
-    "train_id string, train_number int, train_class string, date date, station_name string, station_order smallint, "
-    "week tinyint, arrival_delay string, departure_delay string, initial_delay string, final_delay string, "
-    "scheduled_running_time string, scheduled_stop_time string, weather string, wind_speed float, "
-    "temperature_min float, temperature_max float, holiday boolean")
+OPERATIONS = struct({
+    "train_id": "string", "train_number": "int", "train_class": "string", "date": "date", "station_name": "string",
+    "station_order": "smallint", "week": "tinyint", "arrival_delay": "string", "departure_delay": "string",
+    "initial_delay": "string", "final_delay": "string", "scheduled_running_time": "string", "scheduled_stop_time": "string",
+    "weather": "string", "wind_speed": "float", "temperature_min": "float", "temperature_max": "float", "holiday": "boolean",
+})
 
 # Predictions, the same for every model.
 PREDICTIONS = ["service_id", "station_id", "country", "date", "train_class_code", "stop_order", "position_norm",
                "y_stop", "delay_min", "p_disrupted", "y_pred"]
 
-WEATHER_PAYLOAD = T.StructType.fromDDL(
-    "station_code string, daily struct<time: array<string>, temperature_2m_mean: array<double>, "
-    "wind_speed_10m_max: array<double>, precipitation_sum: array<double>, snow_depth_max: array<double>>")
+_NUMBERS = T.ArrayType(T.DoubleType())
+WEATHER_PAYLOAD = T.StructType([
+    T.StructField("station_code", T.StringType()),
+    T.StructField("daily", T.StructType([
+        T.StructField("time", T.ArrayType(T.StringType())), T.StructField("temperature_2m_mean", _NUMBERS),
+        T.StructField("wind_speed_10m_max", _NUMBERS), T.StructField("precipitation_sum", _NUMBERS),
+        T.StructField("snow_depth_max", _NUMBERS)])),
+])
