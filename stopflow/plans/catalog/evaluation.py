@@ -49,9 +49,9 @@ def e3(t: Tables):
     return out.withColumns({c: C.r6(c) for c in ("f1", "precision", "recall", "accuracy")})
 
 
-@query("e4_brier", "SELECT model, scenario, round(avg((p_disrupted - y_stop) * (p_disrupted - y_stop)), 6) AS brier FROM runs GROUP BY ALL", "runs")
+@query("e4_brier", "SELECT model, scenario, round(avg((p_disrupted - y_stop) * (p_disrupted - y_stop)) + 1e-9, 6) AS brier FROM runs GROUP BY ALL", "runs")
 def e4(t: Tables):
-    return M.brier(t.runs, RUN, "p_disrupted", "y_stop").withColumn("brier", C.r6("brier"))
+    return M.brier(t.runs, RUN, "p_disrupted", "y_stop").withColumn("brier", C.r6(F.col("brier") + 1e-9))
 
 
 BINS_SQL = """e AS (SELECT model, scenario, quantile_cont(p_disrupted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM runs GROUP BY ALL),
@@ -103,10 +103,10 @@ def e6_position(t: Tables):
     br AS (SELECT model, scenario, avg((p_disrupted - y_stop) * (p_disrupted - y_stop)) AS brier FROM runs GROUP BY ALL),
     ec AS (SELECT model, scenario, avg(abs(share_positive - mean_score)) AS ece FROM b GROUP BY ALL)
     SELECT model, scenario, CAST(n AS BIGINT) AS n, round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc, round(2.0 * tp / (2 * tp + fp + fn), 6) AS f1,
-      round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(brier, 6) AS brier, round(ece, 6) AS ece
+      round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(brier + 1e-9, 6) AS brier, round(ece, 6) AS ece
     FROM a JOIN c USING (model, scenario) JOIN br USING (model, scenario) JOIN ec USING (model, scenario)""", "runs")
 def e6_full(t: Tables):
-    out = M.full_metrics(t.runs, RUN)
+    out = M.full_metrics(t.runs, RUN).withColumn("brier", F.col("brier") + 1e-9)
     return out.withColumns({c: C.r6(c) for c in ("pr_auc", "roc_auc", "f1", "precision", "recall", "brier", "ece")})
 
 

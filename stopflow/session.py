@@ -19,8 +19,13 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Top-n per group is cut inside every input partition up to this n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
+# Aim of one shuffle partition.
+SHUFFLE_PARTITION_BYTES = 256 * 1024 * 1024
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the options the operators rely on to an existing session."""
@@ -30,6 +35,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def options_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and scan sizes for an input of this size: enough shuffle
+    partitions to keep each near 256 MB (adaptive execution merges small ones,
+    it never splits ordinary ones), and larger scan splits for large inputs."""
+    partitions = max(cores * 2, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
+    split = "256m" if input_bytes > 1 << 40 else "128m"
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": split,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    }
+
+
 def local_session(cores: int | str = 8, name: str = "stopflow") -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     spark = (

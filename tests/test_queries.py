@@ -31,3 +31,17 @@ def test_query(spark, con, name):
     if problem == "both empty" and name in MAY_BE_EMPTY:
         return
     assert problem is None, problem
+
+
+SCANNING = ["f1_stop_position", "f4_service_identity", "f5_weather_delta", "f11_inflight", "f11_inflight_volume", "f12_feature_assembly",
+            "f15_previous_label", "b6_it_adjacency", "b7_fi_adjacency", "j3_segment_distance", "o1_stable_sort"]
+
+
+@pytest.mark.parametrize("name", SCANNING)
+def test_query_with_sliced_keys(spark, con, name, monkeypatch):
+    """The same results when nearly every key is treated as hot."""
+    from stopflow.operators import scan
+
+    monkeypatch.setattr(scan, "HOT_ROWS", 2)
+    problem = compare(spark, con, name, queries()[name], oracle_sql()[name], SF_DIR)
+    assert problem is None, problem

@@ -141,3 +141,11 @@ def test_declared_types_follow_names_not_positions(spark, tmp_path):
     spark.sql("SELECT 'x' AS extra, '7' AS train_number, '2024-01-02' AS date").write.option("header", True).csv(str(tmp_path / "ops"))
     row = readers.csv(spark, str(tmp_path / "ops"), schemas.OPERATIONS).first()
     assert (row["extra"], row["train_number"], row["date"]) == ("x", 7, date(2024, 1, 2))
+
+
+def test_partition_sizing():
+    from stopflow.session import options_for
+
+    small, large = options_for(10_000_000, 8), options_for(100 * 10**12, 8000)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    assert int(large["spark.sql.shuffle.partitions"]) * 256 * 1024**2 >= 100 * 10**12
