@@ -214,20 +214,22 @@ def neighbour_lag(lags: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def fault_count(days: DataFrame, faults: DataFrame, first: int = 14, last: int = 1,
-                name: str = "station_n_active_faults_14d", calendar=None) -> DataFrame:
+                name: str = "station_n_active_faults_14d",
+                calendar: tuple | None = (K.WINDOW_START, K.WINDOW_END)) -> DataFrame:
     """Faults at the station in [d-first, d-last] for every (station, day) of `days`.
 
     Faults are counted per day first and meet the stop days in one window, so no
-    stop is ever paired with single faults.
+    stop is ever paired with single faults. With a calendar, faults outside it do
+    not count and days outside it get 0.
     """
     f = faults.where(F.col("station_id").isNotNull() & F.col("date").isNotNull())
-    start, end = calendar or (K.WINDOW_START, K.WINDOW_END)
-    f = f.where(F.col("date").between(F.lit(start), F.lit(end)))
+    known = F.lit(True) if calendar is None else F.col("date").between(F.lit(calendar[0]), F.lit(calendar[1]))
+    f = f.where(known)
     both = f.select("station_id", "date", F.lit(1).alias("_f"), F.lit(0).alias("_day")).unionByName(
         days.select("station_id", "date", F.lit(0).alias("_f"), F.lit(1).alias("_day")))
     merged = both.groupBy("station_id", "date").agg(F.sum("_f").alias("_f"), F.max("_day").alias("_day"))
-    counted = merged.withColumn(name, F.coalesce(
-        F.sum("_f").over(days_before(["station_id"], first, last)), F.lit(0)).cast("double"))
+    window = F.sum("_f").over(days_before(["station_id"], first, last))
+    counted = merged.withColumn(name, F.when(known, F.coalesce(window, F.lit(0))).otherwise(0).cast("double"))
     return counted.where("_day = 1").select("station_id", "date", name)
 
 

@@ -108,7 +108,7 @@ def bridge(flagged: DataFrame, graph: PropertyGraph, faults: DataFrame, days: in
     station, faults reported there in [d-days, d], and its out-neighbours.
     `flagged` carries service_id, station_id, date and the stop's own values."""
     station_days = flagged.select("station_id", "date").distinct()
-    recent = fault_count(station_days, faults, first=days, last=0, name="recent_faults")
+    recent = fault_count(station_days, faults, first=days, last=0, name="recent_faults", calendar=None)
     return (
         flagged.join(graph.stations.select("station_id", F.col("avg_historical_delay").alias("station_avg_delay"), "degree"), "station_id")
         .join(recent, ["station_id", "date"], "left")

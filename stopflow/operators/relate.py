@@ -41,20 +41,21 @@ def recent_faults(stops: DataFrame, faults: DataFrame, days: int = 14) -> DataFr
     """Faults of the inclusive window [d-days, d] at each stop's station. Counted
     per station and day before stops are touched, so hubs do not multiply rows."""
     grain = stops.select("station_id", "date").distinct()
-    counted = fault_count(grain, faults, first=days, last=0, name="recent_faults")
+    counted = fault_count(grain, faults, first=days, last=0, name="recent_faults", calendar=None)
     return stops.join(counted, ["station_id", "date"], "left").withColumn(
         "recent_faults", F.coalesce("recent_faults", F.lit(0.0)).cast("long"))
 
 
-def lookup_name(wanted: DataFrame, names: DataFrame, key: str, name: str, columns: Sequence[str]) -> DataFrame:
-    """Exact match, else the first name (in order) that contains the first word
-    of the wanted one. `wanted` is a short list of names; the partial match is
-    reduced to one row per wanted name while it is joined."""
-    exact = wanted.join(names.select(F.col(name).alias(key), F.struct(name, *columns).alias("_exact")), key, "left")
-    missing = exact.where("_exact IS NULL").select(key, F.element_at(F.split(key, " "), 1).alias("_word"))
-    near = names.join(missing, F.col(name).contains(F.col("_word"))).groupBy(key).agg(
-        F.min(F.struct(name, *columns)).alias("_near"))
-    return exact.join(near, key, "left").select(key, F.coalesce("_exact", "_near").alias("_m")).select(key, "_m.*")
+def lookup_name(names: DataFrame, name: str, wanted: Sequence[str], columns: Sequence[str], key: str = "wanted") -> DataFrame:
+    """Rows of a short list of names: exact match, else the first name (in order)
+    that contains the first word of the wanted one. Every row is tested against
+    the list in place, so no join is needed to find the candidates."""
+    options = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(w.split(" ")[0]).alias("word")) for w in wanted])
+    fits = F.filter(options, lambda o: F.col(name).contains(o["word"]))
+    found = names.withColumn("_o", F.explode(fits)).groupBy(F.col("_o.w").alias(key)).agg(
+        F.min(F.struct((F.col(name) != F.col("_o.w")).cast("int").alias("_rank"), name, *columns)).alias("_m"))
+    asked = names.sparkSession.createDataFrame([(w,) for w in wanted], f"{key} string")
+    return asked.join(found, key, "left").select(key, f"_m.{name}", *[f"_m.{c}" for c in columns])
 
 
 def on_stop(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("service_id", "station_id", "stop_order")) -> DataFrame:

@@ -26,7 +26,7 @@ from stopflow.session import checkpointed
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows and more than
 # HOT_ROWS rows, below which one task copes easily.
-HOT_SHARE = 10_000
+HOT_SHARE = 100_000
 HOT_ROWS = 1_000_000
 # No slice is planned larger than 1/SLICES of all rows (or HOT_ROWS / 4).
 SLICES = 100_000

@@ -391,9 +391,9 @@ def p38(t: Tables):
 def p39(t: Tables):
     from stopflow.operators.relate import lookup_name
 
-    wanted = t.spark.createDataFrame([("ST 7",), ("ST 7 NORD",), ("ST9",), ("9 X",)], "name string")
     names = t.stops.select(F.concat(F.lit("ST "), "k").alias("station_name"), F.col("k").cast("double").alias("lat")).distinct()
-    return lookup_name(wanted, names, "name", "station_name", ["lat"]).select("name", "station_name")
+    out = lookup_name(names, "station_name", ["ST 7", "ST 7 NORD", "ST9", "9 X"], ["lat"], key="name")
+    return out.select("name", "station_name")
 
 
 @query("p40_outcome_tag", """

@@ -246,7 +246,7 @@ def a28(t: Tables):
     return _round(P.frequent_means(t.feed, "weather_text", "delay_minutes", 900), "mean")
 
 
-@query("a29_route_totals", "SELECT service_id, country, sum(k) AS total FROM stops GROUP BY ALL ORDER BY total DESC, service_id, country LIMIT 10")
+@query("a29_route_totals", "SELECT service_id, country, CAST(sum(k) AS BIGINT) AS total FROM stops GROUP BY ALL ORDER BY total DESC, service_id, country LIMIT 10")
 def a29(t: Tables):
     return t.stops.groupBy("service_id", "country").agg(F.sum("k").alias("total")).orderBy(F.desc("total"), "service_id", "country").limit(10)
 

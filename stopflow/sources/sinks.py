@@ -27,6 +27,13 @@ def save_features(df: DataFrame, path: str) -> str:
     return path
 
 
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int, order: Sequence[str] = ()) -> str:
+    """Table bucketed (and sorted) by a key. Scans, windows and joins on that key
+    then need no shuffle; choose `buckets` so that one bucket fits a task."""
+    (df.write.option("path", path).bucketBy(buckets, key).sortBy(*(order or [key])).mode("overwrite").saveAsTable(table))
+    return table
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Rows, label rate, services and dates per split."""
     return df.groupBy("split").agg(

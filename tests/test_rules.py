@@ -149,3 +149,32 @@ def test_partition_sizing():
     small, large = options_for(10_000_000, 8), options_for(100 * 10**12, 8000)
     assert small["spark.sql.shuffle.partitions"] == "16"
     assert int(large["spark.sql.shuffle.partitions"]) * 256 * 1024**2 >= 100 * 10**12
+
+
+def test_bucketed_stops_need_no_shuffle(spark, toy, tmp_path):
+    from stopflow.operators import features as feat
+    from stopflow.sources.sinks import save_bucketed
+
+    save_bucketed(toy["stops"], "stops_by_service", str(tmp_path / "b"), "service_id", 4, ["service_id", "scheduled_time", "seq"])
+    plan = feat.inflight(spark.table("stops_by_service"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    spark.sql("DROP TABLE stops_by_service")
+
+
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    from datetime import date as day
+
+    from stopflow.sources import readers as r
+
+    path = str(tmp_path / "stops")
+    spark.range(10).selectExpr("id AS seq", "DATE'2024-01-05' AS date", "1.0D AS a", "2.0D AS b").write.parquet(path)
+    plan = r.columns(spark, path, ["seq", "date"]).where(r.in_window("date", day(2024, 1, 1), day(2024, 1, 31)))._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date" in plan and "ReadSchema: struct<seq:bigint,date:date>" in plan
+
+
+def test_large_files_are_not_hashed(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("12345")
+    monkeypatch.setattr(readers, "MAX_MD5_BYTES", 3)
+    expected = spark.createDataFrame([("a.csv", 5, "x"), ("gone.csv", 1, "y")], "file string, length long, md5 string")
+    rows = {r["file"]: (r["size_ok"], r["md5_ok"]) for r in readers.verify_files(spark, str(tmp_path), expected).collect()}
+    assert rows == {"a.csv": (1, None), "gone.csv": (0, 0)}
