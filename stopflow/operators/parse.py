@@ -53,7 +53,7 @@ def weather_field(weather: Column, name: str) -> Column:
 def explode_stops(df: DataFrame) -> DataFrame:
     """One row per stop. Stop fields win over train fields of the same name,
     weather fields over both; a train without stops keeps one row."""
-    out = df.withColumn("_stop", F.explode_outer("_stops"))
+    out = df.select("*", F.posexplode_outer("_stops").alias("stop_no", "_stop"))
     taken: dict[str, Column] = {}
     for field in STOP_FIELDS:
         value = F.col(f"_stop.{field}")
@@ -65,7 +65,7 @@ def explode_stops(df: DataFrame) -> DataFrame:
         taken[name] = weather_field(F.col("_stop.weather_observations"), name)
     base = [F.col(c).alias(K.FI_FIELDS.get(c, c)) for c in df.columns
             if c not in ("timeTableRows", "_stops", *STOP_FIELDS)]
-    return out.select(*base, *[v.alias(k) for k, v in taken.items()])
+    return out.select(*base, "stop_no", *[v.alias(k) for k, v in taken.items()])
 
 
 def parse_log(parsed: DataFrame, file: str) -> DataFrame:
