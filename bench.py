@@ -16,10 +16,10 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = [
-    "f12_feature_assembly", "f4_service_identity", "f6_station_lag", "f6_station_lag_volume", "f7_train_lag", "f9_neighbour_signal",
+    "f4_service_identity", "f6_station_lag", "f6_station_lag_volume", "f7_train_lag", "f9_neighbour_signal",
     "f10_fault_context", "f11_inflight", "f11_inflight_volume", "b6_it_adjacency", "j1_stop_grain", "p15_explode_stops",
     "i2_monthly_median", "t4_standard_scaler", "e1_pr_auc", "e6_full_metrics", "a3_describe", "a6_delay_by_supplier_volume",
-    "a25_keywords", "g5_bridge", "g2_betweenness", "x3_importance_by_group",
+    "a25_keywords", "g5_bridge", "g2_betweenness", "x3_importance_by_group", "f12_feature_assembly",
 ]
 
 

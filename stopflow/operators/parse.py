@@ -29,9 +29,8 @@ def _json_tokens(cell: Column) -> Column:
 def stop_list(cell: str | Column) -> Column:
     """Serialised list of stops to an array; a single stop becomes a list of one."""
     text = F.trim(_json_tokens(C.col(cell)))
-    many = F.from_json(text, T.ArrayType(STOP), _OPTIONS)
-    one = F.from_json(text, STOP, _OPTIONS)
-    return F.when(text.startswith("["), many).when(text.startswith("{"), F.array(one))
+    listed = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    return F.from_json(listed, T.ArrayType(STOP), _OPTIONS)
 
 
 def parse_status(cell: str | Column, parsed: Column) -> Column:
