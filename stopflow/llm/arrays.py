@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are turned into numbers at a time; one longer text goes alone.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True

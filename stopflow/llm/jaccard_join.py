@@ -20,9 +20,12 @@ PERCENT = 80
 # Growth of the size bands.
 GROWTH = 1.25
 # Signatures that a task holds before it hands them on, and per bucket.
-TOGETHER = 3_000_000
+TOGETHER = 1_500_000
 PER_BUCKET = 2_000_000
 
+# 64-bit words of the parity bits that tell sets apart without their texts.
+PARITY = 16
+
 _SALT = np.random.default_rng(20240502).integers(0, 1 << 63, 4, dtype=np.uint64)
 
 
@@ -109,6 +112,21 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s ^ _SALT[2]).sum(dtype=np.uint64).astype(np.int64)), int(mix(s + _SALT[3]).sum(dtype=np.uint64).astype(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of 64 PARITY parts is odd. Two sets
+    differ by at least as many shingles as these bits do."""
+    odd = np.bincount((s >> np.uint64(32)) * np.uint64(64 * PARITY) >> np.uint64(32), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_be_linked(percent: int, left: str = "x", right: str = "y") -> F.Column:
+    """False only for sets (columns <side>.n, <side>.bits) whose sizes or parity
+    bits rule a link out."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    apart = sum((F.bit_count(F.get(F.col(f"{left}.bits"), F.lit(k)).bitwiseXOR(F.get(F.col(f"{right}.bits"), F.lit(k)))) for k in range(PARITY)), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch, raw, places in slices(batches, column):
         h, _, _, firsts = words(raw, places)
@@ -116,18 +134,19 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, column: str = "text") ->
 
 
 def classes(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, class_id) of rows (doc_id, text): the smallest id with
-    an equal set; documents without shingles are classes of their own."""
+    """(doc_id, n_shingles, bits, class_id) of rows (doc_id, text): the smallest id
+    with an equal set; documents without shingles are classes of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, size):
             d = [digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())], ["doc_id", "n_shingles", "d1", "d2"])
+            bits = pa.array([parity(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), bits], ["doc_id", "n_shingles", "d1", "d2", "bits"])
 
-    sets = stored(docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long"), "sets")
+    sets = stored(docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bits array<long>"), "sets")
     copies = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     out = sets.join(copies, ["d1", "d2"], "left")
-    return stored(out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("first").isNotNull() & F.col("doc_id").isNotNull(), F.col("first")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
+    return stored(out.select("doc_id", "n_shingles", "bits", F.when((F.col("n_shingles") > 0) & F.col("first").isNotNull() & F.col("doc_id").isNotNull(), F.col("first")).otherwise(F.col("doc_id")).alias("class_id")), "classes")
 
 
 def plan(known: DataFrame, percent: int = PERCENT) -> tuple[list[Band], int]:
@@ -228,8 +247,9 @@ def candidates(docs: DataFrame, bands: list[Band], buckets: int, size: int = WOR
     return packed.groupBy("bucket").applyInArrow(meet, "sig long, a long, b long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b, linked) of pairs (a, b): the sets of both texts compared."""
+def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b, linked) of pairs (a, b): the sets of both texts compared. Only texts
+    that occur in pairs go to the joins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[object, np.ndarray] = (object(), np.zeros(0, np.uint64))
@@ -245,21 +265,23 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int = WORDS, percent: int =
                 linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    texts = stored(docs.join(ids, "doc_id", "left_semi"), "texts")
     b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(run, "a long, b long, linked boolean"), "verified")
 
 
-def _across(met: DataFrame, failed: DataFrame, groups: DataFrame, done: DataFrame) -> DataFrame:
+def _across(met: DataFrame, failed: DataFrame, groups: DataFrame, sketch: DataFrame, done: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a signature at which some pair failed, are in different
-    groups so far and have not been compared."""
-    sigs = met.join(failed.select("a", "b"), ["a", "b"], "left_semi").select("sig").distinct()
+    groups so far, may be linked and have not been compared."""
+    sigs = met.join(failed, ["a", "b"], "left_semi").select("sig").distinct()
     members = met.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
     members = members.join(groups, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("g"))
     mixed = members.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("sig")
-    members = stored(members.join(mixed, "sig", "left_semi"), "mixed")
-    left, right = members.toDF("sig", "i", "gi"), members.toDF("sig", "j", "gj")
-    pairs = left.join(right, "sig").where("gi < gj").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    members = stored(members.join(mixed, "sig", "left_semi").join(sketch, "id"), "mixed")
+    pairs = members.alias("x").join(members.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g")) & may_be_linked(percent))
+    pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     return stored(pairs.join(done, ["a", "b"], "left_anti"), "across")
 
 
@@ -275,7 +297,8 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, doc_id: str
     Equal sets are one class. Classes that share a signature are compared with
     the smallest one that has it; at signatures where such a comparison failed,
     all classes of different groups are compared. So no link between groups is
-    missed, and within a group pairs need not be formed. Shingles are compared
+    missed, and within a group pairs need not be formed. Pairs whose sizes or
+    parity bits exclude a link are not compared. Shingles are compared
     as 64-bit hashes of hashed words.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -288,15 +311,16 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, doc_id: str
     for c in ("a", "b"):
         met = met.join(copies.select(F.col("doc_id").alias(c), F.col("class_id").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
     met = stored(met.select("sig", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "met")
-    pairs = stored(met.select("a", "b").distinct(), "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    texts = stored(rows.join(ids, "doc_id", "left_semi"), "texts")
-    checked = verify(pairs, texts, size, percent)
+    sketch = known.where("class_id = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["id"])
+    pairs = met.select("a", "b").distinct()
+    pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
+    pairs = stored(pairs.select("a", "b", may_be_linked(percent).alias("likely")), "pairs")
+    checked = verify(pairs.where("likely").select("a", "b"), rows, size, percent)
     groups = stored(components(checked.where("linked")), "groups")
-    failed = checked.where("NOT linked")
-    more = _across(met, failed, groups, pairs)
+    failed = pairs.select("a", "b").join(checked.where("linked"), ["a", "b"], "left_anti")
+    more = _across(met, failed, groups, sketch, pairs.select("a", "b"), percent)
     if not more.isEmpty():
-        checked = checked.union(verify(more, texts, size, percent))
+        checked = checked.union(verify(more, rows, size, percent))
         groups = stored(components(checked.where("linked")), "groups")
     out = known.join(groups.select(F.col("id").alias("class_id"), F.col("component_id").alias("_g")), "class_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("_g", "class_id").alias("component_id"))
