@@ -2,32 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stopflow.session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see; the cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame below the shared folder and read it back: later plans start
     from files that outlive any executor."""
-    path = fresh_path(df.sparkSession, name)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopflow.llm import best_fit, embedding_join, host_reputation, jaccard_join, katz, language_mixture, pfair_mix, quality_attention, quality_rules, records
-from stopflow.llm.frames import fold_of, fresh_path, table
+from stopflow.llm.frames import fold_of, table
+from stopflow.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -119,7 +120,7 @@ def op8_quality_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def op9_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = records.write(table(spark, sf_dir, "documents"), fresh_path(spark, "records"))
+    manifest = records.write(table(spark, sf_dir, "documents"), scratch_path(spark, "records"))
     return records.read(manifest, keep_ids=False)
 
 
