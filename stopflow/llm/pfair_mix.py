@@ -20,11 +20,11 @@ MAX_SHARE = 0.25
 NUMBERED_TOGETHER = 20_000
 
 _SIMULATE = """
-aggregate(sequence(0, frame - 1), named_struct('a', array_repeat(0L, size(shares)), 'out', cast(array() as array<int>)),
+if(size(shares) = 0, cast(array() as array<int>), aggregate(sequence(0, frame - 1), named_struct('a', array_repeat(0L, size(shares)), 'out', cast(array() as array<int>)),
   (st, t) -> element_at(transform(array(
-      array_min(transform(filter(sequence(0, size(shares) - 1), s -> st.a[s] < shares[s] and (st.a[s] * frame) div shares[s] <= t),
-                          s -> struct(((st.a[s] + 1) * frame + shares[s] - 1) div shares[s] as deadline, s as s))).s),
-      p -> named_struct('a', transform(st.a, (x, i) -> if(i = p, x + 1, x)), 'out', array_append(st.out, p))), 1)).out
+      array_min(transform(filter(sequence(0, size(shares) - 1), s -> st.a[s] < get(shares, s) and (st.a[s] * frame) div get(shares, s) <= t),
+                          s -> struct(((st.a[s] + 1) * frame + get(shares, s) - 1) div get(shares, s) as deadline, s as s))).s),
+      p -> named_struct('a', transform(st.a, (x, i) -> if(i = p, x + 1, x)), 'out', array_append(st.out, p))), 1)).out)
 """
 
 
