@@ -22,9 +22,9 @@ def corpus(spark):
     rows, i = [], 0
     for s, n in sizes.items():
         for _ in range(n):
-            rows.append((i, s, "text", "clash"))
+            rows.append((i, s, "text", "clash", -1))
             i += 1
-    return spark.createDataFrame(rows, "doc_id long, source string, text string, slot string")
+    return spark.createDataFrame(rows, "doc_id long, source string, text string, slot string, supply long")
 
 
 def test_frame_is_the_simulated_one(corpus):
