@@ -80,21 +80,28 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     table of sources has at most `frame` rows and numbers, so it is broadcast.
     """
     added = ("block_no", "slot", "place", "release", "deadline", "scheduled")
-    docs = docs.drop(*added)
-    plan = F.broadcast(schedule(docs, weights, source, block, frame, max_share).withColumnRenamed("block", "_block"))
-    h = F.xxhash64(F.col(doc_id))
-    parts = F.ceil(F.col("supply") / NUMBERED_TOGETHER).cast("long")
-    rows = docs.join(plan.select("_source", "supply"), F.col(source).eqNullSafe(F.col("_source"))).withColumn("_h", h).withColumn(
-        "_part", F.expr("pmod(_h, greatest(1, cast(ceil(supply / {}) as bigint)))".format(NUMBERED_TOGETHER)))
-    ahead = stored(rows.groupBy("_source", "_part").agg(F.count("*").alias("n")), "parts")
-    ahead = ahead.select(F.col("_source").alias("_s"), F.col("_part").alias("_p"), (F.sum("n").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("_ahead"))
-    within = Window.partitionBy("_source", "_part").orderBy("_h", doc_id)
-    numbered = rows.withColumn("_n", F.row_number().over(within)).drop("supply", "_h")
-    numbered = numbered.join(ahead, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).withColumn("_n", F.col("_ahead") + F.col("_n") - 1).drop("_s", "_p", "_ahead", "_part")
-    ends = plan.where("share > 0").select("*", F.expr("(supply + _block - 1) div _block - 1").alias("_last"))
-    end = ends.where("favoured").agg(F.max(F.expr("_last div share * frame + slots[cast(_last % share as int)]"))).scalar()
-    timed = numbered.join(F.broadcast(plan.select(F.col("_source").alias("_s"), "share", "frame", "slots", "_block")), F.col("_source").eqNullSafe(F.col("_s")))
-    timed = timed.withColumn("block_no", F.expr("_n div _block")).withColumn("place", F.expr("cast(_n % _block as int)"))
-    timed = timed.withColumn("slot", F.expr("if(share > 0, block_no div share * frame + slots[cast(block_no % share as int)], null)"))
-    timed = timed.withColumn("release", F.expr("if(share > 0, block_no * frame div share, null)")).withColumn("deadline", F.expr("if(share > 0, ((block_no + 1) * frame + share - 1) div share, null)"))
-    return timed.withColumn("scheduled", F.coalesce(F.col("slot") <= end, F.lit(False))).drop("_s", "_source", "share", "frame", "slots", "_block", "_n", "_part")
+    docs = docs.drop(*added, *[c for c in docs.columns if c.startswith("_pf_")])
+    plan = schedule(docs, weights, source, block, frame, max_share)
+    plan = F.broadcast(plan.select(*[F.col(c).alias(f"_pf_{c.lstrip('_')}") for c in plan.columns]))
+    mine = F.col(source).eqNullSafe(F.col("_pf_source"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_pf_supply") / NUMBERED_TOGETHER)).cast("long")
+    rows = docs.join(plan, mine).withColumn("_pf_h", F.xxhash64(F.col(doc_id))).withColumn("_pf_part", F.pmod("_pf_h", parts))
+    ahead = stored(rows.groupBy("_pf_source", "_pf_part").agg(F.count("*").alias("n")), "parts")
+    before = Window.partitionBy("_pf_source").orderBy("_pf_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = ahead.select(F.col("_pf_source").alias("_pf_s"), F.col("_pf_part").alias("_pf_p"), (F.sum("n").over(before) - F.col("n")).alias("_pf_ahead"))
+    within = Window.partitionBy("_pf_source", "_pf_part").orderBy("_pf_h", doc_id)
+    # the table of sources is joined again behind the window, so that its arrays are not shuffled
+    slim = rows.select(*docs.columns, "_pf_source", "_pf_part", "_pf_h").withColumn("_pf_row", F.row_number().over(within))
+    numbered = slim.join(ahead, F.col("_pf_source").eqNullSafe(F.col("_pf_s")) & (F.col("_pf_part") == F.col("_pf_p"))).select(
+        *docs.columns, (F.col("_pf_ahead") + F.col("_pf_row") - 1).alias("_pf_n"))
+    last = F.expr("(_pf_supply + _pf_block - 1) div _pf_block - 1")
+    ends = plan.where("_pf_share > 0 AND _pf_favoured").withColumn("_pf_last", last)
+    end = ends.agg(F.max(F.expr("_pf_last div _pf_share * _pf_frame + _pf_slots[cast(_pf_last % _pf_share as int)]"))).scalar()
+
+    def when_shared(sql: str):
+        return F.expr(f"if(_pf_share > 0, {sql}, null)")
+
+    timed = numbered.join(plan, mine).withColumn("block_no", F.expr("_pf_n div _pf_block")).withColumn("place", F.expr("cast(_pf_n % _pf_block as int)"))
+    timed = timed.withColumn("slot", when_shared("block_no div _pf_share * _pf_frame + _pf_slots[cast(block_no % _pf_share as int)]"))
+    timed = timed.withColumn("release", when_shared("block_no * _pf_frame div _pf_share")).withColumn("deadline", when_shared("((block_no + 1) * _pf_frame + _pf_share - 1) div _pf_share"))
+    return timed.withColumn("scheduled", F.coalesce(F.col("slot") <= end, F.lit(False))).select(*docs.columns, *added)

@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value if isinstance(shipped.value, float) else Model(*shipped.value)
-        for batch, raw, places in slices(batches, "_text"):
+        for batch, raw, places in slices(batches, "_mil_text"):
             if isinstance(m, float):
                 s = np.full(len(places) - 1, m)
             else:
@@ -194,6 +194,6 @@ def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: s
                 s = _attend(m, x, begins)[-1]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(s, pa.float64()), pa.array((s >= accept).astype(np.int32))], [*keep, "score", "predicted"])
 
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    rows = docs.select(*keep, F.col(text).alias("_mil_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
