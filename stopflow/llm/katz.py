@@ -18,8 +18,8 @@ from stopflow.llm.packed import bucket_of, cuts, pack, pack_sorted, unpack, unpa
 # Counts up to this one are discounted.
 K = 5
 # Tokens of one chunk of documents, and entries per bucket of a count table.
-CHUNK = 4_000_000
-PER_BUCKET = 1_500_000
+CHUNK = 1_500_000
+PER_BUCKET = 500_000
 # A context with more than 1 / HOT of a bucket's tokens is spread over all buckets.
 HOT = 4
 
@@ -124,7 +124,7 @@ def count_unigrams(encoded: DataFrame, buckets: int) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 vocab = unpack_sorted(row["vocab"])
                 lengths, held = np.asarray(row["lengths"], np.int64), np.asarray(row["held_out"], bool)
                 n = np.bincount(_tokens(row, len(vocab)), weights=np.repeat(~held, lengths), minlength=len(vocab)).astype(np.int64)
@@ -147,6 +147,11 @@ def count_unigrams(encoded: DataFrame, buckets: int) -> DataFrame:
     return stored(asked.groupBy("bucket").applyInArrow(merge, "chunk long, bucket int, ids binary, counts binary, sums array<long>"), "unigrams")
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _table(rows: list[tuple], names: list[str]) -> pa.Table:
     kinds = {"chunk": pa.int64(), "bucket": pa.int32(), "sums": pa.list_(pa.int64())}
     cols = list(zip(*rows))
@@ -209,7 +214,7 @@ def count_bigrams(chunks: DataFrame, t: Totals, starts: int, offsets: np.ndarray
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, counts = _vocabulary(row, offsets)
                 lengths, held = np.asarray(row["lengths"], np.int64), np.asarray(row["held_out"], bool)
                 tokens = _tokens(row, len(ids))
@@ -254,7 +259,7 @@ def count_bigrams(chunks: DataFrame, t: Totals, starts: int, offsets: np.ndarray
             want = want[~is_spread[want]]
             out.append((r["chunk"], bucket, pack(total[g]), pack_sorted(name[want].astype(np.uint64)), pack(met[want].ravel()), pack(big[want]), pack(below[want].view(np.int64)), None))
         s = np.flatnonzero(is_spread)
-        out.append((-2, bucket, b"", pack_sorted(name[s].astype(np.uint64)), pack(met[s].ravel()), pack(big[s]), pack(below[s].view(np.int64)), None))
+        out.append((-2, bucket, pack(np.zeros(0, np.int64)), pack_sorted(name[s].astype(np.uint64)), pack(met[s].ravel()), pack(big[s]), pack(below[s].view(np.int64)), None))
         seen = total > 0
         out.append((-1, bucket, pack(total[seen]), pack_sorted(context[first][seen].astype(np.uint64)), pack(token[first][seen]), b"", b"", _of_counts(total[seen])))
         return _table(out, ["chunk", "bucket", "counts", "context", "met", "big", "below", "sums"])
@@ -334,7 +339,7 @@ def score(docs: DataFrame, held_out: str = "held_out", doc_id: str = "doc_id", t
         start_id = int(offsets[-1])
         base = t.tokens + 0.5 * (t.distinct + 1)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 ids, counts = _vocabulary(row, offsets)
                 lengths = np.asarray(row["lengths"], np.int64)
                 tokens = _tokens(row, len(ids))
