@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Words whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 1_500_000
 
 # Text encoded at a time.
 CHARS = 2_000_000
@@ -30,6 +31,19 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Places(dict):
+    """Place of every piece in a list; a new piece gets the next one."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.fresh.append(piece)
+        return place
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -46,9 +60,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
         self.remembered = remembered
-        # ids of pieces: with their line feed, or without the space before them;
-        # False where a piece does not begin and end with safe characters
-        self.known: dict[str, bytes | bool] = {}
+        # of pieces, with their line feed or without the space before them: ids, or
+        # None where a piece does not begin and end with safe characters
+        self.places = _Places()
+        self.known: list[bytes | None] = []
         # what stands between words encoded together: a line feed where the
         # tokenizer keeps it, else a control character that is a word of its own
         self.line_feed = self._ids(["\n"])[0]
@@ -73,33 +88,44 @@ class Encoder:
             out += [raw[s:e] for s, e in zip(starts, ends)]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > self.remembered:
-            self.known.clear()
-        safe: dict[bool, list[str]] = {False: [], True: []}
-        for p in pieces:
-            at_line = p[:1] == "\n"
-            w = p[1:] if at_line else p
+    def _learn(self) -> None:
+        """Ids of the pieces that were met for the first time."""
+        at_line, words, places = [], [], [[], []]
+        first = len(self.known)
+        self.known += [None] * len(self.places.fresh)
+        for k, p in enumerate(self.places.fresh, first):
+            line = p[:1] == "\n"
+            w = p[1:] if line else p
             if w and _SAFE.match(w[0]) and _SAFE.match(w[-1]) and "\x01" not in w:
-                safe[at_line].append(w)
-            else:
-                self.known[p] = False
-        self.known.update(zip(safe[False], self._words(safe[False], " " if self.line_feed else "")))
-        self.known.update(("\n" + w, self.line_feed + ids) for w, ids in zip(safe[True], self._words(safe[True], "")))
+                (at_line if line else words).append(w)
+                places[line].append(k)
+        for k, ids in zip(places[0], self._words(words, " " if self.line_feed else "")):
+            self.known[k] = ids
+        for k, ids in zip(places[1], self._words(at_line, "")):
+            self.known[k] = self.line_feed + ids
+        self.places.fresh = []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts; call it with batches of some megabytes."""
-        get = self.known.get
+        if len(self.known) > self.remembered:
+            self.places, self.known = _Places(), []
+        place = self.places.__getitem__
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
-        found = [[get(p) for p in pieces[1:]] for pieces in cut]
-        missing = {p for pieces, ids in zip(cut, found) if None in ids for p, i in zip(pieces[1:], ids) if i is None}
-        if missing:
-            self._learn(missing)
-            found = [[get(p) if i is None else i for p, i in zip(pieces[1:], ids)] if None in ids else ids for pieces, ids in zip(cut, found)]
-        # the first piece has no space before it; a text of which a piece is not safe goes whole
-        whole = [False in ids or None in ids or not (p[0] and _SAFE.match(p[0][0]) and _SAFE.match(p[0][-1])) for p, ids in zip(cut, found)]
-        heads = self._ids([t if w else p[0] for t, p, w in zip(texts, cut, whole)])
-        return [h if w else h + b"".join(ids) for h, w, ids in zip(heads, whole, found)]
+        # the first piece has no space before it
+        firsts = [p.pop(0) for p in cut]
+        found = [list(map(place, p)) for p in cut]
+        self._learn()
+        ids_at = self.known.__getitem__
+        heads, rest = [], []
+        for text, first, places in zip(texts, firsts, found):
+            try:
+                ids = b"".join(map(ids_at, places)) if first and _SAFE.match(first[0]) and _SAFE.match(first[-1]) else None
+            except TypeError:
+                # a piece without ids of its own
+                ids = None
+            heads.append(text if ids is None else first)
+            rest.append(ids or b"")
+        return [h + r for h, r in zip(self._ids(heads), rest)]
 
 
 def batches_of_text(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -114,11 +140,11 @@ def batches_of_text(batches: Iterator[pa.RecordBatch], column: str = "text", cha
                 start, size = i + 1, 0
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = Encoder(name)
-    return _ENCODERS[name]
+    """The worker's encoder for a tokenizer file. Functions come to a worker by
+    value, their modules' variables anew for each task; what it keeps from task
+    to task lies in `sys`."""
+    held = sys.__dict__.setdefault("_stopflow_encoders", {})
+    if name not in held:
+        held[name] = Encoder(name)
+    return held[name]
