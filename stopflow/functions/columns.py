@@ -150,10 +150,11 @@ def train_key(service_id: str | Column, country: str | Column) -> Column:
 
 # -- fault texts ----------------------------------------------------------------
 
-def fault_description(cause: str | Column, group: str | Column, width: int = 300) -> Column:
+def fault_description(cause: str | Column, group: str | Column, width: int | None = None) -> Column:
+    """The whole text; cut where a width is given."""
     text = F.concat(F.coalesce(col(cause), F.lit("nan")), F.lit(" | "),
                     F.coalesce(col(group), F.lit("nan")))
-    return F.substring(text, 1, width)
+    return text if width is None else F.substring(text, 1, width)
 
 
 def cause_group(description: str | Column) -> Column:

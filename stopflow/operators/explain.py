@@ -10,7 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopflow.functions import constants as K
 from stopflow.operators.splits import sample_per_group
 
 
@@ -123,13 +122,3 @@ def winner(metrics: DataFrame, groups: Sequence[str], metric: str, name: str = "
     pool = metrics.where(~F.col(name).isin(list(exclude))) if exclude else metrics
     return pool.groupBy(*groups).agg(
         F.min_by(name, F.struct(-F.col(metric), F.col(name))).alias(name), F.max(metric).alias(metric))
-
-
-def lag_columns(columns: Sequence[str]) -> list[str]:
-    from stopflow.operators.guards import is_history_column
-
-    return [c for c in columns if is_history_column(c)]
-
-
-def threshold_default() -> float:
-    return K.THRESHOLDS[9]

@@ -71,7 +71,7 @@ def test_standard_tables(tables):
 def test_store_models_and_reports(spark, tables, tmp_path):
     built = store.build(tables, str(tmp_path / "store"))
     assert len(built.columns["A"]) == 37 and len(built.columns["B"]) == 40
-    assert set(built.columns["B"]) - set(built.columns["A"]) == set(K.INFLIGHT)
+    assert set(built.columns["B"]) - set(built.columns["A"]) == set(K.COLUMN_FAMILY["inflight"])
     assert built.rows.count() == len(DAYS) * 13
     means = built.scaled().where("split = 'train'").agg(F.avg("wind_speed_scaled"), F.stddev_pop("cum_distance_km_scaled")).first()
     assert abs(means[0]) < 1e-9 and means[1] == pytest.approx(1.0)
