@@ -176,23 +176,14 @@ def columns(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     return spark.read.parquet(path).select(*names)
 
 
-# A checksum needs the bytes of a file in one place; larger files are only
-# checked by size and by the fingerprint below.
-MAX_MD5_BYTES = 1 << 30
-
-
-def verify_files(spark: SparkSession, path: str, expected: DataFrame, file=None) -> DataFrame:
-    """Size and checksum of landed files against a manifest (file, length, md5).
-    `md5_ok` is NULL for files too large to be hashed in one piece; their
-    content is never read (the length filter reaches the source)."""
-    name = F.element_at(F.split("path", "/"), -1) if file is None else file
-    files = spark.read.format("binaryFile").load(path)
-    sizes = files.select(name.alias("file"), F.col("length").alias("found_length"))
-    sums = files.where(F.col("length") <= MAX_MD5_BYTES).select(name.alias("file"), F.md5("content").alias("found_md5"))
-    hashable = F.col("found_length") <= MAX_MD5_BYTES
-    return expected.join(sizes, "file", "left").join(sums, "file", "left").select(
-        "file", C.truth(F.col("found_length") == F.col("length")).cast("int").alias("size_ok"),
-        F.when(F.coalesce(hashable, F.lit(True)), C.truth(F.col("found_md5") == F.col("md5")).cast("int")).alias("md5_ok"))
+def verify_files(spark: SparkSession, path: str, expected: DataFrame, pattern: str = r"([^/]+)$") -> DataFrame:
+    """Landed files against a manifest (file, n_lines, n_chars, hash_a, hash_b)
+    made by `fingerprints` at the sender: whole contents, in splittable scans,
+    whatever the size of a file. A missing file fails both checks."""
+    found = fingerprints(spark, path, pattern).toDF("file", "f_lines", "f_chars", "f_a", "f_b")
+    size = (F.col("f_lines") == F.col("n_lines")) & (F.col("f_chars") == F.col("n_chars"))
+    content = (F.col("f_a") == F.col("hash_a")) & (F.col("f_b") == F.col("hash_b"))
+    return expected.join(found, "file", "left").select("file", C.truth(size).cast("int").alias("size_ok"), C.truth(content).cast("int").alias("content_ok"))
 
 
 def fingerprints(spark: SparkSession, path: str, pattern: str = r"([^/]+)$") -> DataFrame:
@@ -201,5 +192,5 @@ def fingerprints(spark: SparkSession, path: str, pattern: str = r"([^/]+)$") ->
     lines = spark.read.text(path).withColumn("file", source_file(pattern))
     h = F.xxhash64("value")
     return lines.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"),
+        F.count(F.lit(1)).alias("n_lines"), F.coalesce(F.sum(F.length("value")), F.lit(0)).alias("n_chars"),
         F.sum(F.pmod(h, F.lit(1_000_003))).alias("hash_a"), F.bit_xor(h).alias("hash_b"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,7 +52,9 @@ def scored(df: DataFrame, probability, threshold: float, model: str, scenario: s
 
 
 def save_predictions(df: DataFrame, path: str) -> str:
-    df.write.mode("append").partitionBy("model", "scenario").parquet(path)
+    """Replaces the runs (model, scenario) that the rows belong to, so that saving
+    a run twice leaves it there once."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "scenario").parquet(path)
     return path
 
 
@@ -90,7 +92,3 @@ def output_summary(tables: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_cols"))
         parts = one if parts is None else parts.unionByName(one)
     return parts
-
-
-def running_total(df: DataFrame, order: str, value: str) -> DataFrame:
-    return df.withColumn(f"cum_{value}", F.sum(value).over(Window.orderBy(order)))

@@ -4,6 +4,7 @@ from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
@@ -15,7 +16,7 @@ from stopflow.sources import readers, schemas
 
 def test_scenario_a_bans_more_than_b():
     assert guards.banned("B") < guards.banned("A")
-    assert set(K.INFLIGHT) == guards.banned("A") - guards.banned("B")
+    assert set(K.COLUMN_FAMILY["inflight"]) == guards.banned("A") - guards.banned("B")
     with pytest.raises(ValueError):
         guards.banned("C")
 
@@ -28,9 +29,9 @@ def test_outcomes_are_banned_everywhere(name):
 
 
 def test_inflight_is_legal_in_b_only():
-    columns = ["stop_order", *K.INFLIGHT, "_meta_run", "y_stop"]
+    columns = ["stop_order", *K.COLUMN_FAMILY["inflight"], "_meta_run", "y_stop"]
     assert guards.legal_columns(columns, "A") == ["stop_order"]
-    assert guards.legal_columns(columns, "B") == ["stop_order", *K.INFLIGHT]
+    assert guards.legal_columns(columns, "B") == ["stop_order", *K.COLUMN_FAMILY["inflight"]]
 
 
 def test_history_columns():
@@ -172,9 +173,32 @@ def test_filters_and_columns_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(date" in plan and "ReadSchema: struct<seq:bigint,date:date>" in plan
 
 
-def test_large_files_are_not_hashed(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.csv").write_text("12345")
-    monkeypatch.setattr(readers, "MAX_MD5_BYTES", 3)
-    expected = spark.createDataFrame([("a.csv", 5, "x"), ("gone.csv", 1, "y")], "file string, length long, md5 string")
-    rows = {r["file"]: (r["size_ok"], r["md5_ok"]) for r in readers.verify_files(spark, str(tmp_path), expected).collect()}
-    assert rows == {"a.csv": (1, None), "gone.csv": (0, 0)}
+def test_landed_files_against_a_manifest(spark, tmp_path):
+    for folder in ("sent", "landed"):
+        (tmp_path / folder).mkdir()
+    for name, text in {"a.csv": "1,2\n3,4\n", "b.csv": "5,6\n", "c.csv": "", "gone.csv": "x\n"}.items():
+        (tmp_path / "sent" / name).write_text(text)
+    for name, text in {"a.csv": "1,2\n3,4\n", "b.csv": "5,7\n", "c.csv": "more\n"}.items():
+        (tmp_path / "landed" / name).write_text(text)
+    manifest = readers.fingerprints(spark, str(tmp_path / "sent"))
+    rows = {r["file"]: (r["size_ok"], r["content_ok"]) for r in readers.verify_files(spark, str(tmp_path / "landed"), manifest).collect()}
+    assert rows == {"a.csv": (1, 1), "b.csv": (1, 0), "gone.csv": (0, 0)}
+
+
+def test_stream_log_holds_every_batch(spark, tmp_path):
+    from stopflow.streaming.ingest import load, operations_stream
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(6):
+        (folder / f"f{i}.csv").write_text(f"seq,date\n{i},2024-01-0{i + 1}\n{i},2023-01-01\n")
+    old = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("date", T.DateType())])
+        stream = operations_stream(spark, str(folder), schema, files_per_batch=1)
+        log = load(stream, str(tmp_path / "out"), str(tmp_path / "offsets")).collect()
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", old)
+    assert [(r["raw_rows"], r["kept_rows"]) for r in sorted(log, key=lambda r: r["batch"])] == [(2, 1)] * 6
+    assert max(r["cum_kept"] for r in log) == 6 == spark.read.parquet(str(tmp_path / "out")).count()
