@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopflow.session import checkpointed
 
-# Up to this many edges the adjacency is shipped to every task; beyond it the
-# same result is computed with joins only.
-MAX_SHIPPED_EDGES = 2_000_000
-
 
 def edge_index(edges: DataFrame, index: DataFrame, key: str = "station_id", number: str = "idx") -> DataFrame:
     """Edges between indexed stations; distance relative to the longest one."""
@@ -34,113 +28,64 @@ def _weighted(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame, stations: DataFrame) -> DataFrame:
     """Weighted directed betweenness, normalised by (n-1)(n-2)."""
-    weighted = _weighted(edges)
-    if weighted.limit(MAX_SHIPPED_EDGES + 1).count() <= MAX_SHIPPED_EDGES:
-        raw = betweenness_by_source(weighted, stations)
-    else:
-        raw = betweenness_by_joins(weighted, stations)
+    raw = _dependencies(_weighted(edges), stations)
     n = stations.select("station_id").distinct().count()
     norm = (n - 1) * (n - 2) if n > 2 else 1
     return stations.select("station_id").distinct().join(raw, "station_id", "left").select(
         "station_id", (F.coalesce("score", F.lit(0.0)) / F.lit(float(norm))).alias("betweenness_centrality"))
 
 
-def _dependencies(source: str, adjacent: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
-    """Dependency of one source on every other node (shortest-path counting)."""
-    distance: dict[str, float] = {}
-    best = {source: 0.0}
-    paths = {source: 1.0}
-    before: dict[str, list[str]] = {source: []}
-    settled: list[str] = []
-    queue: list[tuple[float, str]] = [(0.0, source)]
-    while queue:
-        d, u = heapq.heappop(queue)
-        if u in distance:
-            continue
-        distance[u] = d
-        settled.append(u)
-        for v, w in adjacent.get(u, ()):
-            reach = d + w
-            known = best.get(v)
-            if known is None or reach < known:
-                best[v], paths[v], before[v] = reach, paths[u], [u]
-                heapq.heappush(queue, (reach, v))
-            elif reach == known and v not in distance:
-                paths[v] += paths[u]
-                before[v].append(u)
-    share = dict.fromkeys(settled, 0.0)
-    for v in reversed(settled):
-        for u in before[v]:
-            share[u] += paths[u] / paths[v] * (1.0 + share[v])
-    share.pop(source, None)
-    return share
-
-
-def betweenness_by_source(weighted: DataFrame, stations: DataFrame) -> DataFrame:
-    """One shortest-path pass per source, sources spread over the tasks. The
-    caller has checked the size of the adjacency."""
-    context = weighted.sparkSession.sparkContext
-    adjacent: dict[str, list[tuple[str, float]]] = {}
-    for u, v, w in weighted.toLocalIterator():
-        adjacent.setdefault(u, []).append((v, w))
-    shipped = context.broadcast(adjacent)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, float] = {}
-        for batch in batches:
-            for source in batch["station_id"]:
-                for node, share in _dependencies(source, shipped.value).items():
-                    total[node] = total.get(node, 0.0) + share
-        if total:
-            yield pd.DataFrame({"station_id": list(total), "score": list(total.values())})
-
-    sources = stations.select("station_id").distinct().repartition(context.defaultParallelism * 2, "station_id")
-    return sources.mapInPandas(run, "station_id string, score double").groupBy("station_id").agg(
-        F.sum("score").alias("score"))
-
-
-def betweenness_by_joins(weighted: DataFrame, stations: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """The same with joins: all-pairs distances by relaxation, then path counts
-    and dependencies over the shortest-path edges, one hop per round. State is
-    one row per (source, node), partitioned by source and node."""
+# Hops that one job follows before it writes its state.
+HOPS = 8
+
+
+def _dependencies(weighted: DataFrame, stations: DataFrame) -> DataFrame:
+    """Sum over all sources of a node's dependency, by joins: distances by
+    relaxation, then path counts and dependencies over the shortest-path edges,
+    HOPS at a time until nothing moves. Positive weights end every loop. State
+    is one row per (source, node), partitioned by both."""
     nodes = stations.select(F.col("station_id").alias("s")).distinct()
+    weighted = checkpointed(weighted)
     dist = nodes.select("s", F.col("s").alias("u"), F.lit(0.0).alias("d"))
-    frontier = dist
-    for _ in range(max_rounds):
-        reached = frontier.join(weighted, "u").groupBy("s", F.col("v").alias("u")).agg(
-            F.min(F.col("d") + F.col("w")).alias("nd"))
-        merged = checkpointed(dist.join(reached, ["s", "u"], "full").select(
-            "s", "u", F.least("d", "nd").alias("d"),
-            (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d")))).alias("better")))
-        dist = merged.select("s", "u", "d")
-        frontier = merged.where("better").select("s", "u", "d")
-        if frontier.isEmpty():
-            break
+    moved = True
+    while moved:
+        after = dist
+        for _ in range(HOPS):
+            reached = after.join(weighted, "u").select("s", F.col("v").alias("u"), (F.col("d") + F.col("w")).alias("d"))
+            after = after.union(reached).groupBy("s", "u").agg(F.min("d").alias("d"))
+        after = checkpointed(after.join(dist.withColumnRenamed("d", "_old"), ["s", "u"], "left"))
+        moved = not after.where("_old IS NULL OR d < _old").isEmpty()
+        dist = after.select("s", "u", "d")
     head = dist.select("s", F.col("u").alias("v"), F.col("d").alias("dv"))
     dag = checkpointed(dist.join(weighted, "u").join(head, ["s", "v"]).where("d + w = dv").select("s", "u", "v"))
 
-    sigma = nodes.select("s", F.col("s").alias("u"), F.lit(1.0).alias("c"))
-    total = sigma
-    for _ in range(max_rounds):
-        sigma = checkpointed(sigma.join(dag, ["s", "u"]).groupBy("s", F.col("v").alias("u")).agg(F.sum("c").alias("c")))
-        if sigma.isEmpty():
-            break
-        total = total.unionByName(sigma)
-    counts = checkpointed(total.groupBy("s", "u").agg(F.sum("c").alias("c")))
+    def hop_sums(start: DataFrame, step) -> DataFrame:
+        """Sum per (s, u) of what one to ever more steps make of the start."""
+        total, last = None, start
+        while True:
+            layers = []
+            for _ in range(HOPS):
+                last = step(last)
+                layers.append(last)
+            found = None
+            for hop, layer in enumerate(layers):
+                one = layer.withColumn("hop", F.lit(hop))
+                found = one if found is None else found.unionByName(one)
+            found = checkpointed(found)
+            if found.isEmpty():
+                break
+            part = found.groupBy("s", "u").agg(F.sum("x").alias("x"))
+            total = part if total is None else checkpointed(total.unionByName(part).groupBy("s", "u").agg(F.sum("x").alias("x")))
+            last = found.where(F.col("hop") == HOPS - 1).drop("hop")
+        return start.limit(0) if total is None else total
+
+    begin = nodes.select("s", F.col("s").alias("u"), F.lit(1.0).alias("x"))
+    onward = hop_sums(begin, lambda at: at.join(dag, ["s", "u"]).groupBy("s", F.col("v").alias("u")).agg(F.sum("x").alias("x")))
+    counts = checkpointed(begin.unionByName(onward).groupBy("s", "u").agg(F.sum("x").alias("c")))
     into = counts.select("s", F.col("u").alias("v"), F.col("c").alias("cv"))
-    ratio = checkpointed(dag.join(counts, ["s", "u"]).join(into, ["s", "v"]).select(
-        "s", "u", "v", (F.col("c") / F.col("cv")).alias("r")))
-
-    layer = counts.select("s", F.col("u").alias("v"), F.lit(1.0).alias("x"))
-    shares = None
-    for _ in range(max_rounds):
-        layer = checkpointed(ratio.join(layer, ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("r") * F.col("x")).alias("x")))
-        if layer.isEmpty():
-            break
-        shares = layer if shares is None else shares.unionByName(layer)
-        layer = layer.withColumnRenamed("u", "v")
-    if shares is None:
-        return stations.select("station_id", F.lit(0.0).alias("score")).distinct()
+    ratio = checkpointed(dag.join(counts, ["s", "u"]).join(into, ["s", "v"]).select("s", "u", "v", (F.col("c") / F.col("cv")).alias("r")))
+    ends = counts.select("s", "u", F.lit(1.0).alias("x"))
+    shares = hop_sums(ends, lambda at: ratio.join(at.withColumnRenamed("u", "v"), ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("r") * F.col("x")).alias("x")))
     return shares.where("s <> u").groupBy(F.col("u").alias("station_id")).agg(F.sum("x").alias("score"))
 
 

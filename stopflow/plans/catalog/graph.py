@@ -13,10 +13,10 @@ HUB = "NL_2"
 
 
 def property_graph(t: Tables) -> kg.PropertyGraph:
-    return kg.build(t.stations.where("k < 97"), t.services, t.stops, t.edges, t.faults)
+    return kg.build(t.stations, t.services, t.stops, t.edges, t.faults)
 
 
-KG_SQL = """st AS (SELECT * FROM stations WHERE k < 97),
+KG_SQL = """st AS (SELECT * FROM stations),
     rep AS (SELECT fault_id, station_id FROM faults SEMI JOIN st USING (station_id)),
     fl AS (SELECT fault_id, date, description FROM faults SEMI JOIN st USING (station_id)),
     adj AS (SELECT * FROM edges WHERE station_from IN (SELECT station_id FROM st) AND station_to IN (SELECT station_id FROM st)),
@@ -25,20 +25,42 @@ KG_NEEDS = "stops services stations edges faults"
 
 
 @query("g1_edge_index", """
-    WITH ix AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS idx FROM stations WHERE k < 90)
+    WITH ix AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS idx FROM stations)
     SELECT CAST(a.idx AS INTEGER) AS src, CAST(b.idx AS INTEGER) AS dst, round(distance_km / max(distance_km) OVER (), 6) AS attr
     FROM edges e JOIN ix a ON a.station_id = e.station_from JOIN ix b ON b.station_id = e.station_to""", "edges stations")
 def g1(t: Tables):
-    index = dense_index(t.stations.where("k < 90"), "station_id", "idx")
+    index = dense_index(t.stations, "station_id", "idx")
     return G.edge_index(t.edges, index).withColumn("attr", C.r6("attr"))
 
 
-@query("g2_betweenness")
+def _betweenness_sql(squarings: int = 7, hops: int = 110) -> str:
+    """Distances by repeated squaring, path counts hop by hop, dependencies over
+    all triples: another route to the same numbers."""
+    parts = ["""w AS MATERIALIZED (SELECT station_from AS u, station_to AS v, min(CASE WHEN coalesce(distance_km, 0) = 0 THEN 1.0 ELSE distance_km END)::DOUBLE AS w
+      FROM edges WHERE station_from <> station_to GROUP BY ALL)""",
+             """d0 AS MATERIALIZED (SELECT u, v, min(d) AS d FROM (SELECT u, v, w AS d FROM w UNION ALL SELECT station_id, station_id, 0.0::DOUBLE FROM stations) GROUP BY ALL)"""]
+    for k in range(squarings):
+        parts.append(f"d{k + 1} AS MATERIALIZED (SELECT a.u, b.v, min(a.d + b.d) AS d FROM d{k} a JOIN d{k} b ON a.v = b.u GROUP BY ALL)")
+    parts.append(f"""dag AS MATERIALIZED (SELECT a.u AS s, w.u, w.v FROM d{squarings} a JOIN w ON w.u = a.v JOIN d{squarings} b ON b.u = a.u AND b.v = w.v AND a.d + w.w = b.d)""")
+    parts.append("c0 AS MATERIALIZED (SELECT DISTINCT station_id AS s, station_id AS u, 1.0::DOUBLE AS c FROM stations)")
+    for k in range(hops):
+        parts.append(f"c{k + 1} AS MATERIALIZED (SELECT s, v AS u, sum(c) AS c FROM c{k} JOIN dag USING (s, u) GROUP BY ALL)")
+    every = " UNION ALL ".join(f"SELECT * FROM c{k}" for k in range(hops + 1))
+    parts.append(f"p AS MATERIALIZED (SELECT n.s, n.u, d, c FROM (SELECT s, u, sum(c) AS c FROM ({every}) GROUP BY ALL) n JOIN d{squarings} d ON d.u = n.s AND d.v = n.u)")
+    parts.append("""b AS (SELECT x.u AS station_id, sum(x.c * y.c / z.c) AS score FROM p x JOIN p y ON y.s = x.u JOIN p z ON z.s = x.s AND z.u = y.u
+      WHERE x.s <> x.u AND y.u <> x.u AND y.u <> x.s AND x.d + y.d = z.d GROUP BY 1)""")
+    parts.append("n AS (SELECT count(DISTINCT station_id) AS n FROM stations)")
+    return "WITH " + ",\n    ".join(parts) + """
+    SELECT s.station_id, round(coalesce(score, 0) / ((n - 1) * (n - 2)), 6) AS betweenness_centrality
+    FROM (SELECT DISTINCT station_id FROM stations) s CROSS JOIN n LEFT JOIN b USING (station_id)"""
+
+
+@query("g2_betweenness", _betweenness_sql(), "stations edges")
 def g2(t: Tables):
     return G.betweenness(t.edges, t.stations).withColumn("betweenness_centrality", C.r6("betweenness_centrality"))
 
 
-@query("g3_station_nodes", "SELECT station_id, country, round(lat, 6) AS lat, round(avg_historical_delay, 6) AS avg_historical_delay, degree::BIGINT AS degree FROM stations WHERE k < 97", "stations")
+@query("g3_station_nodes", "SELECT station_id, country, round(lat, 6) AS lat, round(avg_historical_delay, 6) AS avg_historical_delay, degree::BIGINT AS degree FROM stations", "stations")
 def g3(t: Tables):
     return property_graph(t).stations.select("station_id", "country", C.r6("lat").alias("lat"), C.r6("avg_historical_delay").alias("avg_historical_delay"), "degree")
 
@@ -132,11 +154,11 @@ def g9(t: Tables):
 
 
 @query("g9_hub_faults", f"""
-    WITH {HUBS_SQL} SELECT fault_id, station_id, CAST(date AS VARCHAR) AS date, CASE WHEN length(description) > 20 THEN substr(description, 1, 20) || '…' ELSE description END AS description
+    WITH {HUBS_SQL} SELECT fault_id, station_id, CAST(date AS VARCHAR) AS date, description
     FROM faults SEMI JOIN top USING (station_id) ORDER BY fault_id LIMIT 5""", KG_NEEDS)
 def g9_faults(t: Tables):
     _, nodes, _ = hubs(t)
-    out = kg.hub_faults(t.faults, nodes.where("is_hub = 1"), width=20)
+    out = kg.hub_faults(t.faults, nodes.where("is_hub = 1"))
     return out.select("fault_id", "station_id", F.col("date").cast("string").alias("date"), "description")
 
 
@@ -177,9 +199,9 @@ def g10_search(t: Tables):
 @query("g11_routes", """
     SELECT service_id, CAST(stop_order // 3 AS INTEGER) AS page, max(n_total_stops) AS n_stops,
       string_agg(stop_order || ':' || station_id || ':' || CAST(y_stop AS VARCHAR) || ':' || coalesce(CAST(CAST(round(lat * 10) AS INTEGER) AS VARCHAR), '-'), ',' ORDER BY stop_order) AS stops
-    FROM positioned LEFT JOIN (SELECT station_id, lat FROM stations WHERE k < 97) USING (station_id) GROUP BY service_id, stop_order // 3""", "positioned stations")
+    FROM positioned LEFT JOIN (SELECT station_id, lat FROM stations) USING (station_id) GROUP BY service_id, stop_order // 3""", "positioned stations")
 def g11(t: Tables):
-    out = kg.routes(t.positioned, t.stations.where("k < 97"), page=3)
+    out = kg.routes(t.positioned, t.stations, page=3)
     text = F.transform("stops", lambda s: F.concat_ws(":", s["stop_order"].cast("string"), s["station_id"], s["y_stop"].cast("string"),
                                                       F.coalesce(F.round(s["lat"] * 10).cast("int").cast("string"), F.lit("-"))))
     return out.select("service_id", "page", "n_stops", F.array_join(text, ",").alias("stops"))

@@ -42,17 +42,20 @@ def case(spark):
     return e, n, {k: v / norm for k, v in brute_force(nodes, edges).items()}
 
 
-def test_betweenness_by_source(case):
+@pytest.mark.parametrize("hops", [1, 3, 8])
+def test_betweenness(case, monkeypatch, hops):
     e, n, want = case
+    monkeypatch.setattr(G, "HOPS", hops)
     got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n).collect()}
     assert got == pytest.approx(want)
 
 
-def test_betweenness_by_joins(case, monkeypatch):
-    e, n, want = case
-    monkeypatch.setattr(G, "MAX_SHIPPED_EDGES", 0)
+def test_betweenness_of_a_long_line(spark):
+    """No limit on the number of hops: a line of 30 stations, one way."""
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(29)], "station_from string, station_to string, distance_km double")
+    n = spark.createDataFrame([(f"n{i:02d}",) for i in range(30)], "station_id string")
     got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n).collect()}
-    assert got == pytest.approx(want)
+    assert got == pytest.approx({f"n{i:02d}": i * (29 - i) / (29 * 28) for i in range(30)})
 
 
 def test_zero_distance_counts_as_one(spark):
