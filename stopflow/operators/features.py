@@ -215,7 +215,7 @@ def neighbour_lag(lags: DataFrame, edges: DataFrame) -> DataFrame:
 
 def fault_count(days: DataFrame, faults: DataFrame, first: int = 14, last: int = 1,
                 name: str = "station_n_active_faults_14d",
-                calendar: tuple | None = (K.WINDOW_START, K.WINDOW_END)) -> DataFrame:
+                calendar: tuple | None = None) -> DataFrame:
     """Faults at the station in [d-first, d-last] for every (station, day) of `days`.
 
     Faults are counted per day first and meet the stop days in one window, so no
@@ -352,18 +352,16 @@ def rolling_daily(events: DataFrame, date: str, line: str, minutes: str, days: i
 
 def pack_sequences(df: DataFrame, columns: Sequence[str], max_stops: int = 80,
                    key: str = "service_id", order: str = "stop_order") -> DataFrame:
-    """One row per service: its first `max_stops` stops as ordered arrays plus a
-    mask length. The cut happens before rows are collected, so an array never
-    exceeds `max_stops` entries."""
-    head = df.where(F.col(order) < max_stops)
-    packed = head.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("steps"))
+    """Rows of at most `max_stops` ordered steps and their number; a longer
+    service goes on on its next page."""
+    page = F.floor(F.col(order) / max_stops).cast("long")
+    packed = df.groupBy(key, page.alias("page")).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("steps"))
     return packed.withColumn("n_steps", F.size("steps"))
 
 
-def unpack_scores(packed: DataFrame, stops: DataFrame, score: str, default: float = 0.5,
+def unpack_scores(packed: DataFrame, stops: DataFrame, score: str,
                   key: str = "service_id", order: str = "stop_order") -> DataFrame:
-    """Scores back to stop rows; stops beyond the packed length get `default`."""
+    """Scores back to stop rows; NULL for a stop that was never packed."""
     flat = packed.select(key, F.explode("steps").alias("s")).select(key, F.col(f"s.{order}").alias(order),
-                                                                   F.col(f"s.{score}").alias("_score"))
-    return stops.join(flat, [key, order], "left").withColumn(
-        "sequence_score", F.coalesce("_score", F.lit(default))).drop("_score")
+                                                                   F.col(f"s.{score}").alias("sequence_score"))
+    return stops.join(flat, [key, order], "left")

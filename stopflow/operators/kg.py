@@ -52,7 +52,7 @@ def build(stations: DataFrame, services: DataFrame, stops: DataFrame, edges: Dat
         "fault_id", "station_id").distinct()
     reported = base.join(known, "station_id", "left_semi").select("fault_id", "station_id")
     nodes = faults.groupBy("fault_id").agg(F.min(F.struct(
-        F.unix_date("date").alias("epoch_day"), F.substring("description", 1, 500).alias("description"))).alias("r"))
+        F.unix_date("date").alias("epoch_day"), "description")).alias("r"))
     nodes = nodes.join(reported.select("fault_id"), "fault_id", "left_semi").select("fault_id", "r.*")
     adjacent = edges.groupBy("station_from", "station_to").agg(F.min("distance_km").alias("distance_km"))
     for side in ("station_from", "station_to"):
@@ -145,10 +145,12 @@ def hub_services(stops: DataFrame, hubs: DataFrame, n: int = 3) -> DataFrame:
     return sample_per_group(pairs, ["station_id"], n, [F.col("service_id")])
 
 
-def hub_faults(faults: DataFrame, hubs: DataFrame, n: int = 5, width: int = 60) -> DataFrame:
-    """First n faults at the hubs, with a shortened description."""
+def hub_faults(faults: DataFrame, hubs: DataFrame, n: int = 5, width: int | None = None) -> DataFrame:
+    """First n faults at the hubs, description shortened where a width is given."""
     at = faults.join(hubs.select("station_id"), "station_id", "left_semi").groupBy("fault_id").agg(
         F.min(F.struct("station_id", "date", "description")).alias("r")).select("fault_id", "r.*")
+    if width is None:
+        return at.orderBy("fault_id").limit(n)
     short = F.when(F.length("description") > width, F.concat(F.substring("description", 1, width), F.lit("…"))).otherwise(F.col("description"))
     return at.orderBy("fault_id").limit(n).withColumn("description", short)
 

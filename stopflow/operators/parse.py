@@ -27,10 +27,9 @@ def _json_tokens(cell: Column) -> Column:
 
 
 def stop_list(cell: str | Column) -> Column:
-    """Serialised list of stops to an array; a single stop becomes a list of one."""
-    text = F.trim(_json_tokens(C.col(cell)))
-    listed = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
-    return F.from_json(listed, T.ArrayType(STOP), _OPTIONS)
+    """Serialised list of stops to an array. The JSON reader takes a single stop as
+    a list of one, so the rewritten text is used, and computed, only once."""
+    return F.from_json(_json_tokens(C.col(cell)), T.ArrayType(STOP), _OPTIONS)
 
 
 def parse_status(cell: str | Column, parsed: Column) -> Column:

@@ -68,9 +68,26 @@ def _mix(ids: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(i).cast("string") for i in ids], F.lit(str(seed))))
 
 
+def _below(ids: Sequence[str], seed: int, n: int, rows: Column) -> Column:
+    """True for about n of so many rows, those with the smallest hashes, and some
+    more: ten standard deviations, so that the first n are among them."""
+    share = F.conv(F.substring(_mix(ids, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return share * rows <= n + 10 * n ** 0.5 + 50
+
+
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows in hash order of their id: the same rows however data is partitioned."""
-    return df.orderBy(_mix(ids, seed), *ids).limit(n)
+    """n rows in hash order of their id: the same rows however data is partitioned.
+    Rows beyond the hash that the count allows are left where they are."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return df.where(_below(ids, seed, n, total)).orderBy(_mix(ids, seed), *ids).limit(n)
+
+
+def hash_sample_per_group(df: DataFrame, group: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
+    """At most n rows per group in hash order of their id. Groups are counted
+    first, so that about n rows of each reach its window, whatever its size."""
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_rows"))
+    near = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).where(_below(ids, seed, n, F.col("_rows"))).drop("_g", "_rows")
+    return sample_per_group(near, [group], n, hash_order(ids, seed))
 
 
 def sample_per_group(df: DataFrame, group: Sequence[str], n: int, order: Sequence[Column | str],

@@ -44,9 +44,9 @@ def f2(t: Tables):
 @query("f3_station_static", """
     SELECT s.seq, round(coalesce(n.lat, 0), 6) AS lat, round(coalesce(n.lon, 0), 6) AS lon,
            coalesce(n.degree, 0)::DOUBLE AS degree, round(coalesce(n.avg_historical_delay, 0), 6) AS avg_historical_delay
-    FROM stops s LEFT JOIN (SELECT * FROM stations WHERE k < 90) n USING (station_id)""", "stops stations")
+    FROM stops s LEFT JOIN (SELECT * FROM stations) n USING (station_id)""", "stops stations")
 def f3(t: Tables):
-    out = feat.station_static(t.stops, t.stations.where("k < 90"))
+    out = feat.station_static(t.stops, t.stations)
     return _r6(out.select("seq", "lat", "lon", "degree", "avg_historical_delay"), "lat", "lon", "avg_historical_delay")
 
 
@@ -204,7 +204,7 @@ ASSEMBLED = ["y_stop", "weather_severity", "train_class_code", "service_n_stops"
              "delta_severity_vs_prev_stop", "delta_wind_vs_prev_stop", "station_lag1_rate", "station_lag7_rate",
              "station_lag1_avg_delay", "train_lag1_rate", "train_lag7_rate", "train_station_lag7_rate",
              "nbr_lag1_rate", "station_n_active_faults_14d", "prev_stop_actual_delay", "cum_actual_delay_so_far",
-             "max_actual_delay_so_far"]
+             "max_actual_delay_so_far", "temperature", "wind_speed", "precipitation", "snow_depth", "month_sin", "month_cos"]
 
 
 def feature_store(t: Tables):
@@ -241,7 +241,9 @@ def feature_store(t: Tables):
       coalesce(wind_speed - lag(wind_speed) OVER w, 0)::DOUBLE AS delta_wind_vs_prev_stop,
       round(sl.l1, 6) AS station_lag1_rate, round(sl.l7, 6) AS station_lag7_rate, round(sl.ld, 6) AS station_lag1_avg_delay,
       round(tl.l1, 6) AS train_lag1_rate, round(tl.l7, 6) AS train_lag7_rate, round(xl.l7, 6) AS train_station_lag7_rate,
-      round(coalesce(nb.v, 0) + 1e-9, 6) AS nbr_lag1_rate, fc.n::DOUBLE AS station_n_active_faults_14d, """ + INFLIGHT_SQL + """
+      round(coalesce(nb.v, 0) + 1e-9, 6) AS nbr_lag1_rate, fc.n::DOUBLE AS station_n_active_faults_14d, temperature::DOUBLE AS temperature, wind_speed::DOUBLE AS wind_speed,
+      round(precipitation, 6) AS precipitation, snow_depth::DOUBLE AS snow_depth,
+      round(sin(2 * pi() * month(s.date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(s.date) / 12), 6) AS month_cos, """ + INFLIGHT_SQL + """
     FROM s JOIN stations n ON n.station_id = s.station_id JOIN sl ON sl.station_id = s.station_id AND sl.date = s.date
       JOIN tl ON tl.train_key = s.train_key AND tl.date = s.date
       JOIN xl ON xl.train_key = s.train_key AND xl.station_id = s.station_id AND xl.date = s.date
@@ -286,16 +288,14 @@ def f13(t: Tables):
 
 @query("f14_rolling_faults", """
     WITH d AS (SELECT date, count(*) AS n, sum(duration_minutes) AS total, count(DISTINCT station_id) AS lines
-               FROM faults WHERE isodow(date) <> 3 GROUP BY date),
+               FROM faults GROUP BY date),
     cal AS (SELECT CAST(unnest(generate_series((SELECT min(date) FROM d)::TIMESTAMP, (SELECT max(date) FROM d)::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date)
     SELECT CAST(cal.date AS VARCHAR) AS date, coalesce(n, 0) AS fault_count, coalesce(total, 0) AS total_downtime,
            coalesce(lines, 0) AS lines_affected,
            round(avg(coalesce(n, 0)) OVER (ORDER BY cal.date ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS rolling_mean
     FROM cal LEFT JOIN d USING (date)""", "faults")
 def f14(t: Tables):
-    # Wednesdays are left out so that the calendar really has gaps to fill.
-    log = t.faults.where(F.weekday("date") != 2)
-    out = feat.rolling_daily(log, "date", "station_id", "duration_minutes")
+    out = feat.rolling_daily(t.faults, "date", "station_id", "duration_minutes")
     return _r6(out.withColumn("date", F.col("date").cast("string")), "rolling_mean")
 
 
@@ -319,16 +319,16 @@ def f16(t: Tables):
 
 
 @query("f17_sequence_packing", """
-    SELECT service_id, CAST(count(*) AS INTEGER) AS n_steps, string_agg(stop_order || ':' || y_stop, ',' ORDER BY stop_order) AS steps
-    FROM positioned WHERE stop_order < 3 GROUP BY service_id""", "positioned")
+    SELECT service_id, stop_order // 3 AS page, CAST(count(*) AS INTEGER) AS n_steps, string_agg(stop_order || ':' || y_stop, ',' ORDER BY stop_order) AS steps
+    FROM positioned GROUP BY ALL""", "positioned")
 def f17(t: Tables):
     packed = feat.pack_sequences(t.positioned, ["y_stop"], max_stops=3)
     text = F.array_join(F.transform("steps", lambda s: F.concat(s["stop_order"], F.lit(":"), s["y_stop"])), ",")
-    return packed.select("service_id", "n_steps", text.alias("steps"))
+    return packed.select("service_id", "page", "n_steps", text.alias("steps"))
 
 
 @query("f17_sequence_unpacking", """
-    SELECT seq, stop_order, CASE WHEN stop_order < 3 THEN p_a ELSE 0.5::DOUBLE END AS sequence_score FROM predictions""", "predictions")
+    SELECT seq, stop_order, p_a AS sequence_score FROM predictions""", "predictions")
 def f17_back(t: Tables):
     p = t.predictions
     packed = feat.pack_sequences(p, ["p_a"], max_stops=3)

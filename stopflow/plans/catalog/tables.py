@@ -30,12 +30,12 @@ OPS_SQL = """ops AS (SELECT seq, date, service_id, user_id, k, upper(trim(code_t
     nxt AS (SELECT 'ST ' || k AS a, 'ST ' || lead(k) OVER (PARTITION BY service_id ORDER BY scheduled_time, seq) AS b FROM stops),
     deg AS (SELECT a, count(DISTINCT b) AS degree FROM (SELECT a, b FROM nxt WHERE b IS NOT NULL UNION ALL SELECT b, a FROM nxt WHERE b IS NOT NULL) GROUP BY a),
     m AS (SELECT station_name, avg(arrival_delay) FILTER (WHERE NOT cancelled AND date <= DATE '2024-01-10') AS d FROM ops GROUP BY 1),
-    master AS (SELECT 'ST ' || k AS station_name, lat, lon FROM stations WHERE k % 7 <> 0)
+    master AS (SELECT 'ST ' || k AS station_name, lat, lon FROM stations)
     SELECT 'IT_' || replace(m.station_name, ' ', '_') AS station_id, round(lat, 6) AS lat, round(lon, 6) AS lon,
            round(coalesce(d, 0), 6) AS avg_historical_delay, CAST(coalesce(degree, 1) AS INTEGER) AS degree
     FROM m LEFT JOIN master USING (station_name) LEFT JOIN deg ON deg.a = m.station_name""", "feed stations")
 def b1(t: Tables):
-    master = t.stations.where("k % 7 <> 0").select(F.concat(F.lit(" st "), "k").alias("name"), "lat", "lon")
+    master = t.stations.select(F.concat(F.lit(" st "), "k").alias("name"), "lat", "lon")
     mileage = t.positioned.select(F.col("service_id").alias("train_id"), F.col("stop_order").alias("station_order"),
                                   F.concat(F.lit("ST "), "k").alias("station_name"))
     out = B.italy_stations(_ops(t), master, mileage, EVENT_REF_END)
@@ -59,9 +59,9 @@ def b2(t: Tables):
     SELECT 'NL_' || replace(o.station_name, ' ', '_') AS station_id, round(max(s.lat), 6) AS lat, round(max(s.lon), 6) AS lon,
       round(coalesce(avg(arrival_delay) FILTER (WHERE NOT cancelled AND date <= DATE '2024-01-10'), 0), 6) AS avg_historical_delay,
       CAST(count(DISTINCT service_id) AS INTEGER) AS degree
-    FROM ops o LEFT JOIN (SELECT 'ST ' || k AS station_name, lat, lon FROM stations WHERE k % 7 <> 0) s USING (station_name) GROUP BY o.station_name""", "feed stations")
+    FROM ops o LEFT JOIN (SELECT 'ST ' || k AS station_name, lat, lon FROM stations) s USING (station_name) GROUP BY o.station_name""", "feed stations")
 def b3(t: Tables):
-    master = t.stations.where("k % 7 <> 0").select(F.concat(F.lit("st "), "k").alias("code"), F.col("lat").alias("geo_lat"), F.col("lon").alias("geo_lng"))
+    master = t.stations.select(F.concat(F.lit("st "), "k").alias("code"), F.col("lat").alias("geo_lat"), F.col("lon").alias("geo_lng"))
     df = _ops(t).withColumnsRenamed({"station_name": "station_code", "service_id": "service_id_raw"})
     return B.netherlands_stations(df, master, EVENT_REF_END).withColumns({c: C.r6(c) for c in ("lat", "lon", "avg_historical_delay")})
 
@@ -79,9 +79,9 @@ def b4(t: Tables):
 @query("b5_stops_at", f"""
     WITH {OPS_SQL}
     SELECT o.seq, 'IT_' || user_id || '_' || strftime(date, '%Y-%m-%d') AS service_id, 'IT_ST_' || k AS station_id, arrival_delay AS delay_minutes,
-      0 AS weather_severity, 0.0::DOUBLE AS temperature, CAST(NULL AS DOUBLE) AS snow_depth FROM ops o WHERE k < 90""", "feed")
+      0 AS weather_severity, 0.0::DOUBLE AS temperature, CAST(NULL AS DOUBLE) AS snow_depth FROM ops o""", "feed")
 def b5(t: Tables):
-    names = t.stations.where("k < 90").select(F.concat(F.lit("ST "), "k").alias("station_code"), F.concat(F.lit("IT_ST_"), "k").alias("station_id"))
+    names = t.stations.select(F.concat(F.lit("ST "), "k").alias("station_code"), F.concat(F.lit("IT_ST_"), "k").alias("station_id"))
     ops = _ops(t).withColumn("snow", F.lit(None).cast("double"))
     out = B.stops_at(ops, C.prefixed_id("IT", "user_id", "date"), "station_name", "arrival_delay", names,
                      rename={"snow": "snow_depth"}, missing=0.0, extras=["seq"])
@@ -104,8 +104,7 @@ def b7(t: Tables):
 @query("b8_nl_adjacency", """
     SELECT 'NL_' || station_from AS station_from, 'NL_' || station_to AS station_to, distance_km FROM edges WHERE station_from LIKE 'NL%' AND station_to LIKE 'NL%'""", "edges")
 def b8(t: Tables):
-    codes = [f"NL_{k}" for k in range(100) if k % 3 == 2]
-    wide = t.edges.where("station_from LIKE 'NL%'").groupBy(F.col("station_from").alias("Station")).pivot("station_to", codes).agg(
+    wide = t.edges.where("station_from LIKE 'NL%' AND station_to LIKE 'NL%'").groupBy(F.col("station_from").alias("Station")).pivot("station_to").agg(
         F.max(F.col("distance_km").cast("string")))
     names = t.stations.select(F.col("station_id").alias("station_code"), F.concat(F.lit("NL_"), "station_id").alias("station_id"))
     return B.adjacency_from_matrix(wide, "Station", names)
@@ -199,11 +198,11 @@ def j1(t: Tables):
 
 @query("j2_dimension_lookup", """
     SELECT s.seq, coalesce(n.degree, 0) AS degree, coalesce(v.train_class_code, 6) AS class FROM stops s
-    LEFT JOIN (SELECT * FROM stations WHERE k < 80) n USING (station_id) LEFT JOIN (SELECT * FROM services WHERE train_class_code < 5) v USING (service_id)""",
+    LEFT JOIN (SELECT * FROM stations) n USING (station_id) LEFT JOIN (SELECT * FROM services) v USING (service_id)""",
        "stops stations services")
 def j2(t: Tables):
-    sta = t.stations.where("k < 80").select("station_id", "degree")
-    svc = t.services.where("train_class_code < 5").select("service_id", F.col("train_class_code").alias("class"))
+    sta = t.stations.select("station_id", "degree")
+    svc = t.services.select("service_id", F.col("train_class_code").alias("class"))
     return t.stops.join(sta, "station_id", "left").join(svc, "service_id", "left").select(
         "seq", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("class", F.lit(6)).alias("class"))
 
@@ -221,20 +220,20 @@ def j3(t: Tables):
 
 @query("j4_feature_back_join", """
     WITH d AS (SELECT station_id, date, avg(y_stop) AS rate FROM stops GROUP BY ALL)
-    SELECT seq, round(coalesce(rate, 0), 6) AS daily_rate FROM stops LEFT JOIN (SELECT * FROM d WHERE day(date) % 2 = 0) d USING (station_id, date)""")
+    SELECT seq, round(coalesce(rate, 0), 6) AS daily_rate FROM stops LEFT JOIN d USING (station_id, date)""")
 def j4(t: Tables):
     from stopflow.operators.features import attach, daily_rates
 
-    daily = daily_rates(t.stops, ["station_id"]).where(F.dayofmonth("date") % 2 == 0).select("station_id", "date", "daily_rate")
+    daily = daily_rates(t.stops, ["station_id"]).select("station_id", "date", "daily_rate")
     return attach(t.stops, daily, ["station_id", "date"]).select("seq", C.r6("daily_rate").alias("daily_rate"))
 
 
 @query("j5_weather_join", """
-    WITH w AS (SELECT station_id, date, min_by(struct_pack(t := temperature), seq).t AS temp FROM stops WHERE k < 50 GROUP BY ALL)
+    WITH w AS (SELECT station_id, date, min_by(struct_pack(t := temperature), seq).t AS temp FROM stops GROUP BY ALL)
     SELECT seq, coalesce(temp, 10.0)::DOUBLE AS temperature FROM stops LEFT JOIN w USING (station_id, date)""")
 def j5(t: Tables):
     coded = t.stops.withColumn("station_code", F.col("station_id"))
-    return B.join_weather(coded, B.weather_by_station(coded.where("k < 50"))).select("seq", "temperature")
+    return B.join_weather(coded, B.weather_by_station(coded)).select("seq", "temperature")
 
 
 @query("j6_edge_daily_rate", """
@@ -249,10 +248,10 @@ def j6(t: Tables):
 
 
 @query("j7_foreign_key_filter", """
-    SELECT seq FROM stops WHERE station_id IN (SELECT station_id FROM stations WHERE k < 60) AND service_id IN (SELECT service_id FROM services WHERE is_disrupted = 1)""",
+    SELECT seq FROM stops WHERE station_id IN (SELECT station_id FROM stations) AND service_id IN (SELECT service_id FROM services WHERE is_disrupted = 1)""",
        "stops stations services")
 def j7(t: Tables):
-    return t.stops.join(t.stations.where("k < 60"), "station_id", "left_semi").join(
+    return t.stops.join(t.stations, "station_id", "left_semi").join(
         t.services.where("is_disrupted = 1"), "service_id", "left_semi").select("seq")
 
 
@@ -292,20 +291,20 @@ def j10(t: Tables):
 
 @query("j11_fallback_source", """
     WITH top AS (SELECT station_id, count(*) AS n FROM stops GROUP BY 1 ORDER BY n DESC, station_id LIMIT 40)
-    SELECT t.station_id, t.n, coalesce(a.lat, b.temperature) AS lat FROM top t LEFT JOIN (SELECT * FROM stations WHERE k % 2 = 0) a USING (station_id)
+    SELECT t.station_id, t.n, coalesce(a.lat, b.temperature) AS lat FROM top t LEFT JOIN (SELECT * FROM stations) a USING (station_id)
     LEFT JOIN (SELECT station_id, min_by(temperature, seq) AS temperature FROM stops GROUP BY 1) b USING (station_id)""", "stops stations")
 def j11(t: Tables):
     top = t.stops.groupBy("station_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "station_id").limit(40)
     second = t.stops.groupBy("station_id").agg(F.min_by("temperature", "seq").alias("lat"))
-    return relate.with_fallback(top, "station_id", t.stations.where("k % 2 = 0"), second, ["lat"])
+    return relate.with_fallback(top, "station_id", t.stations, second, ["lat"])
 
 
 @query("j12_label_fallback", """
     SELECT s.station_id, count(*) AS n, coalesce(max(n.name), s.station_id) AS label FROM stops s
-    LEFT JOIN (SELECT station_id, 'Station ' || k AS name FROM stations WHERE k % 4 = 0) n USING (station_id) GROUP BY s.station_id""", "stops stations")
+    LEFT JOIN (SELECT station_id, 'Station ' || k AS name FROM stations) n USING (station_id) GROUP BY s.station_id""", "stops stations")
 def j12(t: Tables):
     counts = t.stops.groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
-    names = t.stations.where("k % 4 = 0").select("station_id", F.concat(F.lit("Station "), "k").alias("name"))
+    names = t.stations.select("station_id", F.concat(F.lit("Station "), "k").alias("name"))
     return relate.with_label(counts, "station_id", names, "name")
 
 

@@ -7,7 +7,7 @@ names to DataFrames. Stops carry three columns beyond the standard ones:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
@@ -49,6 +49,13 @@ def italy(operations: DataFrame, master: DataFrame, mileage: DataFrame) -> dict[
     }
 
 
+def _first_time(df: DataFrame, *columns: str) -> Column:
+    """The first of these times that is there: a stop without an arrival keeps its
+    place by its departure."""
+    times = [F.col(c).try_cast("timestamp").cast("timestamp_ntz") for c in columns if c in df.columns]
+    return F.coalesce(*times) if times else F.lit(None).cast("timestamp_ntz")
+
+
 def finland(raw: DataFrame) -> dict[str, DataFrame]:
     """Train rows with nested stop lists, all text."""
     rows = parse.normalise_codes(parse.explode_stops(parse.with_stops(raw)))
@@ -58,7 +65,7 @@ def finland(raw: DataFrame) -> dict[str, DataFrame]:
     rows = rows.withColumns({
         "weather_severity": C.weather_severity("precipitation_1h", "snow_depth", "visibility"), "seq": F.col("stop_no").cast("long"),
         "train_number": F.col("train_number").cast("long").cast("string"),
-        "lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+        **{c: F.col(c).try_cast("double") if c in rows.columns else F.lit(None).cast("double") for c in ("lat", "lon")}})
     names = _names(rows, "station_code", "FI")
     service = C.prefixed_id("FI", "train_number", "departure_date")
     placed = rows.join(names, "station_code")
@@ -77,7 +84,7 @@ def netherlands(services: DataFrame, master: DataFrame, disruptions: DataFrame,
     """Services (already renamed and parsed by the reader), station master,
     disruption log, distance matrix and, optionally, daily weather."""
     stops = services.withColumns({
-        "scheduled_time": F.col("arrival_time").try_cast("timestamp").cast("timestamp_ntz") if "arrival_time" in services.columns else F.lit(None).cast("timestamp_ntz"),
+        "scheduled_time": _first_time(services, "arrival_time", "departure_time"),
         "seq": F.col("stop_id").try_cast("long")})
     if weather is not None:
         stops = B.join_weather(stops, B.weather_by_station(weather))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
-from stopflow.operators.splits import hash_order, sample_per_group
+from stopflow.operators.splits import hash_sample_per_group
 
 
 def _domestic():
@@ -74,12 +74,12 @@ def outcome(preds: DataFrame) -> DataFrame:
 def prediction_sample(preds: DataFrame, n: int = 1250, seed: int = 42) -> DataFrame:
     """Up to n rows of every probability bucket, chosen by the hash of their stop."""
     bucketed = preds.withColumn("bucket", C.probability_bucket("p_b"))
-    return sample_per_group(bucketed, ["bucket"], n, hash_order(["service_id", "stop_order"], seed))
+    return hash_sample_per_group(bucketed, "bucket", n, ["service_id", "stop_order"], seed)
 
 
 def cause_sample(scored: DataFrame, n: int = 1500, seed: int = 42) -> DataFrame:
     """Up to n scored rows of every country."""
-    return sample_per_group(scored, ["country"], n, hash_order(["service_id", "stop_order"], seed))
+    return hash_sample_per_group(scored, "country", n, ["service_id", "stop_order"], seed)
 
 
 def cause_distribution(rows: DataFrame, label: str, weather: int | None = None, hour: int | None = None,

@@ -32,6 +32,8 @@ log = logging.getLogger("stopflow")
 LABEL = "y_stop"
 STATION_FEATURES = ["lat", "lon", "degree", "avg_historical_delay", "betweenness_centrality"]
 ECE_LIMIT = 0.05
+# Rows that a leaf of a boosted tree needs, whatever the size of the input.
+MIN_PER_NODE = 20
 
 
 def _logistic(n_rows: int, settings: dict):
@@ -45,7 +47,7 @@ def _boosted(depth: int, step: float):
         return GBTClassifier(
             labelCol=LABEL, weightCol="_weight", validationIndicatorCol="_is_val", maxIter=settings.get("rounds", 100),
             maxDepth=settings.get("depth", depth), stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-            minInstancesPerNode=min(50, max(1, n_rows // 200)), seed=settings.get("seed", 42))
+            minInstancesPerNode=MIN_PER_NODE, seed=settings.get("seed", 42))
     return make
 
 
@@ -130,20 +132,26 @@ def fit_graph_model(data: DataFrame, stations: DataFrame, edges: DataFrame, scen
 
 
 def run_matrix(data: DataFrame, path: str, names: Sequence[str] = tuple(MODELS), scenarios: Sequence[str] = ("A", "B"), **settings) -> DataFrame:
-    """All models in both scenarios over one stored frame. A run that fails is
-    logged and left out. Predictions land in one partitioned table; the result
-    is the metric table of the test split."""
+    """All models in both scenarios over one stored frame: one row per run with its
+    `status` ('ok' or the error) and, where it worked, the metrics of the test
+    split. Each run replaces its own part of the prediction table."""
+    runs = []
     for scenario in scenarios:
         for name in names:
             try:
                 model = fit(name, data, scenario, **settings)
+                rows = model.score(data.where("split IN ('val', 'test')"))
+                save_predictions(scored(rows.drop("y_pred"), "p_disrupted", model.threshold, name, scenario, extra=["split"]), path)
+                runs.append((name, scenario, "ok"))
             except Exception as e:  # noqa: BLE001  (one failed run must not end the others)
                 log.error("run %s/%s failed: %s", name, scenario, e)
-                continue
-            rows = model.score(data.where("split IN ('val', 'test')"))
-            save_predictions(scored(rows.drop("y_pred"), "p_disrupted", model.threshold, name, scenario, extra=["split"]), path)
-    preds = data.sparkSession.read.parquet(path)
-    return M.full_metrics(preds.where("split = 'test'"), ["model", "scenario"])
+                runs.append((name, scenario, f"{type(e).__name__}: {e}"))
+    spark = data.sparkSession
+    status = spark.createDataFrame(runs, "model string, scenario string, status string")
+    if not any(s == "ok" for _, _, s in runs):
+        return status
+    preds = spark.read.parquet(path)
+    return status.join(M.full_metrics(preds.where("split = 'test'"), ["model", "scenario"]), ["model", "scenario"], "left")
 
 
 # -- calibration --------------------------------------------------------------------

@@ -35,10 +35,16 @@ def test_leaking_column_is_refused(data):
         training.fit("logreg", data, "A", ["f0", "prev_stop_actual_delay"])
 
 
-def test_failed_runs_are_left_out(data, tmp_path, monkeypatch):
+def test_every_run_has_a_row(data, tmp_path, monkeypatch):
     monkeypatch.setitem(training.MODELS, "broken", lambda n, s: 1 / 0)
-    out = training.run_matrix(data, str(tmp_path / "runs"), names=("broken", "logreg"), scenarios=("A",), rounds=3)
-    assert [(r["model"], r["scenario"]) for r in out.collect()] == [("logreg", "A")]
+    path = str(tmp_path / "runs")
+    for _ in range(2):  # a second call replaces the runs
+        out = training.run_matrix(data, path, names=("broken", "logreg"), scenarios=("A",), rounds=3)
+    rows = {r["model"]: r.asDict() for r in out.collect()}
+    assert rows["logreg"]["status"] == "ok" and rows["logreg"]["pr_auc"] is not None
+    assert rows["broken"]["status"].startswith("ZeroDivisionError") and rows["broken"]["pr_auc"] is None
+    stored = data.sparkSession.read.parquet(path)
+    assert stored.count() == data.where("split IN ('val', 'test')").count()
 
 
 def test_permutation_keeps_the_values(data):
