@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stopflow.session import checkpointed
+from stopflow.session import written
 
 
 def edge_index(edges: DataFrame, index: DataFrame, key: str = "station_id", number: str = "idx") -> DataFrame:
@@ -36,57 +36,57 @@ def betweenness(edges: DataFrame, stations: DataFrame) -> DataFrame:
 
 
 # Hops that one job follows before it writes its state.
-HOPS = 8
+HOPS = 16
 
 
 def _dependencies(weighted: DataFrame, stations: DataFrame) -> DataFrame:
     """Sum over all sources of a node's dependency, by joins: distances by
     relaxation, then path counts and dependencies over the shortest-path edges,
     HOPS at a time until nothing moves. Positive weights end every loop. State
-    is one row per (source, node), partitioned by both."""
+    is one row per (source, node), partitioned by source; where Spark finds the
+    written edges small enough to send them round, hops need no shuffle.
+    """
     nodes = stations.select(F.col("station_id").alias("s")).distinct()
-    weighted = checkpointed(weighted)
-    dist = nodes.select("s", F.col("s").alias("u"), F.lit(0.0).alias("d"))
+    # an edge from each node to itself keeps what is known already
+    stay = nodes.select(F.col("s").alias("u"), F.col("s").alias("v"), F.lit(0.0).alias("w"))
+    ends = weighted.select("v").distinct().select(F.col("v").alias("u"), "v", F.lit(0.0).alias("w"))
+    weighted = written(weighted, "edges")
+    steps = written(weighted.unionByName(stay.union(ends).distinct()), "steps")
+    dist = written(nodes.select("s", F.col("s").alias("u"), F.lit(0.0).alias("d")), "distances")
     moved = True
     while moved:
-        after = dist
+        after = dist.repartition("s")
         for _ in range(HOPS):
-            reached = after.join(weighted, "u").select("s", F.col("v").alias("u"), (F.col("d") + F.col("w")).alias("d"))
-            after = after.union(reached).groupBy("s", "u").agg(F.min("d").alias("d"))
-        after = checkpointed(after.join(dist.withColumnRenamed("d", "_old"), ["s", "u"], "left"))
-        moved = not after.where("_old IS NULL OR d < _old").isEmpty()
-        dist = after.select("s", "u", "d")
+            after = after.join(steps, "u").groupBy("s", F.col("v").alias("u")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        after = written(after, "distances")
+        moved = not after.join(dist.withColumnRenamed("d", "_old"), ["s", "u"], "left").where("_old IS NULL OR d < _old").isEmpty()
+        dist = after
     head = dist.select("s", F.col("u").alias("v"), F.col("d").alias("dv"))
-    dag = checkpointed(dist.join(weighted, "u").join(head, ["s", "v"]).where("d + w = dv").select("s", "u", "v"))
+    dag = written(dist.join(weighted, "u").join(head, ["s", "v"]).where("d + w = dv").select("s", "u", "v"), "dag")
 
-    def hop_sums(start: DataFrame, step) -> DataFrame:
-        """Sum per (s, u) of what one to ever more steps make of the start."""
-        total, last = None, start
+    pairs = dist.select("s", "u")
+
+    def follow(start: DataFrame, edges: DataFrame) -> DataFrame:
+        """Sum per (s, u) of x over all walks along the edges, those of no step
+        included. `open` rows go on, and every one leaves a copy behind."""
+        kinds = [pairs.select("s", "u", F.col("u").alias("v"), F.lit(1.0).alias("r"), F.lit(was).alias("open"), F.lit(False).alias("after")) for was in (True, False)]
+        moves = written(edges.select("s", "u", "v", "r", F.lit(True).alias("open"), F.lit(True).alias("after")).union(kinds[0]).union(kinds[1]), "moves")
+        state = start.withColumn("open", F.lit(True))
         while True:
-            layers = []
+            state = state.repartition("s")
             for _ in range(HOPS):
-                last = step(last)
-                layers.append(last)
-            found = None
-            for hop, layer in enumerate(layers):
-                one = layer.withColumn("hop", F.lit(hop))
-                found = one if found is None else found.unionByName(one)
-            found = checkpointed(found)
-            if found.isEmpty():
-                break
-            part = found.groupBy("s", "u").agg(F.sum("x").alias("x"))
-            total = part if total is None else checkpointed(total.unionByName(part).groupBy("s", "u").agg(F.sum("x").alias("x")))
-            last = found.where(F.col("hop") == HOPS - 1).drop("hop")
-        return start.limit(0) if total is None else total
+                state = state.join(moves, ["s", "u", "open"]).groupBy("s", F.col("v").alias("u"), F.col("after").alias("open")).agg(F.sum(F.col("x") * F.col("r")).alias("x"))
+            state = written(state, "state")
+            if state.where("open").isEmpty():
+                return state.select("s", "u", "x")
 
     begin = nodes.select("s", F.col("s").alias("u"), F.lit(1.0).alias("x"))
-    onward = hop_sums(begin, lambda at: at.join(dag, ["s", "u"]).groupBy("s", F.col("v").alias("u")).agg(F.sum("x").alias("x")))
-    counts = checkpointed(begin.unionByName(onward).groupBy("s", "u").agg(F.sum("x").alias("c")))
+    counts = written(follow(begin, dag.withColumn("r", F.lit(1.0))).withColumnRenamed("x", "c"), "counts")
     into = counts.select("s", F.col("u").alias("v"), F.col("c").alias("cv"))
-    ratio = checkpointed(dag.join(counts, ["s", "u"]).join(into, ["s", "v"]).select("s", "u", "v", (F.col("c") / F.col("cv")).alias("r")))
-    ends = counts.select("s", "u", F.lit(1.0).alias("x"))
-    shares = hop_sums(ends, lambda at: ratio.join(at.withColumnRenamed("u", "v"), ["s", "v"]).groupBy("s", "u").agg(F.sum(F.col("r") * F.col("x")).alias("x")))
-    return shares.where("s <> u").groupBy(F.col("u").alias("station_id")).agg(F.sum("x").alias("score"))
+    # from a node back to the one before it, with its share of the paths
+    back = dag.join(counts, ["s", "u"]).join(into, ["s", "v"]).select("s", F.col("v").alias("u"), F.col("u").alias("v"), (F.col("c") / F.col("cv")).alias("r"))
+    shares = follow(counts.select("s", "u", F.lit(1.0).alias("x")), back)
+    return shares.where("s <> u").groupBy(F.col("u").alias("station_id")).agg(F.sum(F.col("x") - 1).alias("score"))
 
 
 def neighbour_means(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], layers: int = 2,
