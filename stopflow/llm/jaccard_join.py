@@ -272,12 +272,13 @@ def verify(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int =
     return stored(both.mapInArrow(run, "a long, b long, linked boolean"), "verified")
 
 
-def _across(met: DataFrame, failed: DataFrame, groups: DataFrame, sketch: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a signature at which some pair failed, are in different
-    groups so far, may be linked and have not been compared."""
+def _across(met: DataFrame, failed: DataFrame, copies: DataFrame, groups: DataFrame, sketch: DataFrame, done: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes that share a signature at which some pair failed, are in
+    different groups so far, may be linked and have not been compared."""
     sigs = met.join(failed, ["a", "b"], "left_semi").select("sig").distinct()
-    members = met.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("a", "b")).alias("id")).distinct()
-    members = members.join(groups, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("g"))
+    members = met.join(sigs, "sig", "left_semi").select("sig", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    members = members.join(copies, "doc_id", "left").select("sig", F.coalesce("class_id", "doc_id").alias("id"))
+    members = members.join(groups, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("g")).distinct()
     mixed = members.groupBy("sig").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("sig")
     members = stored(members.join(mixed, "sig", "left_semi").join(sketch, "id"), "mixed")
     pairs = members.alias("x").join(members.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.g") < F.col("y.g")) & may_be_linked(percent))
@@ -307,18 +308,22 @@ def link(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, doc_id: str
     if not bands or not expected:
         return known.select("doc_id", "n_shingles", F.col("class_id").alias("component_id"))
     met = candidates(rows, bands, max(1, -(-expected // PER_BUCKET)), size, percent)
-    copies = known.where("class_id <> doc_id").select("doc_id", "class_id")
+    met = stored(met, "met")
+    copies = stored(known.where("class_id <> doc_id").select("doc_id", "class_id").distinct(), "copies")
+    # the pairs that met, and the classes of both ends
+    named = met.select("a", "b").distinct()
     for c in ("a", "b"):
-        met = met.join(copies.select(F.col("doc_id").alias(c), F.col("class_id").alias("_c")), c, "left").withColumn(c, F.coalesce("_c", c)).drop("_c")
-    met = stored(met.select("sig", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b"), "met")
+        named = named.join(copies.select(F.col("doc_id").alias(c), F.col("class_id").alias("_c")), c, "left").withColumn(f"c{c}", F.coalesce("_c", c)).drop("_c")
+    named = stored(named.where("ca <> cb").select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")), "named")
     sketch = known.where("class_id = doc_id").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits").dropDuplicates(["id"])
-    pairs = met.select("a", "b").distinct()
+    pairs = named.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
     pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.struct("n", "bits").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.struct("n", "bits").alias("y")), "b")
     pairs = stored(pairs.select("a", "b", may_be_linked(percent).alias("likely")), "pairs")
     checked = verify(pairs.where("likely").select("a", "b"), rows, size, percent)
     groups = stored(components(checked.where("linked")), "groups")
-    failed = pairs.select("a", "b").join(checked.where("linked"), ["a", "b"], "left_anti")
-    more = _across(met, failed, groups, sketch, pairs.select("a", "b"), percent)
+    linked = checked.where("linked").select(F.col("a").alias("ca"), F.col("b").alias("cb"))
+    failed = named.join(linked, ["ca", "cb"], "left_anti").select("a", "b")
+    more = _across(met, failed, copies, groups, sketch, pairs.select("a", "b"), percent)
     if not more.isEmpty():
         checked = checked.union(verify(more, rows, size, percent))
         groups = stored(components(checked.where("linked")), "groups")
