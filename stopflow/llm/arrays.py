@@ -7,8 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from stopflow.llm.tokens import forget
+
 # Bytes of text that are turned into numbers at a time; one longer text goes alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,6 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with about `limit` bytes of text, the bytes and the
     place of each text in them. A null text is empty."""
+    forget()
     for batch in batches:
         texts = batch.column(column).cast(pa.large_string()).fill_null("")
         if not len(texts):

@@ -20,8 +20,8 @@ PERCENT = 80
 # Growth of the size bands.
 GROWTH = 1.25
 # Signatures that a task holds before it hands them on, and per bucket.
-TOGETHER = 1_500_000
-PER_BUCKET = 2_000_000
+TOGETHER = 1_000_000
+PER_BUCKET = 1_000_000
 
 # 64-bit words of the parity bits that tell sets apart without their texts.
 PARITY = 16

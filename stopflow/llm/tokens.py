@@ -148,3 +148,8 @@ def encoder(name: str) -> Encoder:
     if name not in held:
         held[name] = Encoder(name)
     return held[name]
+
+
+def forget() -> None:
+    """Gives the memory of remembered words back, for operators without tokens."""
+    sys.__dict__.pop("_stopflow_encoders", None)
