@@ -17,7 +17,7 @@ FRAME = 4_000
 # Without explicit weights a source gets its share of the documents, but no more than this.
 MAX_SHARE = 0.25
 # Rows that a window numbers in one task.
-NUMBERED_TOGETHER = 20_000
+NUMBERED_TOGETHER = 5_000
 
 _SIMULATE = """
 if(size(shares) = 0, cast(array() as array<int>), aggregate(sequence(0, frame - 1), named_struct('a', array_repeat(0L, size(shares)), 'out', cast(array() as array<int>)),
