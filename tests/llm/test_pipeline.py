@@ -43,6 +43,15 @@ def test_stages(spark, stages):
     assert {r["doc_id"] for r in packed} == mixed
 
 
+def test_mixing_keeps_a_source_above_the_ceiling(spark):
+    """Sixty per cent of the documents come from one source."""
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "'x' AS text", "if(id % 10 < 6, 'hot', concat('s', id % 10)) AS source")
+    mixed = P.mix(spark, docs, SF_DIR)
+    assert mixed.columns == docs.columns
+    assert sorted(mixed.collect()) == sorted(docs.collect())
+    assert not all(r["scheduled"] for r in pfair_mix.mix(docs).collect())
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert Counter(P.run(spark, SF_DIR).collect()) == Counter(stages[-1][2].collect())
 
