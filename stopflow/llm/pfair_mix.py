@@ -29,7 +29,7 @@ if(size(shares) = 0, cast(array() as array<int>), aggregate(sequence(0, frame -
 
 
 def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", block: int = BLOCK, frame: int = FRAME, max_share: float = MAX_SHARE) -> DataFrame:
-    """One row (_source, supply, share, frame, slots, favoured) per source.
+    """One row (_source, supply, share, frame, slots, favoured, quota) per source.
 
     Block i of a source with weight w is released at floor((i - 1) / w) and due
     at ceil(i / w); in every slot the released block with the earliest deadline
@@ -40,6 +40,12 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     row of at most `frame` numbers, whatever the size of the corpus. `slots`
     holds the slots of a source within the frame. Sources without a positive
     weight have a share of 0. At most `frame` sources can be mixed.
+
+    `quota` is the number of documents of a source that the stream takes. In
+    fluid time, by the weights before they are rounded, a source is used up
+    after supply / weight documents of the stream; the stream ends with the last
+    favoured source, and the others get their weight of that length. So neither
+    blocks nor the frame change the mixture.
     """
     supply = docs.groupBy(F.col(source).alias("_source")).agg(F.count("*").alias("supply"))
     if weights is None:
@@ -54,13 +60,16 @@ def schedule(docs: DataFrame, weights: Mapping[str | None, float] | None = None,
     whole, all_docs = rated.where("w > 0").agg(F.sum("w")).scalar(), rated.where("w > 0").agg(F.sum("supply")).scalar()
     shares = rated.withColumn("share", F.when(F.col("w") > 0, F.greatest(F.lit(1), F.round(F.col("w") / whole * frame))).otherwise(F.lit(0)).cast("long")) \
         .withColumn("favoured", F.col("w") / whole >= F.col("supply") / all_docs * (1 - 1e-9))
+    length = shares.where("share > 0 AND favoured").agg(F.max(F.col("supply") / F.col("w"))).scalar()
+    due = F.ceil(F.coalesce(length, F.lit(0.0)) * F.col("w") * (1 - 1e-9))
+    shares = shares.withColumn("quota", F.when(F.col("favoured"), F.col("supply")).otherwise(F.least(F.col("supply"), due)).cast("long"))
     row = shares.where("share > 0").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("_source", F.lit("")).alias("name"), F.col("_source").isNull().alias("nil"), F.col("share")))).alias("sources"))
     row = row.withColumn("sources", F.when(F.size("sources") <= frame, F.col("sources")).otherwise(F.raise_error(F.lit(f"more than {frame} sources: raise frame"))))
     row = row.withColumn("shares", F.expr("transform(sources, s -> s.share)")).withColumn("frame", F.expr("aggregate(shares, 0L, (a, x) -> a + x)"))
     slots = row.where("frame > 0").withColumn("picked", F.expr(_SIMULATE)).select("sources", "frame", F.posexplode("picked").alias("slot", "s"))
     slots = slots.groupBy(F.expr("if(sources[s].nil, null, sources[s].name)").alias("_source"), "frame").agg(F.sort_array(F.collect_list("slot")).alias("slots"))
     out = shares.join(slots.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left")
-    return stored(out.select("_source", "supply", "share", "favoured", "frame", "slots", F.lit(block).alias("block")), "schedule")
+    return stored(out.select("_source", "supply", "share", "favoured", "quota", "frame", "slots", F.lit(block).alias("block")), "schedule")
 
 
 def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, frame: int = FRAME, max_share: float = MAX_SHARE) -> DataFrame:
@@ -68,9 +77,10 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     in the block, `release`, `deadline` and `scheduled`; columns of these names
     are replaced. The stream is the documents by (slot, place).
 
-    The stream ends when every source that the weights favour (weight not below
-    its share of the documents) has been used whole; documents of the others
-    that would come later, and sources without weight, have scheduled = false.
+    The stream takes every source whole that the weights favour (weight not below
+    its share of the documents), and of the others as many documents as their
+    weights are worth beside these (`quota`); what they have beyond that, and
+    sources without weight, have scheduled = false.
     Within a source documents go by a hash of the id, equal ids next to each
     other in any order. A null source is a source of its own. Empty tables give
     empty results; the text is never looked at.
@@ -94,9 +104,6 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     slim = rows.select(*docs.columns, "_pf_source", "_pf_part", "_pf_h").withColumn("_pf_row", F.row_number().over(within))
     numbered = slim.join(ahead, F.col("_pf_source").eqNullSafe(F.col("_pf_s")) & (F.col("_pf_part") == F.col("_pf_p"))).select(
         *docs.columns, (F.col("_pf_ahead") + F.col("_pf_row") - 1).alias("_pf_n"))
-    last = F.expr("(_pf_supply + _pf_block - 1) div _pf_block - 1")
-    ends = plan.where("_pf_share > 0 AND _pf_favoured").withColumn("_pf_last", last)
-    end = ends.agg(F.max(F.expr("_pf_last div _pf_share * _pf_frame + _pf_slots[cast(_pf_last % _pf_share as int)]"))).scalar()
 
     def when_shared(sql: str):
         return F.expr(f"if(_pf_share > 0, {sql}, null)")
@@ -104,4 +111,4 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     timed = numbered.join(plan, mine).withColumn("block_no", F.expr("_pf_n div _pf_block")).withColumn("place", F.expr("cast(_pf_n % _pf_block as int)"))
     timed = timed.withColumn("slot", when_shared("block_no div _pf_share * _pf_frame + _pf_slots[cast(block_no % _pf_share as int)]"))
     timed = timed.withColumn("release", when_shared("block_no * _pf_frame div _pf_share")).withColumn("deadline", when_shared("((block_no + 1) * _pf_frame + _pf_share - 1) div _pf_share"))
-    return timed.withColumn("scheduled", F.coalesce(F.col("slot") <= end, F.lit(False))).select(*docs.columns, *added)
+    return timed.withColumn("scheduled", F.expr("_pf_share > 0 AND _pf_n < _pf_quota")).select(*docs.columns, *added)

@@ -2,6 +2,7 @@ from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from stopflow.llm import pfair_mix as P
 
@@ -64,6 +65,25 @@ def test_deviation_is_below_one_block(corpus, weights):
     assert favoured and all(r["scheduled"] for r in rows if r["source"] in favoured)
 
 
+@pytest.mark.parametrize("n", [1_000, 40_000])
+@pytest.mark.parametrize("rare", [0, 1])
+def test_mixture_does_not_depend_on_size_or_rare_sources(spark, n, rare):
+    """A source of one document neither delays the end nor lets the ceiling lapse."""
+    docs = spark.range(n).selectExpr("id AS doc_id", "if(id % 10 < 6, 'hot', concat('s', id % 10)) AS source")
+    if rare:
+        docs = docs.union(spark.createDataFrame([(n, "rare")], "doc_id long, source string"))
+    taken = {r["source"]: r["n"] for r in P.mix(docs).where("scheduled").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert taken == {"hot": -(-(n + rare) // 4), **{f"s{k}": n // 10 for k in range(6, 10)}, **({"rare": 1} if rare else {})}
+
+
+def test_weights_below_a_slot_of_the_frame(spark):
+    """A weight of 1.49 slots is not rounded to one slot of the mixture."""
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "if(id < 149, 'rare', if(id < 6000, 'b', 'hot')) AS source")
+    weights = {"rare": 0.0149, "b": 0.7151, "hot": 0.27}
+    taken = {r["source"]: r["n"] for r in P.mix(docs, weights, frame=100).where("scheduled").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert taken == {"rare": 149, "b": 5851, "hot": 2700}
+
+
 def test_hot_source_is_numbered_in_parts(corpus, monkeypatch):
     monkeypatch.setattr(P, "NUMBERED_TOGETHER", 50)
     rows = [r for r in P.mix(corpus, block=4, frame=300).collect() if r["source"] == "a"]
