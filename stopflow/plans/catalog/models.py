@@ -13,8 +13,6 @@ from stopflow.plans.catalog.features import feature_store
 from stopflow.plans.registry import query
 from stopflow.session import checkpointed, scratch_path
 
-FAST = {"rounds": 8, "depth": 4}
-
 
 def store(t: Tables, scenario: str = "A"):
     """Feature store with splits, written once: several fits read it."""
@@ -32,21 +30,21 @@ def _summary(model: training.StopModel, data):
 @query("m1_logistic")
 def m1(t: Tables):
     data, names = store(t, "B")
-    return _summary(training.fit("logreg", data, "B", names, rounds=20), data)
+    return _summary(training.fit("logreg", data, "B", names), data)
 
 
 @query("m2_boosted_trees")
 def m2(t: Tables):
     data, names = store(t, "B")
-    return _summary(training.fit("boost_deep", data, "B", names, **FAST), data).unionByName(
-        _summary(training.fit("boost_shallow", data, "B", names, **FAST), data))
+    return _summary(training.fit("boost_deep", data, "B", names), data).unionByName(
+        _summary(training.fit("boost_shallow", data, "B", names), data))
 
 
 @query("m3_graph_model")
 def m3(t: Tables):
     data, _ = store(t, "A")
     slim = data.drop("seq", "k", "user_id", "delay_int")
-    model, joined = training.fit_graph_model(slim, t.stations, t.edges, "A", **FAST)
+    model, joined = training.fit_graph_model(slim, t.stations, t.edges, "A")
     return _summary(model, joined)
 
 
@@ -54,7 +52,7 @@ def m3(t: Tables):
 def m5(t: Tables):
     data, _ = store(t, "B")
     slim = data.drop("seq", "k", "user_id", "delay_int")
-    out = training.run_matrix(slim, scratch_path(t.spark, "runs"), rounds=5, depth=3)
+    out = training.run_matrix(slim, scratch_path(t.spark, "runs"))
     return out.withColumns({c: C.r6(c) for c in out.columns if c not in ("model", "scenario", "n", "status")})
 
 
@@ -70,7 +68,7 @@ def cause_data(t: Tables):
 @query("m7_cause_models")
 def m7(t: Tables):
     data = cause_data(t)
-    models = causes.fit_models(data, CAUSE_COLUMNS, rounds=4, trees=5, depth=3)
+    models = causes.fit_models(data, CAUSE_COLUMNS)
     out = causes.benchmark(models, data)
     return out.withColumns({"accuracy": C.r6("accuracy"), "macro_f1": C.r6("macro_f1")})
 
@@ -78,8 +76,8 @@ def m7(t: Tables):
 @query("m8_stacked_causes")
 def m8(t: Tables):
     data = cause_data(t)
-    models = causes.fit_models(data, CAUSE_COLUMNS, rounds=4, trees=5, depth=3, names=("logreg", "rf"))
-    stack = causes.fit_stack(models, data, rounds=10)
+    models = causes.fit_models(data, CAUSE_COLUMNS)
+    stack = causes.fit_stack(models, data)
     out = causes.benchmark(models, data, stack)
     return out.withColumns({"accuracy": C.r6("accuracy"), "macro_f1": C.r6("macro_f1")})
 
@@ -89,7 +87,7 @@ def m10(t: Tables):
     """Fit on NL causes, score disrupted stops of the other countries."""
     data = checkpointed(cause_features(with_split(feature_store(t), splits=EVENT_SPLITS)))
     labelled = checkpointed(causes.label_causes(data, t.faults, country="NL"))
-    models = causes.fit_models(labelled, CAUSE_COLUMNS, rounds=4, trees=5, depth=3, names=("logreg", "rf"))
+    models = causes.fit_models(labelled, CAUSE_COLUMNS)
     name = causes.pick_for_transfer(causes.benchmark(models, labelled))
     scored = models.score(data.where("y_stop = 1 AND country <> 'NL'"), name)
     return causes.transfer_summary(scored).withColumns({"share": C.r6("share"), "mean_confidence": F.round("mean_confidence", 3)})
@@ -119,13 +117,12 @@ def e11_fit(t: Tables):
 @query("x1_permutation_importance")
 def x1_permutation(t: Tables):
     data, names = store(t, "B")
-    model = training.fit("boost_shallow", data, "B", names, **FAST)
-    some = ["prev_stop_actual_delay", "station_lag7_rate", "weather_severity"]
-    return training.permutation_importance(model, data.where("split = 'test'"), ["seq"], some).withColumn("drop", C.r6("drop"))
+    model = training.fit("boost_shallow", data, "B", names)
+    return training.permutation_importance(model, data.where("split = 'test'"), ["seq"]).withColumn("drop", C.r6("drop"))
 
 
 @query("x8_lag_ablation")
 def x8(t: Tables):
     data, _ = store(t, "B")
-    out = training.lag_ablation(data.drop("seq", "k", "user_id", "delay_int"), "B", **FAST)
+    out = training.lag_ablation(data.drop("seq", "k", "user_id", "delay_int"), "B")
     return out.withColumn("pr_auc", C.r6("pr_auc"))

@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,18 +105,34 @@ def fit_models(labelled: DataFrame, columns: Sequence[str], rounds: int = 20, tr
     return out
 
 
-def fit_stack(models: CauseModels, labelled: DataFrame, bases: Sequence[str] = ("logreg", "rf"), rounds: int = 50) -> PipelineModel:
+class _Softmax(Transformer):
+    """Turns the margins of one-against-rest models into probabilities."""
+
+    def __init__(self, out: str):
+        super().__init__()
+        self.out = out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        powers = F.transform(vector_to_array("rawPrediction"), F.exp)
+        total = F.aggregate(powers, F.lit(0.0), lambda a, x: a + x)
+        return dataset.withColumn(self.out, array_to_vector(F.transform(powers, lambda x: x / total))).drop("rawPrediction")
+
+
+def fit_stack(models: CauseModels, labelled: DataFrame, bases: Sequence[str] | None = None, rounds: int = 50) -> PipelineModel:
     """Second generation: a meta-learner over the base models' probability
-    vectors on the validation rows, as one chain of transformers."""
+    vectors on the validation rows, as one chain of transformers. All fitted
+    models are bases unless some are named."""
+    bases = list(bases or models.models)
     index = F.array(*[F.lit(c) for c in models.classes])
     rows = models.prepare(labelled.where("split = 'val'")).withColumn(
         "y_cause", (F.array_position(index, F.col("cause_group")) - 1).cast("double")).where("y_cause >= 0")
     stages: list[Transformer] = []
     for name in bases:
         base = models.models[name].copy()
-        for param, value in (("probabilityCol", f"prob_{name}"), ("rawPredictionCol", f"raw_{name}"), ("predictionCol", f"pred_{name}")):
-            base = base._set(**{param: value})
-        stages.append(base)
+        if base.hasParam("probabilityCol"):
+            stages.append(base._set(probabilityCol=f"prob_{name}", rawPredictionCol=f"raw_{name}", predictionCol=f"pred_{name}"))
+        else:
+            stages += [base._set(predictionCol=f"pred_{name}"), _Softmax(f"prob_{name}")]
     stages.append(VectorAssembler(inputCols=[f"prob_{n}" for n in bases], outputCol="stacked"))
     chained = rows
     for s in stages:
