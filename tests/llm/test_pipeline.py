@@ -43,6 +43,16 @@ def test_stages(spark, stages):
     assert {r["doc_id"] for r in packed} == mixed
 
 
+def test_one_row_of_a_repeated_or_null_id_stays(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, "a"), (2, text, "a"), (2, text, "a"), (3, other, None), (3, other, "z"), (None, text, "a"), (None, "alone", "b"), (None, "alone", "a"), (4, None, "a"), (5, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = [(1, text, "a"), (3, other, None), (4, None, "a"), (5, None, "a"), (None, "alone", "a")]
+    assert Counter(tuple(r) for r in P.deduplicate(spark, docs, SF_DIR).collect()) == Counter(want)
+    same = docs.where("doc_id > 3")
+    assert Counter(P.deduplicate(spark, same, SF_DIR).collect()) == Counter(same.collect())
+
+
 def test_mixing_keeps_a_source_above_the_ceiling(spark):
     """Sixty per cent of the documents come from one source."""
     docs = spark.range(10_000).selectExpr("id AS doc_id", "'x' AS text", "if(id % 10 < 6, 'hot', concat('s', id % 10)) AS source")
