@@ -17,7 +17,7 @@ from stopflow.llm.packed import cuts, pack, pack_sorted, unpack, unpack_sorted
 
 WORDS = 5
 PERCENT = 80
-# Growth of the size bands.
+# Growth of the size bands, at least.
 GROWTH = 1.25
 # Signatures that a task holds before it hands them on, and per bucket.
 TOGETHER = 1_000_000
@@ -154,7 +154,8 @@ def plan(known: DataFrame, percent: int = PERCENT) -> tuple[list[Band], int]:
     number of signatures. Sizes are counted per band, so the driver gets one
     short row for each."""
     largest = known.agg(F.max("n_shingles")).first()[0] or 0
-    low = bounds(largest)
+    # a set and those linked with it lie in the same band or in neighbouring ones
+    low = bounds(largest, max(GROWTH, 100 / percent))
     edges = F.array(*[F.lit(x) for x in low])
     rows = known.where("n_shingles > 0").groupBy("n_shingles").count().withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("n_shingles"))) - 1)
     stats = {r["band"]: (r["n"], r["total"]) for r in rows.groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_shingles")).alias("total")).collect()}

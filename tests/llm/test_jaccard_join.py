@@ -89,6 +89,18 @@ def test_groups_as_by_brute_force(spark, monkeypatch, forced):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("percent", [50, 70])
+def test_lower_percentages_as_by_brute_force(spark, percent):
+    """Sets up to the bound apart, each with one that holds it whole."""
+    rows = []
+    for n in (*range(6, 40), 60, 90):
+        words = [f"w{n}.{i}" for i in range((n * 100) // percent + 4)]
+        rows += [(2 * n, " ".join(words[:n + 4])), (2 * n + 1, " ".join(words))]
+    want = brute(rows, percent)
+    assert len({c for _, c in want.values()}) == len(rows) // 2
+    assert result(J.link(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent)) == want
+
+
 def test_documents_as_by_brute_force(spark):
     if not os.path.isdir(SF_DIR):
         pytest.skip("test tables not present")
