@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import best_fit, embedding_join, host_reputation, jaccard_join, katz, language_mixture, pfair_mix, quality_attention, quality_rules, records
+from stopflow.llm import best_fit, embedding_join, host_reputation, jaccard_join, katz, language_mixture, merkle, permuterm, pfair_mix, quality_attention, quality_rules, records
 from stopflow.llm.frames import fold_of, table
 from stopflow.session import scratch_path
 
@@ -129,6 +129,69 @@ def op10_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(table(spark, sf_dir, "documents").withColumn("held_out", fold_of() == 1))
 
 
+# CRC-32 of the text {}: bit by bit over its UTF-8 bytes, given as hexadecimal digits
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, (length(hex(encode({0}))) // 2 + 1)::bigint), lambda i: [
+    (instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i - 1, 1)) * 16 + instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i, 1)) - 17)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+
+@_query(f"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS MATERIALIZED (SELECT run, coalesce(doc_id::varchar, '') || ':' || run AS s, count(*) AS c FROM r GROUP BY ALL),
+h AS MATERIALIZED (SELECT run, c, {_CRC.format("s")} AS h FROM u),
+w AS MATERIALIZED (SELECT word, sum(c)::bigint AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run) + 2)::bigint) ELSE run END AS word, c FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+    UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word),
+b AS (SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, encode(other)) AS other, max(n) AS other_n FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0)::bigint AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n FROM w LEFT JOIN b USING (word)),
+t AS (SELECT word, coalesce(form, word) AS root, form IS NULL AS ended FROM f UNION ALL SELECT t.word, coalesce(f.form, t.root), f.form IS NULL FROM t JOIN f ON f.word = t.root WHERE NOT t.ended)
+SELECT f.word, n, n_near, form, form_n, root FROM f JOIN t USING (word) WHERE ended
+""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, the near words of each, and the form they vary."""
+    return permuterm.group(permuterm.vocabulary(table(spark, sf_dir, "documents")))
+
+
+def _merkle_sql(levels: int = 5, fanout: int = 16) -> str:
+    """Trees of at most `fanout` ** `levels` leaves, one CTE a level."""
+    value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
+    kept = " || ".join(value(c) for c in merkle.COLUMNS)
+    changed = f"CASE WHEN doc_id IS NOT NULL AND {_CRC.format('doc_id::varchar')} % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    after = " || ".join(value(c) if c != "text" else value("changed") for c in merkle.COLUMNS)
+    ctes = [f"""docs AS MATERIALIZED (SELECT doc_id, source, sha256({kept}) AS leaf, sha256({after}) AS given FROM (SELECT *, {changed} AS changed FROM documents))""",
+            "l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM docs)"]
+
+    def tree(name: str, leaves: str) -> None:
+        ctes.append(f"{name}0 AS MATERIALIZED ({leaves})")
+        for k in range(1, levels + 1):
+            # a tree of one node goes up unchanged and has no siblings
+            ctes.append(f"""{name}{k} AS MATERIALIZED (SELECT tree, rank // {fanout} AS rank, CASE WHEN any_value(size) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY rank)) END AS d, (any_value(size) + {fanout - 1}) // {fanout} AS size,
+                CASE WHEN any_value(size) > 1 THEN list(d ORDER BY rank) ELSE [] END AS family FROM {name}{k - 1} GROUP BY tree, rank // {fanout})""")
+
+    tree("n", "SELECT coalesce('s' || source, '') AS tree, rank, leaf AS d, count(*) OVER (PARTITION BY source) AS size FROM l")
+    ctes.append(f"s AS MATERIALIZED (SELECT tree AS source, d AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS rank FROM n{levels})")
+    tree("m", "SELECT 0 AS tree, rank, subroot AS d, count(*) OVER () AS size FROM s")
+    joins = "".join(f" JOIN n{k} AS a{k} ON a{k}.tree = s.source AND a{k}.rank = l.rank // {fanout ** k}" for k in range(1, levels + 1))
+    joins += "".join(f" JOIN m{k} AS b{k} ON b{k}.rank = s.rank // {fanout ** k}" for k in range(1, levels + 1))
+    ways = [(f"a{k}", "l.rank", k) for k in range(1, levels + 1)] + [(f"b{k}", "s.rank", k) for k in range(1, levels + 1)]
+    at = {(a, r, k): f"({r} // {fanout ** (k - 1)} % {fanout})::bigint" for a, r, k in ways}
+    text = lambda part: f"coalesce(array_to_string({part}, ''), '')"
+    left = {w: text(f"list_slice({w[0]}.family, 1, {at[w]})") for w in ways}
+    right = {w: text(f"list_slice({w[0]}.family, {at[w]} + 2, len({w[0]}.family))") for w in ways}
+    proof = " || ".join(f"{left[w]} || {right[w]}" for w in ways)
+    steps = ", ".join(f"CASE WHEN len({w[0]}.family) > 0 THEN [{left[w]}, {right[w]}] END" for w in ways)
+    folded = "list_reduce(list_prepend([given], path), lambda x, p: CASE WHEN p IS NULL THEN x ELSE [sha256(p[1] || x[1] || p[2])] END)[1]"
+    return f"""WITH {", ".join(ctes)}, p AS (SELECT l.doc_id, l.source, leaf, given, s.subroot, b{levels}.d AS root, sha256({proof}) AS proof_sha256, [{steps}] AS path FROM l JOIN s ON s.source = coalesce('s' || l.source, ''){joins}),
+    q AS (SELECT *, {folded} AS folded_root FROM p) SELECT doc_id, source, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM q"""
+
+
+@_query(_merkle_sql())
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
