@@ -48,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     place of each text in them. A null text is empty."""
     forget()
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_string()).fill_null("")
+        texts = batch.column(column).cast(pa.large_binary()).fill_null(b"")
         if not len(texts):
             continue
         _, offsets, data = texts.buffers()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stopflow.llm import best_fit, embedding_join, host_reputation, jaccard_join, katz, language_mixture, merkle, permuterm, pfair_mix, quality_attention, quality_rules, records
+from stopflow.llm import best_fit, embedding_join, host_reputation, jaccard_join, katz, language_mixture, merkle, permuterm, pfair_mix, quality_attention, quality_rules, records, run_index
 from stopflow.llm.frames import fold_of, table
 from stopflow.session import scratch_path
 
@@ -153,6 +153,22 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permuterm.group(permuterm.vocabulary(table(spark, sf_dir, "documents")))
 
 
+@_query("""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, i, coalesce(doc_id, -1)::hugeint * 4294967296 + i AS pos, md5(substr(x, 2 * i + 1, 200)) AS k FROM (SELECT *, unnest(range(0, length(x) // 2 - 99)) AS i FROM t)),
+m AS (SELECT r, i FROM (SELECT r, i, pos, min(pos) OVER (PARTITION BY k) AS least FROM w) WHERE pos > least),
+g AS (SELECT r, i, sum(CASE WHEN i > coalesce(prev, -101) + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS prev FROM m)),
+s AS (SELECT r, min(i) AS s, max(i) + 100 AS e FROM g GROUP BY r, g),
+p AS (SELECT r, s, e, lag(e, 1, 0) OVER (PARTITION BY r ORDER BY s) AS prev FROM s),
+k AS (SELECT r, sum(e - s) AS removed, count(*) AS spans, string_agg(substr(x, 2 * prev + 1, 2 * (s - prev)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS kept FROM p JOIN t USING (r) GROUP BY r)
+SELECT doc_id, length(x) // 2 AS n_bytes, coalesce(removed, 0)::bigint AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM t LEFT JOIN k USING (r)
+""")
+def op12_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without long strings that start earlier."""
+    left = run_index.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _merkle_sql(levels: int = 5, fanout: int = 16) -> str:
     """Trees of at most `fanout` ** `levels` leaves, one CTE a level."""
     value = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::varchar) || ':' || {c}::varchar END"
