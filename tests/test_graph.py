@@ -43,21 +43,38 @@ def case(spark):
 
 
 @pytest.mark.parametrize("hops", [1, 3, 8])
-def test_betweenness(case, monkeypatch, hops):
+def test_betweenness_by_joins(case, monkeypatch, hops):
     e, n, want = case
     monkeypatch.setattr(G, "HOPS", hops)
+    got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n, most_edges=0).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_betweenness(case):
+    e, n, want = case
     got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n).collect()}
     assert got == pytest.approx(want)
 
 
-def test_betweenness_of_a_long_line(spark):
+@pytest.mark.parametrize("most_edges", [0, G.EDGES])
+def test_betweenness_of_a_long_line(spark, most_edges):
     """No limit on the number of hops: a line of 30 stations, one way."""
     e = spark.createDataFrame([(f"n{i:02d}", f"n{i + 1:02d}", 1.0) for i in range(29)], "station_from string, station_to string, distance_km double")
     n = spark.createDataFrame([(f"n{i:02d}",) for i in range(30)], "station_id string")
-    got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n).collect()}
+    got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n, most_edges).collect()}
     assert got == pytest.approx({f"n{i:02d}": i * (29 - i) / (29 * 28) for i in range(30)})
 
 
+def test_unreachable_and_isolated_stations(spark):
+    e = spark.sql("SELECT * FROM VALUES ('a', 'b', 1D), ('b', 'c', 1D), ('x', 'y', 1D), ('c', 'c', 3D), ('out', 'b', 1D), (null, 'a', 1D) AS t(station_from, station_to, distance_km)")
+    n = spark.createDataFrame([(x,) for x in ("a", "b", "c", "alone", "x", "y", "y", "out")], "station_id string")
+    for most_edges in (0, G.EDGES):
+        got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n, most_edges).collect()}
+        assert got == pytest.approx({"a": 0, "b": 2 / 30, "c": 0, "alone": 0, "x": 0, "y": 0, "out": 0})
+    empty = G.betweenness(e.limit(0), n).collect()
+    assert {r["betweenness_centrality"] for r in empty} == {0.0}
+
+
 def test_zero_distance_counts_as_one(spark):
     e = spark.sql("SELECT * FROM VALUES ('a', 'b', 0D), ('b', 'c', 0D), ('a', 'c', 5D) AS t(station_from, station_to, distance_km)")
     n = spark.createDataFrame([("a",), ("b",), ("c",)], "station_id string")
