@@ -1,10 +1,10 @@
 """Ranking, calibration and classification metrics.
 
-Everything starts from score points: one row per distinct score (counts of rows
-and positives). Running totals over the scores are taken per slice of the score
-axis, with the slice totals added afterwards, so no task sees a whole curve.
-A slice table has at most SCORE_SLICES rows per group, because scores lie in
-[0, 1].
+Everything starts from cells: one row per distinct score with its rows,
+positives, predicted positives and hits, from one aggregate of the predictions.
+Running totals over the scores are taken in ranges of sorted scores
+(`ranges.py`), so no task sees a whole curve, however the scores crowd. Ranking
+metrics, calibration bins and counts all read the same cells.
 """
 
 from __future__ import annotations
@@ -15,9 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopflow.functions import constants as K
-from stopflow.operators.quantiles import quantiles
-
-SCORE_SLICES = 100_000
+from stopflow.operators import ranges
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -25,29 +23,29 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
+def cells(preds: DataFrame, groups: Sequence[str], score: str, label: str, pred: str | None = None) -> DataFrame:
+    """Distinct scores per group in sorted ranges: `n` rows, `pos` positives and,
+    with `pred`, `called` predicted positives and `hits` true ones."""
+    sums = {"n": F.count(F.lit(1)), "pos": F.sum(F.col(label).cast("long"))}
+    if pred:
+        sums |= {"called": F.sum(F.col(pred).cast("long")), "hits": F.sum((F.col(pred) * F.col(label)).cast("long"))}
+    rows = preds.groupBy(*groups, F.col(score).alias("score")).agg(*[v.alias(k) for k, v in sums.items()])
+    return ranges.spread(rows, groups, "score", "cells")
+
+
+def _above(running: DataFrame) -> DataFrame:
+    """Rows and positives at or above each score, from those below it."""
+    return running.withColumns({"n_ge": F.col("all_n") - F.col("below_n"), "tp": F.col("all_pos") - F.col("below_pos")}).withColumnsRenamed({"all_n": "n_all", "all_pos": "n_pos"})
+
+
 def score_points(preds: DataFrame, groups: Sequence[str], score: str, label: str) -> DataFrame:
     """Distinct scores per group with `n_ge`, `tp` (rows and positives at or
     above the score) and group totals `n_all`, `n_pos`."""
     groups = list(groups)
     keys = groups or ["_all"]
-    if not groups:
-        preds = preds.withColumn("_all", F.lit(1))
-    points = preds.groupBy(*keys, F.col(score).alias("score")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(label).alias("pos"))
-    points = points.withColumn("_s", F.least(F.greatest(F.floor(F.col("score") * SCORE_SLICES), F.lit(0)),
-                                             F.lit(SCORE_SLICES - 1)))
-    per_slice = points.groupBy(*keys, "_s").agg(F.sum("n").alias("sn"), F.sum("pos").alias("sp"))
-    whole = Window.partitionBy(*keys)
-    above = whole.orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys, "_s", F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("on"),
-        F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("op"),
-        F.sum("sn").over(whole).alias("n_all"), F.sum("sp").over(whole).alias("n_pos"))
-    inside = Window.partitionBy(*keys, "_s").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    joined = points.join(offsets, [*keys, "_s"])
-    out = joined.select(*keys, "score", "n", "pos", (F.col("on") + F.sum("n").over(inside)).alias("n_ge"),
-                        (F.col("op") + F.sum("pos").over(inside)).alias("tp"), "n_all", "n_pos")
-    return out if groups else out.drop("_all")
+    placed = cells(preds if groups else preds.withColumn("_all", F.lit(1)), keys, score, label)
+    out = _above(ranges.running(placed, keys, "score", ["n", "pos"]))
+    return out.select(*groups, "score", "n", "pos", "n_ge", "tp", "n_all", "n_pos")
 
 
 def pr_auc(points: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -95,19 +93,23 @@ def reliability(preds: DataFrame, groups: Sequence[str], score: str, label: str,
     """Quantile bins: mean score, share of positives, rows. A score belongs to
     the bin numbered by the inner edges strictly below it."""
     groups = list(groups)
-    edges = quantiles(preds, groups, score, {f"e{i}": i / bins for i in range(1, bins)})
-    points = preds.groupBy(*groups, F.col(score).alias("_p")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_y"))
-    inner = [F.col(f"e{i}") for i in range(1, bins)]
-    if groups:
-        joined = points.join(edges, groups)
-    else:
-        packed = edges.select(F.struct(*[f"e{i}" for i in range(1, bins)])).scalar()
-        joined = points.withColumn("_e", packed).select("*", "_e.*")
-    bin_no = sum(((e < F.col("_p")).cast("int") for e in inner), F.lit(0))
-    n = F.sum("_n")
-    return joined.groupBy(*groups, bin_no.alias("bin")).agg(
-        n.alias("n"), (F.sum(F.col("_p") * F.col("_n")) / n).alias("mean_score"), (F.sum("_y") / n).alias("share_positive"))
+    keys = groups or ["_all"]
+    placed = cells(preds if groups else preds.withColumn("_all", F.lit(1)), keys, score, label)
+    edges = _edges(ranges.running(placed, keys, "score", ["n"]), keys, bins)
+    return _binned(placed, edges, keys, bins).drop(*([] if groups else ["_all"]))
+
+
+def _edges(running: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    """Inner edges of the quantile bins, as an array."""
+    names = {f"e{i}": i / bins for i in range(1, bins)}
+    return ranges.picks(running, keys, "score", "n", names).select(*keys, F.array(*names).alias("edges"))
+
+
+def _binned(placed: DataFrame, edges: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+    bin_no = F.aggregate("edges", F.lit(0), lambda a, e: a + (e < F.col("score")).cast("int"))
+    n = F.sum("n")
+    return placed.join(edges, list(keys)).groupBy(*keys, bin_no.alias("bin")).agg(
+        n.alias("n"), (F.sum(F.col("score") * F.col("n")) / n).alias("mean_score"), (F.sum("pos") / n).alias("share_positive"))
 
 
 def ece(preds: DataFrame, groups: Sequence[str], score: str, label: str, bins: int = 10) -> DataFrame:
@@ -124,21 +126,25 @@ def full_metrics(preds: DataFrame, groups: Sequence[str], score: str = "p_disrup
                  pred: str = "y_pred", bins: int = 10) -> DataFrame:
     """All headline metrics per group; zeros for groups with one class.
 
-    The score points are computed once and serve every ranking metric.
+    The predictions are aggregated once; everything else reads the cells.
     """
     groups = list(groups)
-    points = score_points(preds, groups, score, label)
+    placed = cells(preds, groups, score, label, pred)
+    below = ranges.running(placed, groups, "score", ["n", "pos"])
     neg = F.col("n") - F.col("pos")
     neg_all = F.col("n_all") - F.col("n_pos")
     neg_below = neg_all - (F.col("n_ge") - F.col("tp"))
     d0, d1 = F.col("score"), F.col("score") - 1
-    ranking = points.groupBy(*groups).agg(
+    ranking = _above(below).groupBy(*groups).agg(
         F.max("n_all").alias("n"), F.max("n_pos").alias("n_pos"),
         _ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n_ge")), F.max("n_pos")).alias("pr_auc"),
         _ratio(F.sum(F.col("pos") * (neg_below + neg / 2.0)), F.max(F.col("n_pos") * neg_all)).alias("roc_auc"),
-        (F.sum(neg * d0 * d0 + F.col("pos") * d1 * d1) / F.max("n_all")).alias("brier"))
-    hits = threshold_metrics(preds, groups, label, pred).select(*groups, "f1", "precision", "recall")
-    out = ranking.join(hits, groups).join(ece(preds, groups, score, label, bins), groups)
+        (F.sum(neg * d0 * d0 + F.col("pos") * d1 * d1) / F.max("n_all")).alias("brier"),
+        _ratio(2.0 * F.sum("hits"), F.sum("called") + F.sum("pos")).alias("f1"),
+        _ratio(F.sum("hits"), F.sum("called")).alias("precision"), _ratio(F.sum("hits"), F.sum("pos")).alias("recall"))
+    binned = _binned(placed, _edges(below, groups, bins), groups, bins)
+    gap = binned.groupBy(*groups).agg(F.avg(F.abs(F.col("share_positive") - F.col("mean_score"))).alias("ece"))
+    out = ranking.join(gap, groups)
     names = ["pr_auc", "roc_auc", "f1", "precision", "recall", "brier", "ece"]
     one_class = (F.col("n_pos") == 0) | (F.col("n_pos") == F.col("n"))
     return out.select(*groups, "n", *[F.when(one_class, F.lit(0.0)).otherwise(F.col(c)).alias(c) for c in names])
@@ -147,12 +153,12 @@ def full_metrics(preds: DataFrame, groups: Sequence[str], score: str = "p_disrup
 def metrics_by_group(preds: DataFrame, groups: Sequence[str], score: str = "p_disrupted", label: str = "y_stop",
                      pred: str = "y_pred") -> DataFrame:
     """PR-AUC and F1 per group; groups with one class are left out."""
-    points = score_points(preds, groups, score, label)
-    rank = points.groupBy(*groups).agg(
+    groups = list(groups)
+    points = _above(ranges.running(cells(preds, groups, score, label, pred), groups, "score", ["n", "pos"]))
+    return points.groupBy(*groups).agg(
         F.max("n_all").alias("n"), F.max("n_pos").alias("_pos"),
-        _ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n_ge")), F.max("n_pos")).alias("pr_auc"))
-    f1 = threshold_metrics(preds, groups, label, pred).select(*groups, "f1")
-    return rank.where("_pos > 0 AND _pos < n").drop("_pos").join(f1, list(groups))
+        _ratio(F.sum(F.col("pos") * F.col("tp") / F.col("n_ge")), F.max("n_pos")).alias("pr_auc"),
+        _ratio(2.0 * F.sum("hits"), F.sum("called") + F.sum("pos")).alias("f1")).where("_pos > 0 AND _pos < n").drop("_pos")
 
 
 def precision_at_recall(points: DataFrame, groups: Sequence[str], targets: Sequence[float] = K.RECALL_TARGETS) -> DataFrame:

@@ -1,75 +1,41 @@
-"""Exact quantiles and cumulative counts without a single-task aggregate.
+"""Exact quantiles without a single-task aggregate.
 
 Spark's `percentile` keeps every distinct value of a group in one task. Here
-values are counted first (map-side combined), each group's range is cut into
-slices, and only the slices that contain a wanted rank are ranked.
+values are counted first (map-side combined) and sorted into ranges, and only
+the ranges that hold a wanted rank are ranked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopflow.operators import ranges
 
-SLICES = 2_000
 
-
-def _spread(value: Column) -> Column:
-    """Signed fourth root: order-preserving, and tames long tails."""
-    return F.signum(value) * F.sqrt(F.sqrt(F.abs(value)))
+def counted(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Distinct values `_v` per group with their number of rows `_c`; NULL and NaN are skipped."""
+    v = F.col(value).cast("double")
+    return df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*groups, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
 
 
-def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float],
-              slices: int = SLICES) -> DataFrame:
+def quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated exact quantiles per group: one column per entry of
     `probs` (name -> probability), plus `n_values`. NULL and NaN values are
-    skipped, and so are NULL groups."""
+    skipped, and so are NULL groups. Without groups, no values give no row."""
     groups = list(groups)
     keys = groups or ["_all"]
-    if not groups:
-        df = df.withColumn("_all", F.lit(1))
-    v = F.col(value).cast("double")
-    counts = (
-        df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    bounds = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_total"))
-    scale = F.nullif(_spread(F.col("_hi")) - _spread(F.col("_lo")), F.lit(0.0))
-    index = F.floor((_spread(F.col("_v")) - _spread(F.col("_lo"))) / scale * F.lit(float(slices)))
-    placed = counts.join(bounds, keys).select(
-        *keys, "_v", "_c", "_total",
-        F.least(F.coalesce(index, F.lit(0)), F.lit(slices - 1)).alias("_s"))
-
-    per_slice = placed.groupBy(*keys, "_s").agg(
-        F.sum("_c").alias("_sc"), F.max("_total").alias("_total"))
-    w = Window.partitionBy(*keys).orderBy("_s")
-    ranked = per_slice.withColumn("_end", F.sum("_sc").over(w)).withColumn(
-        "_start", F.col("_end") - F.col("_sc"))
-    ranks = {name: (F.col("_total") - 1) * F.lit(float(q)) for name, q in probs.items()}
-    wanted = F.lit(False)
-    for rank in ranks.values():
-        for r in (F.floor(rank), F.ceil(rank)):
-            wanted = wanted | ((r >= F.col("_start")) & (r < F.col("_end")))
-    near = ranked.where(wanted).select(*keys, "_s", "_start")
-
-    inside = Window.partitionBy(*keys, "_s").orderBy("_v")
-    candidates = (
-        placed.join(near, [*keys, "_s"])
-        .withColumn("_to", F.col("_start") + F.sum("_c").over(inside))
-        .withColumn("_from", F.col("_to") - F.col("_c"))
-    )
-    picks = []
-    for i, rank in enumerate(ranks.values()):
-        for side, r in (("l", F.floor(rank)), ("h", F.ceil(rank))):
-            hit = (r >= F.col("_from")) & (r < F.col("_to"))
-            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    picked = candidates.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
-    out = [(F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (rank - F.floor(rank))).alias(name)
-           for i, (name, rank) in enumerate(ranks.items())]
-    return picked.select(*groups, F.col("_total").alias("n_values"), *out)
+    known = df.dropna(subset=groups) if groups else df.withColumn("_all", F.lit(1))
+    placed = ranges.spread(counted(known, keys, value), keys, "_v", "values")
+    return of_counted(placed, keys, probs).select(*groups, F.col("_total").alias("n_values"), *probs)
+
+
+def of_counted(placed: DataFrame, keys: Sequence[str], probs: dict[str, float]) -> DataFrame:
+    """Quantiles of counted values that are already spread."""
+    near = ranges.wanted(ranges.range_totals(placed, keys, ["_c"]), "_c", probs)
+    return ranges.picks(ranges.running(placed, keys, "_v", ["_c"], near), keys, "_v", "_c", probs)
 
 
 def median(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
@@ -86,4 +52,3 @@ def melt(df: DataFrame, keep: Sequence[str], columns: Sequence[str],
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """Quantiles of several columns in one pass: one row per column."""
     return quantiles(melt(df, [], columns), ["column"], "value", probs)
-

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
-from stopflow.operators import guards
+from stopflow.operators import calibration, guards
 from stopflow.operators import metrics as M
 from stopflow.operators.features import cause_features
 from stopflow.operators.splits import with_split
@@ -93,7 +93,28 @@ def m10(t: Tables):
     return causes.transfer_summary(scored).withColumns({"share": C.r6("share"), "mean_confidence": F.round("mean_confidence", 3)})
 
 
-@query("e11_isotonic_calibration")
+# the fit by its max-min formula: at each score the largest of the least means of what begins at or before it
+ISOTONIC_SQL = """pt AS (SELECT p_disrupted AS p, avg(y_stop) AS y, count(*) AS w, row_number() OVER (ORDER BY p_disrupted) AS i FROM runs WHERE split = 'val' AND scenario = 'A' GROUP BY 1),
+    c AS (SELECT *, sum(y * w) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw FROM pt),
+    m AS (SELECT a.i AS lo, b.i AS hi, (b.cy - a.cy + a.y * a.w) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON b.i >= a.i),
+    g AS (SELECT lo, hi AS k, min(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS v FROM m),
+    iso AS MATERIALIZED (SELECT p, max(v) AS v FROM g JOIN pt ON pt.i = g.k GROUP BY p)"""
+
+
+@query("e11_isotonic_calibration", f"""
+    WITH {ISOTONIC_SQL},
+    e AS (SELECT quantile_cont(p_disrupted, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM runs WHERE split = 'val' AND scenario = 'A'),
+    bins AS (SELECT avg(p_disrupted) AS ms, avg(y_stop) AS sp FROM runs, e WHERE split = 'val' AND scenario = 'A' GROUP BY len(list_filter(q, lambda x: x < p_disrupted))),
+    ece AS (SELECT avg(abs(sp - ms)) > 0.05 AS applied FROM bins),
+    val AS (SELECT v, y_stop FROM runs JOIN iso ON iso.p = p_disrupted WHERE split = 'val' AND scenario = 'A'),
+    grid AS (SELECT t / 100.0::DOUBLE AS t FROM (SELECT unnest(range(5, 100, 5)) AS t)),
+    f AS (SELECT t, coalesce(2.0 * sum(y_stop) FILTER (WHERE v >= t) / (count(*) FILTER (WHERE v >= t) + sum(y_stop)), 0) AS f1 FROM val, grid GROUP BY t),
+    best AS (SELECT arg_max(t, (f1, -t)) AS t FROM f),
+    test AS (SELECT seq, p_disrupted AS raw, y_pred FROM runs WHERE split = 'test' AND scenario = 'A'),
+    near AS (SELECT raw, max(p) FILTER (WHERE p <= raw) AS b, min(p) FILTER (WHERE p >= raw) AS a FROM (SELECT DISTINCT raw FROM test), iso GROUP BY raw),
+    cal AS (SELECT raw, CASE WHEN b IS NULL THEN x.v WHEN a IS NULL OR a = b THEN y.v ELSE y.v + (x.v - y.v) * (raw - b) / (a - b) END AS p FROM near LEFT JOIN iso x ON x.p = a LEFT JOIN iso y ON y.p = b)
+    SELECT seq, raw AS p_disrupted_raw, round(CASE WHEN applied THEN p ELSE raw END, 6) AS p_disrupted, CASE WHEN applied THEN CAST(p >= best.t AS INTEGER) ELSE y_pred END AS y_pred
+    FROM test JOIN cal USING (raw), ece, best""", "runs")
 def e11(t: Tables):
     val, test = (t.runs.where((F.col("split") == s) & (F.col("scenario") == "A")) for s in ("val", "test"))
     out, info = training.calibrate(val, test)
@@ -102,16 +123,11 @@ def e11(t: Tables):
     return out.select("seq", "p_disrupted_raw", C.r6("p_disrupted").alias("p_disrupted"), "y_pred")
 
 
-@query("e11_isotonic_fit", """
-    WITH pt AS (SELECT p_disrupted AS p, avg(y_stop) AS y, count(*) AS w, row_number() OVER (ORDER BY p_disrupted) AS i FROM runs WHERE split = 'val' AND scenario = 'A' GROUP BY 1),
-    c AS (SELECT *, sum(y * w) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw FROM pt),
-    m AS (SELECT a.i AS lo, b.i AS hi, (b.cy - a.cy + a.y * a.w) / (b.cw - a.cw + a.w) AS mean FROM c a JOIN c b ON b.i >= a.i),
-    g AS (SELECT lo, hi AS k, min(mean) OVER (PARTITION BY lo ORDER BY hi DESC) AS v FROM m)
-    SELECT p, round(max(v), 6) AS calibrated FROM g JOIN pt ON pt.i = g.k GROUP BY p""", "runs")
+@query("e11_isotonic_fit", f"WITH {ISOTONIC_SQL} SELECT p, round(v, 6) AS calibrated FROM iso", "runs")
 def e11_fit(t: Tables):
     val = t.runs.where((F.col("split") == "val") & (F.col("scenario") == "A"))
     points = val.select(F.col("p_disrupted").alias("p")).distinct()
-    return training.isotonic(val).transform(points).select("p", C.r6("calibrated").alias("calibrated"))
+    return calibration.apply(points, "p", calibration.blocks(val, "p_disrupted", "y_stop"), "calibrated").select("p", C.r6("calibrated").alias("calibrated"))
 
 
 @query("x1_permutation_importance")

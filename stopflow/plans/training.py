@@ -15,11 +15,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stopflow.operators import guards
+from stopflow.operators import calibration, guards
 from stopflow.operators import metrics as M
 from stopflow.operators.graph import neighbour_means
 from stopflow.operators.impute import train_medians
@@ -156,13 +155,6 @@ def run_matrix(data: DataFrame, path: str, names: Sequence[str] = tuple(MODELS),
 
 # -- calibration --------------------------------------------------------------------
 
-def isotonic(val: DataFrame, score: str = "p_disrupted", label: str = LABEL):
-    """Isotonic fit on distinct scores (mean label, weight = rows): the same
-    solution as on rows, from far fewer points."""
-    points = val.groupBy(F.col(score).cast("double").alias("p")).agg(F.avg(label).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    return IsotonicRegression(featuresCol="p", labelCol="y", weightCol="w", predictionCol="calibrated").fit(points)
-
-
 def calibrate(val: DataFrame, test: DataFrame, score: str = "p_disrupted", label: str = LABEL, limit: float = ECE_LIMIT) -> tuple[DataFrame, dict]:
     """Calibrate when the validation error is above the limit: the score is
     replaced (the raw one kept) and the threshold tuned again."""
@@ -170,11 +162,11 @@ def calibrate(val: DataFrame, test: DataFrame, score: str = "p_disrupted", label
     info = {"ece_val_raw": raw, "applied": False}
     if raw <= limit:
         return test, info
-    model = isotonic(val, score, label)
+    fitted = calibration.blocks(val, score, label)
 
     def apply(df: DataFrame) -> DataFrame:
-        out = model.transform(df.withColumn("p", F.col(score).cast("double")))
-        return out.withColumns({f"{score}_raw": F.col(score), score: F.col("calibrated")}).drop("p", "calibrated")
+        out = calibration.apply(df, score, fitted, "calibrated")
+        return out.withColumns({f"{score}_raw": F.col(score), score: F.col("calibrated")}).drop("calibrated")
 
     threshold = M.tune_threshold(apply(val), [], score, label).first()["threshold"]
     info.update(applied=True, threshold=threshold)
