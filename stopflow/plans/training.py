@@ -38,15 +38,17 @@ MIN_PER_NODE = 20
 def _logistic(n_rows: int, settings: dict):
     # The penalty of a summed loss with C = 1, on the scale of a mean loss.
     return LogisticRegression(labelCol=LABEL, weightCol="_weight", maxIter=settings.get("rounds", 100),
-                              regParam=1.0 / max(1, n_rows), elasticNetParam=0.0)
+                              tol=settings.get("tol", 1e-6), regParam=1.0 / max(1, n_rows), elasticNetParam=0.0)
 
 
 def _boosted(depth: int, step: float):
     def make(n_rows: int, settings: dict):
+        stop = {"validationIndicatorCol": "_is_val"} if settings.get("early_stop", True) else {}
+        share = settings.get("share", 0.8)
         return GBTClassifier(
-            labelCol=LABEL, weightCol="_weight", validationIndicatorCol="_is_val", maxIter=settings.get("rounds", 100),
-            maxDepth=settings.get("depth", depth), stepSize=step, subsamplingRate=0.8, featureSubsetStrategy="0.8",
-            minInstancesPerNode=MIN_PER_NODE, seed=settings.get("seed", 42))
+            labelCol=LABEL, weightCol="_weight", maxIter=settings.get("rounds", 100), maxDepth=settings.get("depth", depth), stepSize=step,
+            subsamplingRate=share, featureSubsetStrategy=str(share) if share < 1 else "all", minInstancesPerNode=MIN_PER_NODE,
+            seed=settings.get("seed", 42), **stop)
     return make
 
 
@@ -105,7 +107,7 @@ def fit(name: str, data: DataFrame, scenario: str, columns: Sequence[str] | None
     steps = [_imputer(train_medians(train, columns), columns),
              VectorAssembler(inputCols=[f"{c}__in" for c in columns], outputCol="features")]
     maker = MODELS[name]
-    fitted_on = rows if maker is not _logistic else rows.where("NOT _is_val")
+    fitted_on = rows if maker is not _logistic and settings.get("early_stop", True) else rows.where("NOT _is_val")
     classifier = maker(train.count(), settings)
     pipeline = Pipeline(stages=[*steps, classifier]).fit(fitted_on)
     model = StopModel(name, scenario, columns, pipeline, settings=settings)
