@@ -29,7 +29,8 @@ def digest(*parts: Column) -> Column:
 @dataclass(frozen=True)
 class Forest:
     """`nodes[k]`: (tree, lo, hi, digest) of level k, the leaves being level 0 and
-    [lo, hi] the leaf ranks that a node covers. `roots`: (tree, digest, size)."""
+    [lo, hi] the leaf ranks that a node covers. Leaves keep their other columns,
+    nodes above them their children. `roots`: (tree, digest, size)."""
 
     nodes: list[DataFrame]
     roots: DataFrame
@@ -56,7 +57,7 @@ def grow(leaves: DataFrame, name: str, fanout: int = FANOUT) -> Forest:
     """Trees over leaves (tree, rank, digest): while several nodes of a tree remain,
     every `fanout` consecutive ones become their digest. A tree that is down to
     one node stops there, so a lone leaf is its own root."""
-    level = stored(leaves.select("tree", F.col("rank").alias("lo"), F.col("rank").alias("hi"), "digest"), f"{name}-0")
+    level = stored(leaves.withColumnRenamed("rank", "lo").withColumn("hi", F.col("lo")), f"{name}-0")
     sizes = stored(level.groupBy("tree").agg(F.count("*").alias("size")), f"{name}-sizes")
     most = sizes.agg(F.max("size")).first()[0] or 0
     nodes, roots, width = [level], [], 1
@@ -87,7 +88,7 @@ def _steps(parent: str = "family", lo: str = "lo", hi: str = "hi") -> Column:
 
 
 def attach(forest: Forest, above: DataFrame) -> DataFrame:
-    """(tree, rank, path) of every leaf: the siblings of the leaf and of each of its
+    """The leaves with their `path`: the siblings of the leaf and of each of its
     ancestors, lowest first, and then those of `above` (tree, path).
 
     Down from the roots, each node meets the node of the next level whose
@@ -98,18 +99,20 @@ def attach(forest: Forest, above: DataFrame) -> DataFrame:
     path = None
     for k in range(len(forest.nodes) - 1, -1, -1):
         width = forest.fanout ** (k + 1)
-        node = forest.nodes[k].select("tree", "lo", "hi", F.floor(F.col("lo") / width).alias("bucket"))
-        top = forest.roots.select("tree", "size").join(above, "tree", "left")
-        roots = node.join(top, "tree").where(f"lo = 0 AND hi = size - 1").select("tree", "lo", "hi", F.coalesce("path", F.array().cast("array<struct<left:string,right:string>>")).alias("path"))
+        # only leaves have more to carry down
+        kept = [c for c in forest.nodes[k].columns if k == 0 or c in ("tree", "lo", "hi")]
+        node = forest.nodes[k].select(*kept, F.floor(F.col("lo") / width).alias("bucket"))
+        top = forest.roots.select("tree", "size").join(above, "tree")
+        roots = node.join(top, "tree").where("lo = 0 AND hi = size - 1").select(*kept, "path")
         if path is None:
             path = roots
         else:
             parent = forest.nodes[k + 1].select("tree", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), "family").join(path.withColumnsRenamed({"lo": "p_lo", "hi": "p_hi"}), ["tree", "p_lo", "p_hi"]).withColumn("bucket", F.floor(F.col("p_lo") / width))
             inside = node.join(parent, ["tree", "bucket"]).where("p_lo <= lo AND hi <= p_hi")
-            path = roots.union(inside.select("tree", "lo", "hi", F.concat(F.array(_steps()), "path").alias("path")))
+            path = roots.union(inside.select(*kept, F.concat(F.array(_steps()), "path").alias("path")))
         if k:
             path = stored(path, f"paths-{k}")
-    return path.select("tree", F.col("lo").alias("rank"), "path")
+    return path
 
 
 def proof(path: str = "path") -> Column:
@@ -122,17 +125,21 @@ def fold(leaf: str, path: str = "path") -> Column:
     return F.aggregate(path, F.col(leaf), lambda d, s: digest(s["left"], d, s["right"]))
 
 
-def tampered(doc_id: str, text: str) -> Column:
-    """The text with A-Z in lower case where 5 divides the CRC-32 of the id."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.col(doc_id).isNotNull() & (fold_of(doc_id) == 0), low).otherwise(F.col(text))
+def chosen(doc_id: str) -> Column:
+    """Rows that are tampered with: 5 divides the CRC-32 of the id."""
+    return F.col(doc_id).isNotNull() & (fold_of(doc_id) == 0)
+
+
+def lower(text: Column) -> Column:
+    """The text as it is tampered with: A-Z in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def manifest(docs: DataFrame, fanout: int = FANOUT, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """(doc_id, source, leaf, subroot, root, proof_sha256, folded_root, verified) of
     every row: one tree per source over its rows by ascending id, and one over
-    the sources' roots. `folded_root` is folded up from the row as `tampered`
-    leaves it; `verified` says whether it is the root.
+    the sources' roots. `folded_root` is folded up from the row, as tampered
+    with if it is `chosen`; `verified` says whether it is the root.
 
     Every row is a leaf: repeated rows are leaves next to each other. Rows with
     equal ids are ordered by their digests, rows without an id come first and
@@ -143,18 +150,18 @@ def manifest(docs: DataFrame, fanout: int = FANOUT, columns: tuple[str, ...] = C
     """
     doc_id, source, text = columns[0], columns[1], columns[-1]
     plain = [field(F.col(c)) for c in columns]
-    after = [*plain[:-1], field(tampered(doc_id, text))]
     # null before any text, the empty one included
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("tree"), digest(*plain).alias("digest"), digest(*after).alias("given"))
-    leaves = stored(ranked(rows, ["doc_id", "digest"], "leaves"), "ranked")
-    trees = grow(leaves, "tree", fanout)
-    subroots = trees.roots.select(F.lit(0).alias("all"), F.col("tree").alias("source"), "digest")
-    placed = stored(ranked(subroots.withColumnRenamed("all", "tree"), ["source"], "subroots"), "sources")
-    top = grow(placed, "top", fanout)
+    tree = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("tree")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tree, digest(*plain).alias("digest"), F.when(chosen(doc_id), digest(*plain[:-1], field(lower(F.col(text))))).alias("given"))
+    # texts are read once: what follows sorts digests
+    trees = grow(ranked(stored(rows, "digests"), ["doc_id", "digest"], "leaves"), "tree", fanout)
+    subroots = trees.roots.select(F.lit(0).alias("tree"), F.col("tree").alias("source"), "digest")
+    top = grow(ranked(subroots, ["source"], "subroots"), "top", fanout)
     nothing = top.roots.select("tree", F.array().cast("array<struct<left:string,right:string>>").alias("path"))
-    to_root = attach(top, nothing).join(placed, ["tree", "rank"]).join(top.roots.select("tree", F.col("digest").alias("root")), "tree")
+    to_root = attach(top, nothing).join(top.roots.select("tree", F.col("digest").alias("root")), "tree")
     to_root = stored(to_root.select(F.col("source").alias("tree"), F.col("digest").alias("subroot"), "root", "path"), "to-root")
-    paths = attach(trees, to_root.select("tree", "path"))
-    out = leaves.join(paths, ["tree", "rank"]).join(to_root.select("tree", "subroot", "root"), "tree")
-    out = out.withColumn("folded_root", fold("given")).withColumn("source", F.expr("CASE WHEN tree <> '' THEN substr(tree, 2) END"))
-    return out.select("doc_id", "source", F.col("digest").alias("leaf"), "subroot", "root", proof().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    # a leaf's path goes no further than its digest
+    ends = attach(trees, to_root.select("tree", "path")).withColumn("given", F.coalesce("given", "digest"))
+    ends = ends.select("tree", "doc_id", F.col("digest").alias("leaf"), proof().alias("proof_sha256"), fold("given").alias("folded_root"))
+    out = ends.join(to_root.select("tree", "subroot", "root"), "tree").withColumn("source", F.expr("CASE WHEN tree <> '' THEN substr(tree, 2) END"))
+    return out.select("doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
