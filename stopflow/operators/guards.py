@@ -32,6 +32,14 @@ def check_no_leak(columns: Iterable[str], scenario: str) -> None:
         raise ValueError(f"Leakage: scenario {scenario} must not use {', '.join(sorted(bad))}")
 
 
+def leak_report(df: DataFrame, scenarios: Iterable[str]) -> DataFrame:
+    """One row per scenario and column: whether a model of the scenario must not use
+    the column, and how many distinct values it would give away."""
+    counts = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_values")
+    rules = F.array(*[F.struct(F.lit(s).alias("scenario"), F.col("column").isin(*banned(s)).alias("leaks")) for s in scenarios])
+    return counts.withColumn("r", F.explode(rules)).select("r.scenario", "column", "r.leaks", "n_values")
+
+
 def legal_columns(columns: Iterable[str], scenario: str) -> list[str]:
     out = banned(scenario)
     return [c for c in columns if c not in out and not c.startswith("_meta_")]
@@ -42,6 +50,13 @@ def numeric_columns(df: DataFrame, within: Iterable[str] | None = None) -> list[
     return [f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name in allowed]
 
 
+def column_report(df: DataFrame) -> DataFrame:
+    """One row per column: which scenario's models may use it, and its distinct values."""
+    legal = {s: legal_columns(df.columns, s) for s in FORBIDDEN}
+    counts = df.agg(*[F.countDistinct(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "n_values")
+    return counts.select("column", *[F.col("column").isin(c).alias(f"in_{s.lower()}") for s, c in legal.items()], "n_values")
+
+
 def model_columns(df: DataFrame, scenario: str) -> list[str]:
     """Legal columns first, numeric ones second: a text column that leaks must
     trip the check instead of being filtered away."""

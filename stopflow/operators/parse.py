@@ -19,11 +19,28 @@ STOP = T.StructType([T.StructField(f, T.StringType()) for f in STOP_FIELDS]
 _OPTIONS = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true", "mode": "PERMISSIVE"}
 
 
+# A string in either kind of quotes, or what lies between strings.
+_PIECE = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*"|[^'"]+|['"]"""
+
+
+def _words(outside: Column) -> Column:
+    """Words of the feed as JSON words; outside strings they are values."""
+    for word, token in (("nan", "null"), ("None", "null"), ("True", "true"), ("False", "false")):
+        outside = F.replace(outside, F.lit(word), F.lit(token))
+    return outside
+
+
 def _json_tokens(cell: Column) -> Column:
-    """Literal tokens of the feed as JSON tokens."""
-    out = F.regexp_replace(cell, r"(?<![A-Za-z_])(nan|None)(?![A-Za-z_])", "null")
-    out = F.regexp_replace(out, r"(?<![A-Za-z_])True(?![A-Za-z_])", "true")
-    return F.regexp_replace(out, r"(?<![A-Za-z_])False(?![A-Za-z_])", "false")
+    """The cell with the feed's words as JSON words; strings stay as they are.
+
+    Where only plain single quotes occur, every other piece between them is a
+    string; else the pieces are found one by one.
+    """
+    plain = F.array_join(F.transform(F.split(cell, "'"), lambda p, i: F.when(i % 2 == 0, _words(p)).otherwise(p)), "'")
+    pieces = F.regexp_extract_all(cell, F.lit(_PIECE), F.lit(0))
+    quoted = lambda p: p.startswith("'") | p.startswith('"')
+    mixed = F.array_join(F.transform(pieces, lambda p: F.when(quoted(p), p).otherwise(_words(p))), "")
+    return F.when(F.contains(cell, F.lit('"')) | F.contains(cell, F.lit("\\")), mixed).otherwise(plain)
 
 
 def stop_list(cell: str | Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stopflow.functions import constants as K
+from stopflow.operators import ranges
 from stopflow.session import checkpointed
 
 
@@ -76,10 +77,18 @@ def _below(ids: Sequence[str], seed: int, n: int, rows: Column) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
-    """n rows in hash order of their id: the same rows however data is partitioned.
-    Rows beyond the hash that the count allows are left where they are."""
+    """The n rows with the smallest hashes of their id (fewer, if there are not so
+    many; ids must be unique): the same rows however data is partitioned. Only
+    keys are sorted, in ranges, whatever n is."""
     total = df.agg(F.count(F.lit(1))).scalar()
-    return df.where(_below(ids, seed, n, total)).orderBy(_mix(ids, seed), *ids).limit(n)
+    near = df.where(_below(ids, seed, n, total))
+    # the n-th smallest (hash, ids): sorted ranges of the keys alone, then a filter
+    keys = [_mix(ids, seed).alias("_h"), *[F.col(i) for i in ids]]
+    placed = ranges.spread(near.select(F.struct(*keys).alias("_k"), F.lit(1).alias("_one")), [], "_k", "sample")
+    totals = ranges.range_totals(placed, [], ["_one"])
+    holds = totals.where((F.col("below__one") < n) & (F.col("below__one") + F.col("part__one") >= n))
+    last = ranges.running(placed, [], "_k", ["_one"], holds).where(F.col("below__one") == n - 1).select("_k").scalar()
+    return near.withColumn("_last", last).where(F.col("_last").isNull() | (F.struct(*keys) <= F.col("_last"))).drop("_last")
 
 
 def hash_sample_per_group(df: DataFrame, group: str, n: int, ids: Sequence[str], seed: int = 42) -> DataFrame:
@@ -118,7 +127,7 @@ def dense_index(df: DataFrame, key: str, name: str) -> DataFrame:
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sized.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
     inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(offsets, "_b").select(key, (inside + F.col("_o")).cast("int").alias(name))
+    return placed.join(offsets, "_b").select(key, (inside + F.col("_o")).cast("long").alias(name))
 
 
 def label_index(df: DataFrame, label: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
 from stopflow.operators import features as feat
-from stopflow.session import configure
+from stopflow.session import configure, written
 
 # The mapped events cover January 2024 only, so its splits are shorter.
 EVENT_SPLITS = {
@@ -34,6 +34,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def landed(self) -> Tables:
+        """The same tables with stops, stations and edges written first, for plans
+        that read them many times."""
+        out = Tables(self.spark, self.sf_dir)
+        for name in ("stops", "stations", "edges"):
+            out.__dict__[name] = written(getattr(out, name), name)
+        return out
+
     @cached_property
     def stops(self) -> DataFrame:
         """One row per scheduled stop."""

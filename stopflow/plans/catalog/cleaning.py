@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
 from stopflow.operators import builders as B
+from stopflow.operators import features as feat
 from stopflow.operators import guards, impute, parse
 from stopflow.plans.adapter import EVENT_TRAIN_END, Tables
 from stopflow.plans.registry import query
@@ -54,14 +55,15 @@ def _nl(t: Tables):
     from stopflow.sources.readers import cancellation_sources
 
     df = t.feed.select("seq", F.col("arrival_text").alias("arrival_delay"), F.col("departure_text").alias("departure_delay"),
-                       F.col("full_text").alias("fully_cancelled"), F.col("bool_text").alias("arrival_cancelled"))
+                       F.col("full_text").alias("fully_cancelled"), F.col("bool_text").alias("arrival_cancelled"),
+                       F.when(F.col("seq") % 29 == 3, "True").when(F.col("seq") % 31 == 4, None).otherwise("no").alias("departure_cancelled"))
     flags = cancellation_sources(df)
     return df.withColumns(flags | {"cancelled": C.any_of(*flags.values())})
 
 
 @query("p5_any_cancelled", """
     SELECT seq, CAST(coalesce(trim(arrival_text) = 'S', false) OR coalesce(trim(departure_text) = 'S', false) AS INTEGER) AS two_sources,
-           CAST(coalesce(trim(arrival_text) = 'S', false) OR coalesce(trim(departure_text) = 'S', false) OR full_text = 'true' OR lower(bool_text) = 'true' AS INTEGER) AS all_sources
+           CAST(coalesce(trim(arrival_text) = 'S', false) OR coalesce(trim(departure_text) = 'S', false) OR full_text = 'true' OR lower(bool_text) = 'true' OR seq % 29 = 3 AS INTEGER) AS all_sources
     FROM feed""", "feed")
 def p5(t: Tables):
     two = C.any_of(F.col("s_arrival"), F.col("s_departure"))
@@ -73,9 +75,10 @@ def p5(t: Tables):
     UNION ALL SELECT 'arrival_cancelled', count(*) FILTER (WHERE lower(bool_text) = 'true') FROM feed
     UNION ALL SELECT 's_arrival', count(*) FILTER (WHERE trim(arrival_text) = 'S') FROM feed
     UNION ALL SELECT 's_departure', count(*) FILTER (WHERE trim(departure_text) = 'S') FROM feed
-    UNION ALL SELECT 'union', count(*) FILTER (WHERE coalesce(trim(arrival_text) = 'S', false) OR trim(departure_text) = 'S' OR full_text = 'true' OR lower(bool_text) = 'true') FROM feed""", "feed")
+    UNION ALL SELECT 'departure_cancelled', count(*) FILTER (WHERE seq % 29 = 3) FROM feed
+    UNION ALL SELECT 'union', count(*) FILTER (WHERE coalesce(trim(arrival_text) = 'S', false) OR trim(departure_text) = 'S' OR full_text = 'true' OR lower(bool_text) = 'true' OR seq % 29 = 3) FROM feed""", "feed")
 def p6(t: Tables):
-    names = ["fully_cancelled", "arrival_cancelled", "s_arrival", "s_departure"]
+    names = ["fully_cancelled", "arrival_cancelled", "departure_cancelled", "s_arrival", "s_departure"]
     one = _nl(t).agg(*[F.count_if(n).alias(n) for n in names], F.count_if("cancelled").alias("union"))
     return one.unpivot([], [*names, "union"], "source", "n_true")
 
@@ -147,8 +150,8 @@ def p12(t: Tables):
 
 
 @query("p13_matrix_statistics", """
-    SELECT CAST(100 * (SELECT count(*) FROM stations) AS BIGINT) AS n_total, (SELECT count(*) FROM stations) AS n_xxx,
-           100 * (SELECT count(*) FROM stations) - (SELECT count(*) FROM edges) AS n_nan,
+    SELECT CAST((SELECT count(*) FROM stations) * (SELECT count(*) FROM stations) AS BIGINT) AS n_total, (SELECT count(*) FROM stations) AS n_xxx,
+           (SELECT count(*) FROM stations) * (SELECT count(*) FROM stations) - (SELECT count(*) FROM edges) AS n_nan,
            (SELECT count(*) FROM edges) AS n_edges""",
        "edges stations")
 def p13(t: Tables):
@@ -160,7 +163,9 @@ def trains(t: Tables):
     s = F.col("seq")
 
     def stop(shift: int):
-        code = F.concat(F.lit("'K"), ((F.col("k") + shift) % 100), F.lit("'"))
+        # some names hold the feed's words for missing and true values, or a quote
+        code = F.when((s + shift) % 71 == 0, "'None'").when((s + shift) % 73 == 0, '"K\'nan True"').when((s + shift) % 79 == 0, "'is True or None'") \
+            .otherwise(F.concat(F.lit("'K"), ((F.col("k") + shift) % 100), F.lit("'")))
         delay = F.when((s + shift) % 5 == 0, F.lit("nan")).otherwise((F.col("delay_int") + shift).cast("string"))
         cancelled = F.when((s + shift) % 4 == 0, "True").otherwise("False")
         temp = F.when((s + shift) % 6 == 0, F.lit("None")).otherwise((s % 30).cast("string"))
@@ -190,7 +195,7 @@ def p14(t: Tables):
 @query("p15_explode_stops", f"""
     WITH {NESTED_SQL},
     rows AS (SELECT seq, k, delay_int, n_stops, i FROM tr, (SELECT unnest([0, 1]) AS i) WHERE i < n_stops OR (n_stops = 0 AND i = 0))
-    SELECT seq AS train_number, CASE WHEN n_stops > 0 THEN 'K' || ((k + i) % 100) END AS station_code,
+    SELECT seq AS train_number, CASE WHEN n_stops = 0 THEN NULL WHEN (seq + i) % 71 = 0 THEN 'None' WHEN (seq + i) % 73 = 0 THEN 'K''nan True' WHEN (seq + i) % 79 = 0 THEN 'is True or None' ELSE 'K' || ((k + i) % 100) END AS station_code,
            CASE WHEN n_stops > 0 AND (seq + i) % 5 <> 0 THEN CAST(delay_int + i AS DOUBLE) END AS delay_minutes,
            CASE WHEN n_stops > 0 THEN CASE WHEN (seq + i) % 4 = 0 THEN 'true' ELSE 'false' END ELSE 'false' END AS cancelled,
            CASE WHEN n_stops > 0 AND (seq + i) % 6 <> 0 THEN CAST(seq % 30 AS DOUBLE) END AS air_temp,
@@ -297,17 +302,17 @@ def p30(t: Tables):
     return df.select(*guards.legal_columns(df.columns, "A"))
 
 
+P31_COLUMNS = ["station_id", "stop_order", "y_stop", "delay_min", "prev_stop_actual_delay"]
+
+
 @query("p31_leakage_check", """
-    SELECT station_id, count(*) AS n FROM positioned GROUP BY station_id""", "positioned")
+    WITH c AS (SELECT unnest(['station_id', 'stop_order', 'y_stop', 'delay_min', 'prev_stop_actual_delay']) AS "column"), s AS (SELECT unnest(['A', 'B']) AS scenario),
+    v AS (SELECT count(DISTINCT station_id) AS station_id, count(DISTINCT stop_order) AS stop_order, count(DISTINCT y_stop) AS y_stop, count(DISTINCT delay_min) AS delay_min, count(DISTINCT prev) AS prev_stop_actual_delay
+          FROM (SELECT *, lag(coalesce(delay_minutes, 0), 1, 0) OVER (PARTITION BY service_id ORDER BY scheduled_time, seq) AS prev FROM positioned)),
+    n AS (UNPIVOT v ON COLUMNS(*) INTO NAME "column" VALUE n_values)
+    SELECT scenario, "column", ("column" IN ('y_stop', 'delay_min') OR ("column" = 'prev_stop_actual_delay' AND scenario = 'A')) AS leaks, n_values FROM c CROSS JOIN s JOIN n USING ("column")""", "positioned")
 def p31(t: Tables):
-    df = t.positioned.select("station_id", "stop_order", "y_stop", "delay_min")
-    legal = guards.legal_columns(df.columns, "A")
-    guards.check_no_leak(legal, "A")
-    try:
-        guards.check_no_leak(df.columns, "A")
-    except ValueError:
-        return df.select(*legal).groupBy("station_id").agg(F.count(F.lit(1)).alias("n"))
-    raise AssertionError("the check let a leaking column pass")
+    return guards.leak_report(feat.inflight(t.positioned).select(*P31_COLUMNS), ("A", "B"))
 
 
 @query("p32_numeric_columns", "SELECT seq, k, temperature, user_id FROM stops")

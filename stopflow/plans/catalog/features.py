@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.operators import features as feat
+from stopflow.operators import graph as G
 from stopflow.plans.adapter import EVENT_SPLITS, Tables
+from stopflow.plans.catalog.graph import betweenness_sql
 from stopflow.plans.registry import query
 
 W = "WINDOW w AS (PARTITION BY service_id ORDER BY scheduled_time, seq)"
@@ -204,11 +206,13 @@ ASSEMBLED = ["y_stop", "weather_severity", "train_class_code", "service_n_stops"
              "delta_severity_vs_prev_stop", "delta_wind_vs_prev_stop", "station_lag1_rate", "station_lag7_rate",
              "station_lag1_avg_delay", "train_lag1_rate", "train_lag7_rate", "train_station_lag7_rate",
              "nbr_lag1_rate", "station_n_active_faults_14d", "prev_stop_actual_delay", "cum_actual_delay_so_far",
-             "max_actual_delay_so_far", "temperature", "wind_speed", "precipitation", "snow_depth", "month_sin", "month_cos"]
+             "max_actual_delay_so_far", "temperature", "wind_speed", "precipitation", "snow_depth", "month_sin", "month_cos", "betweenness_centrality"]
 
 
 def feature_store(t: Tables):
-    return feat.assemble(t.labelled, t.services, t.stations, t.edges, t.faults)
+    """All features, from standard tables that are written first."""
+    t = t.landed()
+    return feat.assemble(t.labelled, t.services, t.stations, t.edges, t.faults, G.betweenness(t.edges, t.stations))
 
 
 @query("f12_feature_assembly", ROUTE_SQL + """,
@@ -224,6 +228,7 @@ def feature_store(t: Tables):
     xd AS (SELECT train_key, station_id, date, avg(y_stop) AS rate FROM s GROUP BY ALL),
     xl AS (SELECT train_key, station_id, date, coalesce(avg(rate) OVER (PARTITION BY train_key, station_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS l7 FROM xd),
     nb AS (SELECT e.station_from AS station_id, sl.date, avg(sl.l1) AS v FROM edges e JOIN sl ON sl.station_id = e.station_to GROUP BY ALL),
+    bt AS MATERIALIZED (""" + betweenness_sql() + """),
     fd AS (SELECT station_id, date, count(*) AS n FROM faults GROUP BY ALL),
     fc AS (SELECT sd.station_id, sd.date, coalesce(sum(fd.n), 0) AS n FROM sd LEFT JOIN fd ON fd.station_id = sd.station_id AND fd.date BETWEEN sd.date - 14 AND sd.date - 1 GROUP BY ALL)
     SELECT s.seq, s.y_stop, s.weather_severity, s.train_class_code, count(*) OVER p::DOUBLE AS service_n_stops,
@@ -243,8 +248,8 @@ def feature_store(t: Tables):
       round(tl.l1, 6) AS train_lag1_rate, round(tl.l7, 6) AS train_lag7_rate, round(xl.l7, 6) AS train_station_lag7_rate,
       round(coalesce(nb.v, 0) + 1e-9, 6) AS nbr_lag1_rate, fc.n::DOUBLE AS station_n_active_faults_14d, temperature::DOUBLE AS temperature, wind_speed::DOUBLE AS wind_speed,
       round(precipitation, 6) AS precipitation, snow_depth::DOUBLE AS snow_depth,
-      round(sin(2 * pi() * month(s.date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(s.date) / 12), 6) AS month_cos, """ + INFLIGHT_SQL + """
-    FROM s JOIN stations n ON n.station_id = s.station_id JOIN sl ON sl.station_id = s.station_id AND sl.date = s.date
+      round(bt.betweenness_centrality, 6) AS betweenness_centrality, round(sin(2 * pi() * month(s.date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(s.date) / 12), 6) AS month_cos, """ + INFLIGHT_SQL + """
+    FROM s JOIN stations n ON n.station_id = s.station_id JOIN bt ON bt.station_id = s.station_id JOIN sl ON sl.station_id = s.station_id AND sl.date = s.date
       JOIN tl ON tl.train_key = s.train_key AND tl.date = s.date
       JOIN xl ON xl.train_key = s.train_key AND xl.station_id = s.station_id AND xl.date = s.date
       LEFT JOIN nb ON nb.station_id = s.station_id AND nb.date = s.date JOIN fc ON fc.station_id = s.station_id AND fc.date = s.date

@@ -26,14 +26,14 @@ KG_NEEDS = "stops services stations edges faults"
 
 @query("g1_edge_index", """
     WITH ix AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS idx FROM stations)
-    SELECT CAST(a.idx AS INTEGER) AS src, CAST(b.idx AS INTEGER) AS dst, round(distance_km / max(distance_km) OVER (), 6) AS attr
+    SELECT a.idx AS src, b.idx AS dst, round(distance_km / max(distance_km) OVER (), 6) AS attr
     FROM edges e JOIN ix a ON a.station_id = e.station_from JOIN ix b ON b.station_id = e.station_to""", "edges stations")
 def g1(t: Tables):
     index = dense_index(t.stations, "station_id", "idx")
     return G.edge_index(t.edges, index).withColumn("attr", C.r6("attr"))
 
 
-def _betweenness_sql(squarings: int = 7, hops: int = 110) -> str:
+def betweenness_sql(squarings: int = 7, hops: int = 110) -> str:
     """Distances by repeated squaring, path counts hop by hop, dependencies over
     all triples: another route to the same numbers."""
     parts = ["""w AS MATERIALIZED (SELECT station_from AS u, station_to AS v, min(CASE WHEN coalesce(distance_km, 0) = 0 THEN 1.0 ELSE distance_km END)::DOUBLE AS w
@@ -55,7 +55,7 @@ def _betweenness_sql(squarings: int = 7, hops: int = 110) -> str:
     FROM (SELECT DISTINCT station_id FROM stations) s CROSS JOIN n LEFT JOIN b USING (station_id)"""
 
 
-@query("g2_betweenness", _betweenness_sql(), "stations edges")
+@query("g2_betweenness", betweenness_sql(), "stations edges")
 def g2(t: Tables):
     return G.betweenness(t.edges, t.stations).withColumn("betweenness_centrality", C.r6("betweenness_centrality"))
 

@@ -118,9 +118,14 @@ def explode_payload(df: DataFrame) -> DataFrame:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    """Whether a path exists, as the reader sees it; an empty folder does."""
+    try:
+        spark.read.format("text").load(path).schema  # noqa: B018  (the path is looked up here)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def load_countries(spark: SparkSession, folders: Sequence[str], fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stopflow.functions import constants as K
@@ -39,6 +40,13 @@ def missing_columns(df: DataFrame, table: str) -> list[str]:
     return [c for c in K.STANDARD_TABLES[table] if c not in df.columns]
 
 
+def column_report(df: DataFrame, table: str) -> DataFrame:
+    """One row per standard column of a table: whether it is there, and its known values."""
+    known = {c: F.count(c) if c in df.columns else F.lit(0).cast("long") for c in K.STANDARD_TABLES[table]}
+    counts = df.agg(*[v.alias(c) for c, v in known.items()]).unpivot([], list(known), "column", "n_values")
+    return counts.select(F.lit(table).alias("table"), "column", F.col("column").isin(df.columns).alias("present"), "n_values")
+
+
 def validate(df: DataFrame, table: str, strict: bool = False) -> DataFrame:
     """Warn about (or refuse) a table that lacks standard columns."""
     missing = missing_columns(df, table)

@@ -202,3 +202,28 @@ def test_stream_log_holds_every_batch(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", old)
     assert [(r["raw_rows"], r["kept_rows"]) for r in sorted(log, key=lambda r: r["batch"])] == [(2, 1)] * 6
     assert max(r["cum_kept"] for r in log) == 6 == spark.read.parquet(str(tmp_path / "out")).count()
+
+
+def test_words_inside_strings_stay(spark):
+    from stopflow.operators import parse
+
+    cells = [
+        ("[{'stationShortCode': 'None', 'type': 'is True or None', 'differenceInMinutes': nan, 'cancelled': True}]", ("None", "is True or None", None, "true")),
+        ("""{'stationShortCode': "K'nan", 'type': "False", 'differenceInMinutes': None, 'cancelled': False}""", ("K'nan", "False", None, "false")),
+        (r"""{'stationShortCode': 'it\'s None', 'type': 'a "nan" b', 'differenceInMinutes': 3}""", ("it's None", 'a "nan" b', "3", None)),
+    ]
+    df = spark.createDataFrame([(c,) for c, _ in cells] + [("[{'stationShortCode': 'x', 'type': None",)], "timeTableRows string")
+    rows = parse.with_stops(df).collect()
+    for row, (_, want) in zip(rows, cells):
+        s = row["_stops"][0]
+        assert (s["stationShortCode"], s["type"], s["differenceInMinutes"], s["cancelled"]) == want
+    assert [r["parse_status"] for r in rows] == ["success"] * 3 + ["parse_error"]
+
+
+@pytest.mark.parametrize("n", [1, 7, 500, 5000])
+def test_sample_is_the_smallest_hashes(spark, n):
+    from hashlib import md5
+
+    df = spark.range(3000).selectExpr("id AS seq", "id % 7 AS v").repartition(6)
+    want = sorted(range(3000), key=lambda i: (md5(f"{i}|42".encode()).hexdigest(), i))[:n]
+    assert sorted(r["seq"] for r in S.sample_rows(df, n, ["seq"]).collect()) == sorted(want)
