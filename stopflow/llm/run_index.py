@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +22,10 @@ GRAM = 24
 BUCKET_BYTES = 1 << 20
 # Different strings around one anchor; an anchor with more gets finer ones.
 MOST = 4096
-# Anchors that a task remembers, to know them again without a shuffle.
-SEEN = 1 << 20
+# Places at which a task remembers anchors, to know them again without a shuffle.
+SEEN = 1 << 21
+# Bytes of text whose anchors are found together.
+SLICE_BYTES = 1 << 18
 
 _BYTE_D = np.random.default_rng(20240502).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 # Bytes that no UTF-8 text has: the end of a string, and of all strings.
@@ -250,28 +253,27 @@ def occurrences(rows: DataFrame, gram: int, length: int, seen: int = SEEN) -> Da
 
     All runs of an anchor would meet at its hash; a task that knows an anchor
     from an earlier run deals further ones out by their own hash and leaves a
-    note at the anchor's, so that a task adds at most two rows to an anchor,
-    whatever its share of the corpus.
+    note at the anchor's, so that a task adds few rows to an anchor, whatever its
+    share of the corpus. `seen` is a power of two.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, noted = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        for part, raw, places in slices(batches, "data"):
+        # the last anchor met at each place; one that gave way is simply met anew
+        known, noted = np.zeros(seen, np.uint64), np.zeros(seen, np.uint64)
+        for part, raw, places in slices(batches, "data", SLICE_BYTES):
             r = anchors(raw, places, gram, length)
             if not len(r["h"]):
                 continue
             u, first, back, count = np.unique(r["h"], return_index=True, return_inverse=True, return_counts=True)
-            old = np.isin(u, known)
+            place = u & np.uint64(seen - 1)
+            old = known[place] == u
             again = np.ones(len(back), bool)
             again[first[~old]] = False
             again_u = old | (count > 1)
             again_u[back[r["twice"]]] = True
-            note = u[again_u & ~np.isin(u, noted)]
-            if len(known) > seen:
-                known = np.zeros(0, np.uint64)
-            if len(noted) > seen:
-                noted = np.zeros(0, np.uint64)
-            known, noted = np.union1d(known, u), np.union1d(noted, note)
+            note = u[again_u & (noted[place] != u)]
+            known[place] = u
+            noted[note & np.uint64(seen - 1)] = note
             row = np.searchsorted(places, r["start"], side="right") - 1
             a = r["start"] - places[row]
             salt = np.where(again, 1 + (mix(r["d"] + a.astype(np.uint64)) >> np.uint64(52)), 0).astype(np.int32)
@@ -288,11 +290,12 @@ def occurrences(rows: DataFrame, gram: int, length: int, seen: int = SEEN) -> Da
     return stored(kept.select("h", "d", *_KEY, "a", F.expr("n div 2").cast("int").alias("n"), (F.col("n") % 2).alias("twice")), "runs")
 
 
-def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST) -> DataFrame:
+def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, most: int = MOST, unique: bool = False) -> DataFrame:
     """(id, base, k1, k2, marks) of the rows (id, base, k1, k2, data) with places at
     which `length` bytes begin that also begin at a smaller (id, base + place);
     marks are arrays of (from, to). `k1` and `k2` tell apart rows that share an
-    id and a base; equal rows must be equal in these.
+    id and a base; equal rows must be equal in these. `unique` says that there
+    are no equal rows.
 
     Equal strings have the same anchor. Runs of strings around anchors that
     occur once are dropped, and equal runs of bytes are one, standing for the
@@ -320,17 +323,21 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_byte
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(len(b)):
-                data = _whole(b.column("z")[i].as_py())
-                cuts = b.column("cuts").slice(i, 1).flatten()
-                a, n = cuts.field("a").to_numpy(), cuts.field("n").to_numpy()
-                take = pa.array(np.full(len(cuts), i))
-                yield pa.RecordBatch.from_arrays([cuts.field("h"), cuts.field("d"), cuts.field("k"), b.column("id").take(take), pa.array((b.column("base")[i].as_py() + a).astype(np.int32)),
-                                                  pa.array([data[s:s + m + length - 1] for s, m in zip(a.tolist(), n.tolist())], pa.binary())], ["h", "d", "k", "id", "at", "data"])
-
-    # repeated rows: one of them
-    asked = need.join(texts, on).select(*_KEY, "cuts", "z").dropDuplicates(_KEY)
-    strings = stored(asked.mapInArrow(cut, "h long, d long, k long, id long, at int, data binary"), "cuts").distinct()
+            for at in range(0, len(b), 500):
+                part = b.slice(at, 500)
+                cuts = part.column("cuts").flatten()
+                row = np.repeat(np.arange(len(part)), pa.compute.list_value_length(part.column("cuts")).to_numpy())
+                starts, ends = cuts.field("a").to_numpy(), cuts.field("a").to_numpy() + cuts.field("n").to_numpy() + length - 1
+                texts = [_whole(z) for z in part.column("z").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [cuts.field("h"), cuts.field("d"), cuts.field("k"), part.column("id").take(pa.array(row)), pa.array((part.column("base").to_numpy()[row] + starts).astype(np.int32)),
+                     pa.array([texts[r][s:e] for r, s, e in zip(row.tolist(), starts.tolist(), ends.tolist())], pa.binary())], ["h", "d", "k", "id", "at", "data"])
+
+    asked = need.join(texts, on).select(*_KEY, "cuts", "z")
+    if not unique:
+        # repeated rows: one of them
+        asked = asked.dropDuplicates(_KEY)
+    strings = stored(asked.mapInArrow(cut, "h long, d long, k long, id long, at int, data binary"), "cuts")
 
     def find(table: pa.Table) -> pa.Table:
         data = table.column("data").cast(pa.large_binary()).combine_chunks()
@@ -348,7 +355,7 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_byte
     hot = strings.where(F.col("k") > most)
     if gram < length and not hot.isEmpty():
         finer = length - (length - gram) // 2
-        inner = repeats(hot.select("id", F.col("at").alias("base"), F.col("h").alias("k1"), F.col("d").alias("k2"), "data"), length, finer, bucket_bytes, most)
+        inner = repeats(hot.select("id", F.col("at").alias("base"), F.col("h").alias("k1"), F.col("d").alias("k2"), "data"), length, finer, bucket_bytes, most, True)
         ranges = ranges.union(inner.select(F.col("k1").alias("h"), F.col("k2").alias("d"), F.col("marks").alias("ranges")))
     verdicts = stored(groups.join(ranges, ["h", "d"], "left").where("c > 1 OR ranges IS NOT NULL").select("h", "d", F.col("f.id").alias("f_id"), F.col("f.at").alias("f_at"), "ranges"), "verdicts")
     is_first = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("base") + F.col("a") == F.col("f_at"))
@@ -373,13 +380,15 @@ def remove(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text:
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.lit(0).alias("base"), F.coalesce(F.col(text), F.lit("")).alias("data"))
     # texts under one id are told apart by a hash, where there are several
-    several = stored(rows.groupBy("id").agg(F.min(F.xxhash64("data")).alias("lo"), F.max(F.xxhash64("data")).alias("hi")).where("lo <> hi").select(F.col("id").alias("of"), F.lit(1).alias("many")), "several")
-    if several.isEmpty():
+    tags = rows.groupBy("id").agg(F.count("*").alias("rows"), F.min(F.xxhash64("data")).alias("lo"), F.max(F.xxhash64("data")).alias("hi"))
+    several = stored(tags.where("rows > 1").select(F.col("id").alias("of"), (F.col("lo") != F.col("hi")).alias("many")), "several")
+    unique = several.isEmpty()
+    if unique:
         rows = rows.withColumn("k1", F.lit(0).cast("long"))
     else:
-        rows = rows.join(several, F.col("id").eqNullSafe(F.col("of")), "left").withColumn("k1", F.when(F.col("many") == 1, F.xxhash64("data")).otherwise(F.lit(0).cast("long"))).drop("of", "many")
+        rows = rows.join(several, F.col("id").eqNullSafe(F.col("of")), "left").withColumn("k1", F.when(F.col("many"), F.xxhash64("data")).otherwise(F.lit(0).cast("long"))).drop("of", "many")
     rows = rows.withColumn("k2", F.lit(0).cast("long")).select(*_KEY, "data")
-    marks = repeats(rows, length, **sizes).select(F.col("id").alias("m_id"), F.col("k1").alias("m_k1"), "marks")
+    marks = repeats(rows, length, unique=unique, **sizes).select(F.col("id").alias("m_id"), F.col("k1").alias("m_k1"), "marks")
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
