@@ -7,9 +7,13 @@ session that somebody else created.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -19,8 +23,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Top-n per group is cut inside every input partition up to this n.
-    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Top-n per group is cut inside every input partition for any n.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }
 
 # Aim of one shuffle partition.
@@ -61,23 +65,29 @@ def local_session(cores: int | str = 8, name: str = "stopflow") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    shared_folder(spark)
     return configure(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may fall
-    back to a temporary folder, because there every task sees the same disk.
+    A cluster names it in ``spark.checkpoint.dir``; without that, the checkpoint
+    folder that somebody has set on the context is used. A session on a single
+    machine that has neither gets a folder of its own, where every task sees the
+    same disk, and which goes when the program ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="stopflow-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+        own = tempfile.mkdtemp(prefix="stopflow-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(Path(own).as_uri())
+    return context.getCheckpointDir().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
