@@ -19,6 +19,8 @@ from stopflow.llm.frames import stored
 from stopflow.llm.tokens import batches_of_text, encoder
 
 TOKENIZER = "word_bpe_49k.json"
+# Tasks that read; beyond it a task reads several files.
+MOST_TASKS = 100_000
 END_ID = 1
 # Of a record's payload: document id, its being null, bytes per id.
 _HEAD = "<q?B"
@@ -63,10 +65,19 @@ def ids_of(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if nil else doc_id, np.frombuffer(payload, f"<u{width}", offset=struct.calcsize(_HEAD)).astype("<u4")
 
 
+def _uri(path: str) -> str:
+    """Spark's names of S3 (s3a, s3n) are the same store under another scheme."""
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            return "s3://" + path[len(scheme):]
+    return path
+
+
 def _store(path: str):
+    """The file system of a URI and the path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(_uri(path))
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int | None = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -114,6 +125,13 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int |
     return files.withColumn("start", F.sum("tokens").over(before) - F.col("tokens"))
 
 
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The files, one to a task. A given number of partitions is kept as it is,
+    however small they are."""
+    files = manifest.select("file_no", "file", "index", "start")
+    return files.repartitionByRange(max(1, min(files.count(), MOST_TASKS)), "file_no")
+
+
 def read(manifest: DataFrame, keep_ids: bool = True, shuffle_seed: int | None = None) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) of all records, their
     checksums verified. With a seed each file's records are fetched through its
@@ -143,8 +161,7 @@ def read(manifest: DataFrame, keep_ids: bool = True, shuffle_seed: int | None =
                 if rows:
                     yield _batch(rows, keep_ids)
 
-    one_by_one = manifest.select("file_no", "file", "index", "start").repartition(F.col("file_no"))
-    return one_by_one.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    return dealt(manifest).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
 def _batch(rows: list[tuple], keep_ids: bool) -> pa.RecordBatch:

@@ -4,8 +4,8 @@ import pytest
 @pytest.fixture(autouse=True)
 def shared_folder(spark, tmp_path_factory):
     """A shared folder where the session names none."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tmp_path_factory.mktemp("shared").as_uri())
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tmp_path_factory.mktemp("shared").as_uri())
 
 
 @pytest.fixture

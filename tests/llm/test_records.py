@@ -60,3 +60,15 @@ def test_damage_is_found():
 def test_empty_table(spark):
     manifest = R.write(spark.createDataFrame([], "doc_id long, text string"), scratch_path(spark, "records"))
     assert manifest.collect() == [] and R.read(manifest).collect() == []
+
+
+def test_a_task_per_file(spark):
+    """Also where adaptive execution would put a small manifest into one task."""
+    manifest = spark.createDataFrame([(i, f"f{i}", f"x{i}", i) for i in range(64)], "file_no int, file string, index string, start long")
+    dealt = R.dealt(manifest)
+    sizes = dealt.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]] for b in batches), "n long").collect()
+    assert dealt.rdd.getNumPartitions() == 64 and [r["n"] for r in sizes] == [1] * 64
+
+
+def test_schemes_of_the_same_store():
+    assert R._uri("s3a://bucket/folder/x") == R._uri("s3n://bucket/folder/x") == "s3://bucket/folder/x" and R._uri("file:///tmp/x") == "file:///tmp/x"
