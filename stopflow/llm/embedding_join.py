@@ -111,26 +111,32 @@ def link(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vec
     cosine of at least `cosine`, and the smallest id that links reach.
 
     Vectors that are null, empty, zero or not finite, and rows without an id,
-    are linked with nothing; vectors of different lengths neither. Equal vectors
-    are one class and compared once. Each class lies in the cell of its nearest
-    pivot and is copied to every cell of a smaller number that the radius can
-    touch; a cell compares its own classes with each other and with the copies,
-    so each pair meets once. Cells are cut into blocks of at most `block` rows a
-    side, as many as its rows need, so one cell may hold any share of the rows.
-    A block hands on counts and a forest of its links, never the pairs.
-
-    Pivots come from `sample` vectors with the smallest hash of their id, the
-    only thing taken from a part of the data; the result does not depend on them.
+    are linked with nothing; vectors of different lengths neither. Every row is
+    a vector of its own and gives one row, also if it shares its id with others:
+    links count rows, and an id reaches what any of its rows reaches only if a
+    link does. Equal vectors are one class and compared once. A class lies in
+    the cell of its nearest pivot and is copied to every cell of a smaller
+    number that the radius can touch; a cell compares its own classes with each
+    other and with the copies, so each pair meets once. Cells are cut into
+    blocks of at most `block` rows a side, as many as its rows need, so one cell
+    may hold any share of the rows. A block hands on counts and a forest of its
+    links, never the pairs.
+
+    Pivots come from `sample` vectors with the smallest hash, the only thing
+    taken from a part of the data; the result does not depend on them.
     """
     if not 0 < cosine <= 1:
         raise ValueError("cosine must be above 0 and at most 1")
     radius = math.sqrt(2 - 2 * cosine)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vec).alias("v"))
     kind = rows.schema["v"].dataType.simpleString()
-    good = rows.where(F.col("vec_id").isNotNull() & usable("v"))
-    groups = stored(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "classes")
-    copied = good.join(groups.where("n > 1"), "v").groupBy("vec_id").agg(F.min("id").alias("id"))
-    heads = groups.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    # a row finds its class by 128 bits of its vector; ids may repeat
+    digest = [F.xxhash64("v").alias("d1"), F.xxhash64(F.lit(1), F.col("v")).alias("d2")]
+    good = F.col("vec_id").isNotNull() & usable("v")
+    classes = rows.where(good).groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # numbered when they are written, once
+    groups = stored(classes.select(F.monotonically_increasing_id().alias("id"), "v", "least", "n", *digest), "classes")
+    heads = groups.orderBy("d1", "d2").limit(sample).select("v").toArrow().column("v").combine_chunks()
     by_length: dict[int, list] = {}
     for v in heads.to_pylist():
         by_length.setdefault(len(v), []).append(v)
@@ -194,9 +200,10 @@ def link(vectors: DataFrame, cosine: float = COSINE, vec_id: str = "vec_id", vec
 
     met = stored(left.select(*columns).union(right.select(*columns)).groupBy("length", "cell", "i", "j").applyInArrow(join, "a long, b long, links long"), "met")
     counts = met.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
-    linked = components(met.where("b IS NOT NULL").select("a", "b"))
-    copies = groups.join(counts, "id", "left").join(linked, "id", "left").select("id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    # a vector that is alone in its class has the id of the class
-    out = rows.select("vec_id").join(copied.withColumnRenamed("vec_id", "_v"), F.col("vec_id") == F.col("_v"), "left").withColumn("_c", F.coalesce("id", "vec_id")).drop("id", "_v")
-    out = out.join(copies, F.col("_c") == F.col("id"), "left")
+    linked = stored(components(met.where("b IS NOT NULL").select("a", "b")), "components")
+    reached = groups.select("id", "least").join(linked, "id").groupBy("component_id").agg(F.min("least").alias("reached"))
+    named = groups.join(counts, "id", "left").join(linked.join(reached, "component_id"), "id", "left")
+    named = named.select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("reached", "least").alias("component_id"))
+    keyed = rows.select("vec_id", *[F.when(good, d).alias(f"r{i}") for i, d in enumerate((F.xxhash64("v"), F.xxhash64(F.lit(1), F.col("v"))))])
+    out = keyed.join(named, (F.col("r0") == F.col("d1")) & (F.col("r1") == F.col("d2")), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -65,3 +65,25 @@ def test_plane_bound_keeps_every_partner():
     own, touches = E.reach(x, pivots, radius)
     i, j = np.nonzero(x @ x.T >= 0.9)
     assert touches[i, own[j]].all()
+
+
+def test_one_row_in_one_row_out(spark):
+    """Ids may repeat, with equal and with other vectors: every row is a vector."""
+    rng = np.random.default_rng(5)
+    base = [[float(a) for a in v] for v in rng.normal(size=(12, 4))]
+    rows = [(int(rng.integers(0, 8)), base[int(rng.integers(0, 12))]) for _ in range(60)] + [(3, None), (3, [0.0] * 4), (None, base[0]), (5, [1.0, -0.0, 0.0, 0.0]), (9, [1.0, 0.0, 0.0, -0.0])]
+    good = [i for i, (k, v) in enumerate(rows) if k is not None and v is not None and any(v)]
+    unit = {i: np.asarray(rows[i][1]) / np.linalg.norm(rows[i][1]) for i in good}
+    near = {i: {j for j in good if j != i and unit[i] @ unit[j] >= 0.9 - 1e-12} for i in good}
+    want = []
+    for i, (k, _) in enumerate(rows):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near.get(todo.pop(), ()):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        least = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        want.append((k, len(near.get(i, ())), least, k == least))
+    got = E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
