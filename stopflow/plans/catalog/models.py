@@ -5,12 +5,17 @@ frame. The twins of `*_table` and `*_scores` train the same model in SQL, on few
 columns: the logistic optimum by Newton's method, boosted stumps round by round.
 """
 
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.operators import calibration, guards
 from stopflow.operators import metrics as M
 from stopflow.operators.features import cause_features
+from stopflow.operators.graph import betweenness
 from stopflow.operators.splits import with_split
 from stopflow.plans import causes, model_tables, training
 from stopflow.plans.adapter import EVENT_SPLITS, Tables
@@ -19,11 +24,17 @@ from stopflow.plans.registry import query
 from stopflow.session import checkpointed, scratch_path
 
 
-def store(t: Tables, scenario: str = "A"):
+# Numbers of the test tables that no feed has.
+HELPERS = ("seq", "k", "user_id", "delay_int")
+
+
+def store(t: Tables):
     """Feature store with splits, written once: several fits read it."""
-    df = with_split(feature_store(t), splits=EVENT_SPLITS)
-    names = [c for c in guards.model_columns(df, scenario) if c not in ("seq", "k", "user_id", "delay_int")]
-    return checkpointed(df), names
+    return checkpointed(with_split(feature_store(t), splits=EVENT_SPLITS))
+
+
+def columns_for(data, scenario: str) -> list[str]:
+    return [c for c in guards.model_columns(data, scenario) if c not in HELPERS]
 
 
 def _summary(model: training.StopModel, data):
@@ -32,17 +43,20 @@ def _summary(model: training.StopModel, data):
     return out.withColumns({c: C.r6(c) for c in out.columns if c not in ("model", "scenario", "n")})
 
 
+def _summaries(data, names: Sequence[str]):
+    """One row per model and scenario."""
+    rows = [_summary(training.fit(name, data, s, columns_for(data, s)), data) for name in names for s in "AB"]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query("m1_logistic")
 def m1(t: Tables):
-    data, names = store(t, "B")
-    return _summary(training.fit("logreg", data, "B", names), data)
+    return _summaries(store(t), ["logreg"])
 
 
 @query("m2_boosted_trees")
 def m2(t: Tables):
-    data, names = store(t, "B")
-    return _summary(training.fit("boost_deep", data, "B", names), data).unionByName(
-        _summary(training.fit("boost_shallow", data, "B", names), data))
+    return _summaries(store(t), ["boost_deep", "boost_shallow"])
 
 
 # -- the same training in SQL ---------------------------------------------------------
@@ -153,22 +167,21 @@ def x1_paths(t: Tables):
 
 @query("m3_graph_model")
 def m3(t: Tables):
-    data, _ = store(t, "A")
-    slim = data.drop("seq", "k", "user_id", "delay_int")
-    model, joined = training.fit_graph_model(slim, t.stations, t.edges, "A")
-    return _summary(model, joined)
+    data = store(t).drop(*HELPERS)
+    stations = t.stations.join(betweenness(t.edges, t.stations), "station_id")
+    rows = [_summary(*training.fit_graph_model(data, stations, t.edges, s)) for s in "AB"]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("m5_run_matrix")
 def m5(t: Tables):
-    data, _ = store(t, "B")
-    slim = data.drop("seq", "k", "user_id", "delay_int")
-    out = training.run_matrix(slim, scratch_path(t.spark, "runs"))
+    out = training.run_matrix(store(t).drop(*HELPERS), scratch_path(t.spark, "runs"))
     return out.withColumns({c: C.r6(c) for c in out.columns if c not in ("model", "scenario", "n", "status")})
 
 
-CAUSE_COLUMNS = ["weather_severity", "temperature", "wind_speed", "snow_depth", "position_norm", "degree", "station_lag7_rate",
-                 "scheduled_arrival_hour", "delay_log", "is_weekend", "heavy_snow", "cascade_strong"]
+def cause_columns(data) -> list[str]:
+    """All numbers that describe a stop that is known to be disrupted, its delay included."""
+    return [c for c in guards.numeric_columns(data) if c not in (*HELPERS, "y_stop", "delay_minutes", "y_cause")]
 
 
 def cause_data(t: Tables):
@@ -179,7 +192,7 @@ def cause_data(t: Tables):
 @query("m7_cause_models")
 def m7(t: Tables):
     data = cause_data(t)
-    models = causes.fit_models(data, CAUSE_COLUMNS)
+    models = causes.fit_models(data, cause_columns(data))
     out = causes.benchmark(models, data)
     return out.withColumns({"accuracy": C.r6("accuracy"), "macro_f1": C.r6("macro_f1")})
 
@@ -187,7 +200,7 @@ def m7(t: Tables):
 @query("m8_stacked_causes")
 def m8(t: Tables):
     data = cause_data(t)
-    models = causes.fit_models(data, CAUSE_COLUMNS)
+    models = causes.fit_models(data, cause_columns(data))
     stack = causes.fit_stack(models, data)
     out = causes.benchmark(models, data, stack)
     return out.withColumns({"accuracy": C.r6("accuracy"), "macro_f1": C.r6("macro_f1")})
@@ -198,12 +211,19 @@ def m10(t: Tables):
     """Fit on NL causes, score disrupted stops of the other countries."""
     data = checkpointed(cause_features(with_split(feature_store(t), splits=EVENT_SPLITS)))
     labelled = checkpointed(causes.label_causes(data, t.faults, country="NL"))
-    models = causes.fit_models(labelled, CAUSE_COLUMNS)
+    models = causes.fit_models(labelled, cause_columns(data))
     name = causes.pick_for_transfer(causes.benchmark(models, labelled))
     scored = models.score(data.where("y_stop = 1 AND country <> 'NL'"), name)
     return causes.transfer_summary(scored).withColumns({"share": C.r6("share"), "mean_confidence": F.round("mean_confidence", 3)})
 
 
+@query("m10_overall_confidence", """
+    SELECT country, count(*) AS n, round(avg(p_b), 6) AS overall_mean_confidence FROM predictions WHERE y_stop = 1 AND country <> 'NL' GROUP BY country""", "predictions")
+def m10_overall(t: Tables):
+    scored = t.predictions.where("y_stop = 1 AND country <> 'NL'").withColumn("pred_max_proba", F.col("p_b"))
+    return causes.overall_confidence(scored).withColumn("overall_mean_confidence", C.r6("overall_mean_confidence"))
+
+
 # the fit by its max-min formula: at each score the largest of the least means of what begins at or before it
 ISOTONIC_SQL = """pt AS (SELECT p_disrupted AS p, avg(y_stop) AS y, count(*) AS w, row_number() OVER (ORDER BY p_disrupted) AS i FROM runs WHERE split = 'val' AND scenario = 'A' GROUP BY 1),
     c AS (SELECT *, sum(y * w) OVER (ORDER BY i) AS cy, sum(w) OVER (ORDER BY i) AS cw FROM pt),
@@ -243,13 +263,16 @@ def e11_fit(t: Tables):
 
 @query("x1_permutation_importance")
 def x1_permutation(t: Tables):
-    data, names = store(t, "B")
-    model = training.fit("boost_shallow", data, "B", names)
-    return training.permutation_importance(model, data.where("split = 'test'"), ["seq"]).withColumn("drop", C.r6("drop"))
+    data = store(t)
+    parts = []
+    for s in "AB":
+        model = training.fit("boost_shallow", data, s, columns_for(data, s))
+        parts.append(training.permutation_importance(model, data.where("split = 'test'"), ["seq"]).withColumn("scenario", F.lit(s)))
+    return reduce(DataFrame.unionByName, parts).withColumn("drop", C.r6("drop"))
 
 
 @query("x8_lag_ablation")
 def x8(t: Tables):
-    data, _ = store(t, "B")
-    out = training.lag_ablation(data.drop("seq", "k", "user_id", "delay_int"), "B")
+    data = store(t).drop(*HELPERS)
+    out = reduce(DataFrame.unionByName, [training.lag_ablation(data, s) for s in "AB"])
     return out.withColumn("pr_auc", C.r6("pr_auc"))

@@ -177,28 +177,31 @@ def calibrate(val: DataFrame, test: DataFrame, score: str = "p_disrupted", label
 
 # -- explanation of fitted models -------------------------------------------------------
 
-def permuted(df: DataFrame, column: str, ids: Sequence[str], seed: int = 7, bucket_rows: int = 10_000) -> DataFrame:
-    """Rotate a column inside hash buckets of about `bucket_rows` rows: a
-    permutation that needs no global order, and buckets are even by construction."""
+def exchanged(df: DataFrame, columns: Sequence[str], ids: Sequence[str], seed: int = 7, bucket_rows: int = 10_000) -> DataFrame:
+    """Each row as it is (`_moved` is empty) and once per column with this column's
+    value from the next row of its hash bucket, the last row's from the first: a
+    permutation in even buckets, the same for all columns."""
     n_buckets = df.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / bucket_rows))).scalar()
-    h = F.xxhash64(*[F.col(i) for i in ids], F.lit(column), F.lit(seed))
-    w = Window.partitionBy("_bucket").orderBy("_h", *ids)
-    first = F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    moved = F.when(F.row_number().over(w) == F.count(F.lit(1)).over(Window.partitionBy("_bucket")), first).otherwise(F.lead(column).over(w))
-    return df.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", n_buckets)).withColumn(column, moved).drop("_h", "_bucket")
+    h = F.xxhash64(*[F.col(i) for i in ids], F.lit(seed))
+    bucket = Window.partitionBy("_bucket")
+    order = bucket.orderBy("_h", *ids)
+    values = F.struct(*columns)
+    first = F.first(values).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = df.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", n_buckets)).withColumn("_next", F.coalesce(F.lead(values).over(order), first))
+    each = near.withColumn("_moved", F.explode(F.array(F.lit(""), *[F.lit(c) for c in columns])))
+    return each.withColumns({c: F.when(F.col("_moved") == c, F.col(f"_next.{c}")).otherwise(F.col(c)) for c in columns}).drop("_h", "_bucket", "_next")
 
 
 def permutation_importance(model: StopModel, df: DataFrame, ids: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Loss of PR-AUC when one column is permuted; one scoring pass per column."""
-    def auc(rows: DataFrame) -> DataFrame:
-        return M.pr_auc(M.score_points(model.score(rows), [], "p_disrupted", LABEL), [])
-
-    base = auc(df).first()["pr_auc"]
-    parts = None
-    for c in columns or model.columns:
-        one = auc(permuted(df, c, ids)).select(F.lit(c).alias("feature"), (F.lit(base) - F.col("pr_auc")).alias("drop"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """Loss of PR-AUC when one column is permuted. Every row is scored once with its
+    own values and once for each column with that one exchanged, in one pass; the
+    curves of all columns come from one aggregate."""
+    columns = list(columns or model.columns)
+    rows = exchanged(df, columns, ids)
+    scored = model.score(rows)
+    auc = M.pr_auc(M.score_points(scored, ["_moved"], "p_disrupted", LABEL), ["_moved"])
+    base = auc.where("_moved = ''").select("pr_auc").scalar()
+    return auc.where("_moved <> ''").select(F.col("_moved").alias("feature"), (base - F.col("pr_auc")).alias("drop"))
 
 
 def lag_ablation(data: DataFrame, scenario: str, name: str = "boost_shallow", **settings) -> DataFrame:

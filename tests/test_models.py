@@ -47,13 +47,6 @@ def test_every_run_has_a_row(data, tmp_path, monkeypatch):
     assert stored.count() == data.where("split IN ('val', 'test')").count()
 
 
-def test_permutation_keeps_the_values(data):
-    moved = training.permuted(data, "f0", ["service_id", "stop_order"], bucket_rows=20)
-    assert moved.select("f0").exceptAll(data.select("f0")).count() == 0
-    changed = moved.select("service_id", "stop_order", F.col("f0").alias("g")).join(data, ["service_id", "stop_order"]).where("g <> f0").count()
-    assert changed > data.count() / 2
-
-
 def test_ablation_drops_history(data):
     rows = {r["variant"]: r["n_columns"] for r in training.lag_ablation(data, "B", name="logreg", rounds=5).collect()}
     n_history = len([c for c in guards.model_columns(data, "B") if guards.is_history_column(c)])
