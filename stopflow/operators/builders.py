@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
-from stopflow.operators.scan import keyed_scan, seconds, tag_slices
+from stopflow.operators.scan import keyed_scan, tag_slices
 
 
 # -- adjacency --------------------------------------------------------------------
 
 def consecutive_pairs(df: DataFrame, key: Sequence[str], order: Sequence[str], station: str,
-                      distance: str | None = None, at: str | Column | None = None) -> DataFrame:
+                      distance: str | None = None) -> DataFrame:
     """Neighbouring stations along an ordered route: `a`, `b`, `d` (|difference|)."""
-    axis = at if isinstance(at, Column) else seconds(at) if at else F.col(order[0]).cast("double")
     columns = [station] + ([distance] if distance else [])
-    slim = df.select(*dict.fromkeys([*key, *order, *columns]), axis.alias("_axis"))
-    scanned = keyed_scan(tag_slices(slim, key, F.col("_axis")), order, nxt=columns).df
+    slim = df.select(*dict.fromkeys([*key, *order, *columns]))
+    scanned = keyed_scan(tag_slices(slim, key, order), order, nxt=columns).df
     gap = F.abs(F.col(f"next_{distance}") - F.col(distance)) if distance else F.lit(0.0)
     return scanned.where(F.col("_rn") < F.col("_n") - 1).select(
         F.col(station).alias("a"), F.col(f"next_{station}").alias("b"), gap.alias("d"))
@@ -41,9 +40,9 @@ def both_directions(pairs: DataFrame) -> DataFrame:
 
 
 def adjacency_from_order(df: DataFrame, key: Sequence[str], order: Sequence[str], station: str,
-                         distance: str | None = None, at: str | Column | None = None) -> DataFrame:
+                         distance: str | None = None) -> DataFrame:
     """Edges from the order of stops: IT (with distances) and FI (distance 0)."""
-    return both_directions(consecutive_pairs(df, key, order, station, distance, at))
+    return both_directions(consecutive_pairs(df, key, order, station, distance))
 
 
 def order_column(columns: Sequence[str]) -> str | None:

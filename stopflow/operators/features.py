@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
-from stopflow.operators.scan import Sliced, keyed_scan, seconds, tag_slices
+from stopflow.operators.scan import Sliced, keyed_scan, tag_slices
 
 SERVICE = ["service_id"]
 ORDER = ["scheduled_time", "seq"]
@@ -33,15 +33,12 @@ def _minutes(start: str, end: str) -> Column:
 
 # -- inside a service ----------------------------------------------------------
 
-def _tagged(df: DataFrame, key: Sequence[str], at: str | Column) -> Sliced:
-    return tag_slices(df, key, seconds(at) if isinstance(at, str) else at)
-
-
 def _position_columns(time: str | None) -> dict[str, Column]:
     n = F.col("_n")
     out = {
-        "stop_order": F.col("_rn"),
-        "n_total_stops": n,
+        # stops of a service, not rows of a table
+        "stop_order": F.col("_rn").cast("int"),
+        "n_total_stops": n.cast("int"),
         "position_norm": F.col("_rn") / F.greatest(n - 1, F.lit(1)),
         "is_origin": (F.col("_rn") == 0).cast("int"),
         "is_terminus": (F.col("_rn") == n - 1).cast("int"),
@@ -52,10 +49,9 @@ def _position_columns(time: str | None) -> dict[str, Column]:
 
 
 def stop_position(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
-                  time: str | None = "scheduled_time", at: Column | None = None) -> DataFrame:
+                  time: str | None = "scheduled_time") -> DataFrame:
     """Order, count, normalised position, first/last flags, minutes since the first stop."""
-    tagged = _tagged(df, key, time if at is None else at)
-    scanned = keyed_scan(tagged, order, lows=[time] if time else []).plain
+    scanned = keyed_scan(tag_slices(df, key, order), order, lows=[time] if time else []).plain
     return scanned.withColumns(_position_columns(time)).drop(f"low_{time}", "_rn", "_n")
 
 
@@ -102,7 +98,7 @@ def service_identity(df: DataFrame, services: DataFrame, edges: DataFrame,
                      key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
                      time: str = "scheduled_time") -> DataFrame:
     """Class, country, stop count, route duration and distance, running distance."""
-    scanned = keyed_scan(_tagged(df, key, time), order, prev=["station_id"], lows=[time], tops=[time])
+    scanned = keyed_scan(tag_slices(df, key, order), order, prev=["station_id"], lows=[time], tops=[time])
     duration = _zero(_minutes(f"low_{time}", f"top_{time}"))
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -131,7 +127,7 @@ def _delta(c: str) -> Column:
 def weather_delta(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
                   time: str = "scheduled_time") -> DataFrame:
     """Change of severity and wind against the previous stop of the service."""
-    scanned = keyed_scan(_tagged(df, key, time), order, prev=["weather_severity", "wind_speed"]).plain
+    scanned = keyed_scan(tag_slices(df, key, order), order, prev=["weather_severity", "wind_speed"]).plain
     return scanned.withColumns({
         "delta_severity_vs_prev_stop": _delta("weather_severity"),
         "delta_wind_vs_prev_stop": _delta("wind_speed"),
@@ -146,11 +142,11 @@ _INFLIGHT_COLUMNS = {
 
 
 def inflight(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] = ORDER,
-             time: str = "scheduled_time", at: Column | None = None) -> DataFrame:
+             time: str = "scheduled_time") -> DataFrame:
     """Delay at the previous stop, running sum and running maximum over earlier
     stops. A missing delay counts as 0; the maximum never falls below 0."""
     base = df.withColumn("_d", _zero("delay_minutes"))
-    scanned = keyed_scan(_tagged(base, key, time if at is None else at), order, prev=["_d"], sums=["_d"], peaks=["_d"]).plain
+    scanned = keyed_scan(tag_slices(base, key, order), order, prev=["_d"], sums=["_d"], peaks=["_d"]).plain
     out = scanned.withColumns({k: v() for k, v in _INFLIGHT_COLUMNS.items()})
     return out.drop("_d", "prev__d", "before__d", "total__d", "peak__d", "_rn", "_n")
 
@@ -158,7 +154,7 @@ def inflight(df: DataFrame, key: Sequence[str] = SERVICE, order: Sequence[str] =
 def previous_label(df: DataFrame, label: str = "y_stop", key: Sequence[str] = SERVICE,
                    order: Sequence[str] = ("stop_order",)) -> DataFrame:
     """Label of the previous stop; the first stop of a service is dropped."""
-    scanned = keyed_scan(tag_slices(df, key, F.col(order[0]).cast("double")), order, prev=[label]).plain
+    scanned = keyed_scan(tag_slices(df, key, order), order, prev=[label]).plain
     return scanned.where(F.col("_rn") > 0).withColumnRenamed(f"prev_{label}", "prev_y").drop("_rn", "_n")
 
 
@@ -249,7 +245,7 @@ def assemble(stops: DataFrame, services: DataFrame, stations: DataFrame, edges:
     position, weather deltas and inflight features; one join per history grain."""
     base = stops.withColumn("_d", _zero("delay_minutes")).drop("train_class_code", "country")
     scanned = keyed_scan(
-        _tagged(base, key, time), order,
+        tag_slices(base, key, order), order,
         prev=["station_id", "weather_severity", "wind_speed", "_d"],
         sums=["_d"], peaks=["_d"], lows=[time], tops=[time])
     duration = _zero(_minutes(f"low_{time}", f"top_{time}"))

@@ -2,16 +2,18 @@
 survive a hot key.
 
 A plain `Window.partitionBy(key)` puts all rows of a key into one task. That is
-the right plan while every key is small, so `tag_slices` checks first: one count,
-and, for large tables only, one aggregate of rows per key. Keys which hold a
-noticeable share of the rows are then cut into slices of their own time range.
-The window runs per (key, slice); what a slice needs to know about the slices
-before it is one summary row, brought back by a join.
+the right plan while every key is small, so `tag_slices` counts rows per key
+where a table is large enough to hold a hot one. The rows of keys that hold a
+noticeable share of it are sorted by key and order into ranges of about equal
+numbers of rows, whatever the order's values look like: also a key whose rows
+all have the same time is cut. The window runs per (key, range); what a range
+needs to know about the ranges before it is one summary row, brought back by a
+join.
 
 Both helper tables have a proven size: at most `HOT_SHARE` keys can each hold
-more than 1/HOT_SHARE of the rows, and together they get at most
-`SLICES + HOT_SHARE` slices. That is why those two may be broadcast. A slice
-boundary only affects how work is spread, never the result.
+more than 1/HOT_SHARE of the rows, and the ranges are the partitions of one
+shuffle. That is why those two may be broadcast. Ranges only affect how work is
+spread, never the result.
 """
 
 from __future__ import annotations
@@ -22,20 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stopflow.session import checkpointed
+from stopflow.session import checkpointed, written
 
 # A key is hot when it holds more than 1/HOT_SHARE of all rows and more than
 # HOT_ROWS rows, below which one task copes easily.
 HOT_SHARE = 100_000
 HOT_ROWS = 1_000_000
-# No slice is planned larger than 1/SLICES of all rows (or HOT_ROWS / 4).
-SLICES = 100_000
-
-
-def seconds(ts: str | Column) -> Column:
-    """Timestamp as a number of seconds, for slicing."""
-    c = F.col(ts) if isinstance(ts, str) else ts
-    return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
 
 @dataclass(frozen=True)
@@ -55,33 +49,31 @@ class Sliced:
         return self.df.drop("_hot", "_slice") if self.hot else self.df
 
 
-def hot_keys(df: DataFrame, key: Sequence[str], at: Column, hot_rows: int = HOT_ROWS) -> DataFrame | None:
-    """Hot keys with the start and width of their slices, or None."""
+def hot_keys(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Keys with a noticeable share of a large table, or None."""
     total = df.count()
     if total <= hot_rows:
         return None
     limit = max(hot_rows, total // HOT_SHARE)
-    slice_rows = max(hot_rows // 4, total // SLICES, 1)
-    per_key = df.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_from"), F.max(at).alias("_to"))
-    n = F.ceil(F.col("_rows") / slice_rows)
-    hot = per_key.where(F.col("_rows") > limit).select(
-        *key, "_from", n.cast("double").alias("_slices"), ((F.col("_to") - F.col("_from")) / n).alias("_width"))
-    hot = checkpointed(hot)
+    hot = checkpointed(df.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(*key))
     return None if hot.isEmpty() else hot
 
 
-def tag_slices(df: DataFrame, key: Sequence[str], at: Column, hot_rows: int | None = None) -> Sliced:
-    """Prepare a frame for `keyed_scan`. `at` must be a numeric value that grows
-    with the scan order; rows of ordinary keys are all in slice 0."""
-    hot = hot_keys(df, key, at, HOT_ROWS if hot_rows is None else hot_rows)
+def tag_slices(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], hot_rows: int | None = None) -> Sliced:
+    """Prepare a frame for `keyed_scan` in this order, which must be unique within a
+    key. The rows of hot keys are written in sorted ranges, whose numbers are
+    their slices; rows of ordinary keys stay where they are, in slice 0."""
+    hot = hot_keys(df, key, HOT_ROWS if hot_rows is None else hot_rows)
     if hot is None:
         return Sliced(df, tuple(key), False)
-    placed = df.join(F.broadcast(hot), list(key), "left")
-    index = F.floor((at - F.col("_from")) / F.nullif(F.col("_width"), F.lit(0.0)))
-    index = F.greatest(F.lit(0), F.least(F.coalesce(index, F.lit(0)), F.col("_slices") - 1))
-    tagged = placed.withColumns({"_hot": F.col("_slices").isNotNull(), "_slice": F.coalesce(index, F.lit(0)).cast("long")})
-    return Sliced(tagged.select(*df.columns, "_hot", "_slice"), tuple(key), True)
+    hot = F.broadcast(hot)
+    by = {f"_by{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    rows = df.join(hot, list(key), "left_semi").withColumns(by)
+    dealt = rows.repartitionByRange(*key, *by).withColumn("_slice", F.spark_partition_id().cast("long")).drop(*by)
+    cut = written(dealt.withColumn("_hot", F.lit(True)), "slices")
+    rest = df.join(hot, list(key), "left_anti").withColumns({"_hot": F.lit(False), "_slice": F.lit(0).cast("long")})
+    names = [*df.columns, "_hot", "_slice"]
+    return Sliced(cut.select(*names).unionByName(rest.select(*names)), tuple(key), True)
 
 
 def keyed_scan(sliced: Sliced, order: Sequence[Column | str], *, prev: Sequence[str] = (), nxt: Sequence[str] = (),
@@ -101,7 +93,7 @@ def keyed_scan(sliced: Sliced, order: Sequence[Column | str], *, prev: Sequence[
     seq = group.orderBy(*order)
     earlier = seq.rowsBetween(Window.unboundedPreceding, -1)
 
-    inside = {"_rn": F.row_number().over(seq) - 1, "_n": F.count(F.lit(1)).over(group).cast("int")}
+    inside = {"_rn": F.row_number().over(seq).cast("long") - 1, "_n": F.count(F.lit(1)).over(group)}
     inside |= {f"prev_{c}": F.lag(c).over(seq) for c in prev}
     inside |= {f"next_{c}": F.lead(c).over(seq) for c in nxt}
     inside |= {f"before_{c}": F.coalesce(F.sum(c).over(earlier), F.lit(0)) for c in sums}
@@ -117,7 +109,7 @@ def keyed_scan(sliced: Sliced, order: Sequence[Column | str], *, prev: Sequence[
     joined = scanned.join(F.broadcast(offsets), [*key, "_slice"], "left")
     zero = F.lit(0)
     out = {
-        "_rn": (F.col("_rn") + F.coalesce("c_rn", zero)).cast("int"), "_n": F.coalesce("c_n", "_n").cast("int")}
+        "_rn": F.col("_rn") + F.coalesce("c_rn", zero), "_n": F.coalesce("c_n", "_n")}
     out |= {f"prev_{c}": F.when(F.col("_rn") == 0, F.col(f"c_last.{c}")).otherwise(F.col(f"prev_{c}")) for c in prev}
     out |= {f"next_{c}": F.when(F.col("_rn") == F.col("_n") - 1, F.col(f"c_first.{c}")).otherwise(F.col(f"next_{c}")) for c in nxt}
     out |= {f"before_{c}": F.col(f"before_{c}") + F.coalesce(f"c_sum_{c}", zero) for c in sums}

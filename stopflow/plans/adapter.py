@@ -116,7 +116,7 @@ class Tables:
 
         stops = self.stops.withColumn("km", F.col("k").cast("double"))
         return adjacency_from_order(stops, ["service_id"], ["scheduled_time", "seq"],
-                                    "station_id", distance="km", at="scheduled_time")
+                                    "station_id", distance="km")
 
     @cached_property
     def stations(self) -> DataFrame:

@@ -192,7 +192,7 @@ def f11(t: Tables):
     GROUP BY service_id""", "li")
 def f11_volume(t: Tables):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    out = feat.inflight(t.lineitem_stops, order=order, at=F.col("l_linenumber").cast("double"))
+    out = feat.inflight(t.lineitem_stops, order=order)
     return out.groupBy("service_id").agg(
         F.round(F.sum("prev_stop_actual_delay"), 4).alias("sum_prev"),
         F.round(F.sum("cum_actual_delay_so_far"), 4).alias("sum_cum"),

@@ -7,7 +7,6 @@ from stopflow.functions import constants as K
 from stopflow.operators import builders as B
 from stopflow.operators import guards, relate
 from stopflow.operators import splits as S
-from stopflow.operators.features import seconds
 from stopflow.plans.adapter import EVENT_REF_END, EVENT_SPLITS, EVENT_TRAIN_END, Tables, split_column
 from stopflow.plans.registry import query
 from stopflow.sources import schemas
@@ -99,7 +98,7 @@ def b6(t: Tables):
 @query("b7_fi_adjacency", "SELECT station_from, station_to, 0.0::DOUBLE AS distance_km FROM edges", "edges")
 def b7(t: Tables):
     order = B.order_column(t.stops.columns)
-    return B.adjacency_from_order(t.stops, ["user_id", "date"], [order, "seq"], "station_id", at=order)
+    return B.adjacency_from_order(t.stops, ["user_id", "date"], [order, "seq"], "station_id")
 
 
 @query("b8_nl_adjacency", """
@@ -218,7 +217,7 @@ def j3(t: Tables):
     from stopflow.operators.features import with_segment_km
     from stopflow.operators.scan import keyed_scan, tag_slices
 
-    hops = keyed_scan(tag_slices(t.stops, ["service_id"], seconds("scheduled_time")), ["scheduled_time", "seq"], prev=["station_id"]).plain
+    hops = keyed_scan(tag_slices(t.stops, ["service_id"], ["scheduled_time", "seq"]), ["scheduled_time", "seq"], prev=["station_id"]).plain
     return with_segment_km(hops, t.edges).select("seq", "seg_km")
 
 
@@ -446,12 +445,12 @@ def t12(t: Tables):
 
 # -- sorts, limits, sets ------------------------------------------------------------------
 
-@query("o1_stable_sort", "SELECT station_id, seq, CAST(row_number() OVER (PARTITION BY station_id ORDER BY date, delay_int, seq) AS INTEGER) AS place FROM stops")
+@query("o1_stable_sort", "SELECT station_id, seq, row_number() OVER (PARTITION BY station_id ORDER BY date, delay_int, seq) AS place FROM stops")
 def o1(t: Tables):
     from stopflow.operators.scan import keyed_scan, tag_slices
 
-    day = F.unix_date("date").cast("double")
-    ranked = keyed_scan(tag_slices(t.stops, ["station_id"], day), ["date", "delay_int", "seq"]).plain
+    order = ["date", "delay_int", "seq"]
+    ranked = keyed_scan(tag_slices(t.stops, ["station_id"], order), order).plain
     return ranked.select("station_id", "seq", (F.col("_rn") + 1).alias("place"))
 
 

@@ -74,7 +74,7 @@ def finland(raw: DataFrame) -> dict[str, DataFrame]:
         "nodes_service": B.services(rows, service, "departure_date", "train_type", "delay_minutes"),
         "edges_stops_at": B.stops_at(rows, service, "station_code", "delay_minutes", names,
                                      rename={"air_temp": "temperature", "precipitation_1h": "precipitation"}, missing=0.0, extras=EXTRAS),
-        "edges_adjacent": B.adjacency_from_order(placed, ["train_number", "departure_date"], ["scheduled_time", "seq"], "station_id", at="scheduled_time"),
+        "edges_adjacent": B.adjacency_from_order(placed, ["train_number", "departure_date"], ["scheduled_time", "seq"], "station_id"),
         "nodes_fault": schemas.empty_faults(raw.sparkSession),
     }
 

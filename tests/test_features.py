@@ -78,7 +78,7 @@ def test_gaps_skip_days_but_observed_days_do_not(spark):
 
 def test_running_maximum_never_falls_below_zero(spark):
     df = spark.sql("SELECT * FROM VALUES ('s', 0, -4D), ('s', 1, -2D), ('s', 2, null), ('s', 3, 3D) AS t(service_id, seq, delay_minutes)")
-    out = feat.inflight(df, order=["seq"], at=F.col("seq").cast("double"))
+    out = feat.inflight(df, order=["seq"])
     assert column(out, "max_actual_delay_so_far") == [0, 0, 0, 0]
     assert column(out, "cum_actual_delay_so_far") == [0, -4, -6, -6]
     assert column(out, "prev_stop_actual_delay") == [0, -4, -2, 0]
@@ -86,7 +86,7 @@ def test_running_maximum_never_falls_below_zero(spark):
 
 def test_inflight_toy(spark):
     df = spark.sql("SELECT * FROM VALUES ('s', 0, 3D), ('s', 1, 7D), ('s', 2, 12D) AS t(service_id, seq, delay_minutes)")
-    out = feat.inflight(df, order=["seq"], at=F.col("seq").cast("double"))
+    out = feat.inflight(df, order=["seq"])
     assert column(out, "prev_stop_actual_delay") == [0, 3, 7]
 
 

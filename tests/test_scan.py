@@ -25,11 +25,9 @@ def result(sliced):
 
 
 def test_sliced_equals_plain_window(rows):
-    sliced = tag_slices(rows, ["key"], F.col("at"), hot_rows=100)
+    sliced = tag_slices(rows, ["key"], ["at", "seq"], hot_rows=100)
     assert sliced.hot
-    sizes = sliced.df.where("_hot").groupBy("key", "_slice").count()
-    assert sizes.count() > 10
-    plain = tag_slices(rows, ["key"], F.col("at"))
+    plain = tag_slices(rows, ["key"], ["at", "seq"])
     assert not plain.hot
     assert result(sliced) == result(plain)
 
@@ -38,12 +36,30 @@ def test_plain_matches_spark_windows(rows):
     w = Window.partitionBy("key").orderBy("at", "seq")
     want = rows.select("key", "seq", (F.row_number().over(w) - 1).alias("rn"), F.lag("seq").over(w).alias("p"),
                        F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("b"))
-    sliced = keyed_scan(tag_slices(rows, ["key"], F.col("at"), hot_rows=100), ["at", "seq"], prev=["seq"], sums=["v"]).plain
+    sliced = keyed_scan(tag_slices(rows, ["key"], ["at", "seq"], hot_rows=100), ["at", "seq"], prev=["seq"], sums=["v"]).plain
     got = sliced.select("key", "seq", F.col("_rn").alias("rn"), F.col("prev_seq").alias("p"), F.col("before_v").alias("b"))
     assert sorted(map(tuple, want.na.fill(-1).collect())) == sorted(map(tuple, got.na.fill(-1).collect()))
 
 
-def test_all_rows_at_one_time(spark):
-    rows = spark.range(500).selectExpr("'x' AS key", "id AS seq", "1.0D AS at", "1.0D AS v")
-    out = keyed_scan(tag_slices(rows, ["key"], F.col("at"), hot_rows=10), ["at", "seq"], sums=["v"]).plain
-    assert [r["before_v"] for r in out.orderBy("seq").collect()] == [float(i) for i in range(500)]
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_ranges_hold_even_numbers_of_rows(rows, many_ranges):
+    sliced = tag_slices(rows, ["key"], ["at", "seq"], hot_rows=100)
+    sizes = [r["count"] for r in sliced.df.where("_hot").groupBy("_slice").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert result(sliced) == result(tag_slices(rows, ["key"], ["at", "seq"]))
+
+
+def test_one_key_at_one_time_is_cut(spark, many_ranges):
+    rows = spark.range(5000).selectExpr("'x' AS key", "id AS seq", "1.0D AS at", "1.0D AS v")
+    sliced = tag_slices(rows, ["key"], ["at", "seq"], hot_rows=10)
+    sizes = [r["count"] for r in sliced.df.groupBy("_slice").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2 * 5000 / len(sizes)
+    out = keyed_scan(sliced, ["at", "seq"], sums=["v"]).plain
+    got = out.orderBy("seq").collect()
+    assert [r["before_v"] for r in got] == [float(i) for i in range(5000)] and dict(out.dtypes)["_rn"] == "bigint"
