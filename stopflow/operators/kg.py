@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
 from stopflow.functions import constants as K
 from stopflow.operators.features import fault_count
 from stopflow.operators.splits import sample_per_group
+from stopflow.sources.sinks import save_bucketed
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,46 @@ def bridge(flagged: DataFrame, graph: PropertyGraph, faults: DataFrame, days: in
     )
 
 
+# -- one station at a time ------------------------------------------------------------
+
+@dataclass(frozen=True)
+class StationIndex:
+    """Names of stored tables, all bucketed by station: attributes, neighbours, and
+    faults per day. A lookup reads one bucket of each."""
+
+    stations: str
+    neighbours: str
+    faults: str
+
+
+def index_stations(graph: PropertyGraph, faults: DataFrame, name: str, path: str, buckets: int) -> StationIndex:
+    """Write the tables of a `StationIndex`. Choose `buckets` so that one bucket is
+    quickly read: its size is the time of a lookup."""
+    per_day = faults.where("station_id IS NOT NULL AND date IS NOT NULL").groupBy("station_id", "date").agg(F.count(F.lit(1)).alias("n_faults"))
+    tables = {
+        "stations": graph.stations.select("station_id", F.col("avg_historical_delay").alias("station_avg_delay"), "degree"),
+        "neighbours": out_neighbours(graph.adjacent),
+        "faults": per_day,
+    }
+    for kind, df in tables.items():
+        save_bucketed(df.repartition(buckets, "station_id"), f"{name}_{kind}", f"{path}/{kind}", "station_id", buckets)
+    return StationIndex(*[f"{name}_{kind}" for kind in tables])
+
+
+def lookup(spark: SparkSession, index: StationIndex, station: str, day, days: int = 14) -> DataFrame:
+    """Neighbourhood answer for one station and day, one row; none for an unknown
+    station. The buckets are already apart by station, so nothing is shuffled
+    but the counts of the few days."""
+    here = F.col("station_id") == F.lit(station)
+    last = F.lit(day).cast("date")
+    recent = spark.table(index.faults).where(here & F.col("date").between(F.date_sub(last, days), last))
+    recent = recent.groupBy("station_id").agg(F.sum("n_faults").alias("recent_faults"))
+    return (
+        spark.table(index.stations).where(here).join(spark.table(index.neighbours).where(here), "station_id", "left").join(recent, "station_id", "left")
+        .withColumns({"recent_faults": F.coalesce("recent_faults", F.lit(0)).cast("long"), "n_neighbours": F.coalesce("n_neighbours", F.lit(0))})
+    )
+
+
 def bridge_seed(preds: DataFrame, ids: Sequence[str], p: str = "p_disrupted", pred: str = "y_pred") -> DataFrame:
     """The surest true positive, else the highest probability."""
     tp = ((F.col("y_stop") == 1) & (F.col(pred) == 1)).cast("int")

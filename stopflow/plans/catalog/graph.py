@@ -1,5 +1,7 @@
 """Queries of the station graph and the property graph."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stopflow.functions import columns as C
@@ -8,6 +10,7 @@ from stopflow.operators import kg
 from stopflow.operators.splits import dense_index
 from stopflow.plans.adapter import Tables
 from stopflow.plans.registry import query
+from stopflow.session import scratch_path
 
 HUB = "NL_2"
 
@@ -102,12 +105,29 @@ def g4(t: Tables):
     FROM predictions p JOIN st s USING (station_id) JOIN rf ON rf.station_id = p.station_id AND rf.date = p.date LEFT JOIN nb ON nb.station_id = p.station_id
     WHERE p.y_stop = 1 AND p.yp_b = 1""", KG_NEEDS + " predictions")
 def g5(t: Tables):
+    t = t.landed()
     flagged = t.predictions.where("y_stop = 1 AND yp_b = 1").select("seq", "service_id", "station_id", "date", "delay_min", "weather_severity")
     out = kg.bridge(flagged, property_graph(t), t.faults)
     return out.select("seq", "station_id", C.r6("station_avg_delay").alias("station_avg_delay"), "degree", "delay_min", "weather_severity",
                       "recent_faults", "n_neighbours", F.array_join("sample_neighbours", ",").alias("sample_neighbours"))
 
 
+@query("g5_station_lookup", f"""
+    WITH {KG_SQL}, seed AS (SELECT station_id, date FROM predictions ORDER BY (y_stop = 1 AND yp_a = 1) DESC, p_a DESC, seq LIMIT 1),
+    nb AS (SELECT count(DISTINCT station_to) AS n, list_slice(list_sort(list(DISTINCT station_to)), 1, 5) AS five FROM adj JOIN seed ON station_from = seed.station_id)
+    SELECT s.station_id, round(s.avg_historical_delay, 6) AS station_avg_delay, s.degree::BIGINT AS degree, (SELECT n FROM nb) AS n_neighbours, (SELECT array_to_string(five, ',') FROM nb) AS sample_neighbours,
+      (SELECT count(*) FROM faults f JOIN seed ON f.station_id = seed.station_id AND f.date BETWEEN seed.date - 14 AND seed.date) AS recent_faults
+    FROM st s SEMI JOIN seed USING (station_id)""", KG_NEEDS + " predictions")
+def g5_lookup(t: Tables):
+    """The station of the surest stop, from tables that are stored for lookups."""
+    t = t.landed()
+    seed = kg.bridge_seed(t.predictions, ["seq"], p="p_a", pred="yp_a").first()
+    name = f"stations_{uuid.uuid4().hex[:12]}"
+    index = kg.index_stations(property_graph(t), t.faults, name, scratch_path(t.spark, name), buckets=8)
+    out = kg.lookup(t.spark, index, seed["station_id"], seed["date"])
+    return out.select("station_id", C.r6("station_avg_delay").alias("station_avg_delay"), "degree", "n_neighbours", F.array_join("sample_neighbours", ",").alias("sample_neighbours"), "recent_faults")
+
+
 @query("g6_bridge_seed", "SELECT seq, station_id, p_a FROM predictions ORDER BY (y_stop = 1 AND yp_a = 1) DESC, p_a DESC, seq LIMIT 1", "predictions")
 def g6(t: Tables):
     return kg.bridge_seed(t.predictions, ["seq"], p="p_a", pred="yp_a").select("seq", "station_id", "p_a")

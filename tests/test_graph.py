@@ -80,3 +80,29 @@ def test_zero_distance_counts_as_one(spark):
     n = spark.createDataFrame([("a",), ("b",), ("c",)], "station_id string")
     got = {r["station_id"]: r["betweenness_centrality"] for r in G.betweenness(e, n).collect()}
     assert got == {"a": 0.0, "b": 0.5, "c": 0.0}
+
+
+def test_lookup_reads_one_bucket_of_each_table(spark, toy, tmp_path):
+    from stopflow.operators import kg
+
+    faults = spark.sql("SELECT * FROM VALUES ('f1', DATE'2024-02-15', 'IT_AAA', 'x'), ('f2', DATE'2024-02-02', 'IT_AAA', 'y'), ('f3', DATE'2024-02-01', 'IT_AAA', 'z'), ('f4', DATE'2024-02-16', 'IT_AAA', 'z'), ('f5', null, 'IT_AAA', 'z') AS t(fault_id, date, station_id, description)")
+    stops = toy["stops"].selectExpr("*", "1.0D AS temperature", "0.0D AS precipitation", "0.0D AS snow_depth")
+    graph = kg.build(toy["stations"], toy["services"], stops, toy["edges"], faults)
+    index = kg.index_stations(graph, faults, "lookup_test", str(tmp_path / "index"), buckets=4)
+    try:
+        found = kg.lookup(spark, index, "IT_AAA", "2024-02-16")
+        row = found.first()
+        assert (row["recent_faults"], row["n_neighbours"], row["sample_neighbours"], row["degree"]) == (3, 1, ["IT_BBB"], 4)
+        assert kg.lookup(spark, index, "IT_AAA", "2024-02-14").first()["recent_faults"] == 2
+        assert kg.lookup(spark, index, "IT_BBB", "2024-02-16").first()["recent_faults"] == 0
+        assert kg.lookup(spark, index, "nowhere", "2024-02-16").collect() == []
+        # the planner may read a pruned bucket as plain files; then its plan does not say which
+        spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")
+        found = kg.lookup(spark, index, "IT_AAA", "2024-02-16")
+        plan = found._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert plan.count("SelectedBucketsCount: 1 out of 4") == 3
+        assert "hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
+        for name in (index.stations, index.neighbours, index.faults):
+            spark.sql(f"DROP TABLE {name}")
