@@ -123,19 +123,23 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, length: int = LENGTH, end_
 
     The counts of lengths, at most `length` numbers, decide everything: the
     driver plans runs of equal pieces (`plan`), and pieces look up their run by
-    their rank within their length. The ranks come from counts per (length,
-    part of about NUMBERED_TOGETHER pieces), so a length that a third of all
-    pieces have is not gathered anywhere. Runs are at most about the square of
-    the number of lengths, whatever the input, and go to the tasks as one
-    broadcast table. Repeated rows and ids are packed each by itself; an empty
-    table gives an empty result.
+    their rank within their length. A length is cut into parts of about
+    NUMBERED_TOGETHER pieces, and ranks come from the counts of the parts, so a
+    length that a third of all pieces have is not gathered anywhere, and the
+    table of parts has a row per NUMBERED_TOGETHER pieces and one per length.
+    Runs are at most about the square of the number of lengths, whatever the
+    input, and go to the tasks as one broadcast table. Repeated rows and ids are
+    packed each by itself, and pieces without an id fall into parts at random;
+    an empty table gives an empty result.
     """
-    cut = stored(pieces(docs, tokenizer, length, end_id, doc_id, text, keep_ids), "pieces")
-    total = cut.agg(F.count("*")).scalar()
-    n_parts = F.greatest(F.lit(1), F.ceil(total / NUMBERED_TOGETHER)).cast("long")
-    rows = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), n_parts))
+    # what a piece's part hangs on is written with it
+    chance = F.when(F.col("doc_id").isNull(), (F.rand() * (1 << 31)).cast("long")).otherwise(F.xxhash64("doc_id", "piece", "ids_crc32"))
+    cut = stored(pieces(docs, tokenizer, length, end_id, doc_id, text, keep_ids).withColumn("_chance", chance), "pieces")
+    sizes = stored(cut.groupBy("length").agg(F.count("*").alias("n")), "sizes")
+    counts = {r["length"]: r["n"] for r in sizes.collect()}
+    n_parts = sizes.select("length", F.ceil(F.col("n") / NUMBERED_TOGETHER).cast("long").alias("_parts"))
+    rows = cut.join(F.broadcast(n_parts), "length").withColumn("_part", F.pmod("_chance", "_parts")).drop("_parts", "_chance")
     parts = stored(rows.groupBy("length", "_part").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = parts.select("length", "_part", (F.sum("n").over(before) - F.col("n")).alias("_ahead"))
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_part").orderBy("doc_id", "piece"))).join(ahead, ["length", "_part"])
