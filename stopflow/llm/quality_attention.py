@@ -16,6 +16,8 @@ from stopflow.llm.arrays import slices, words
 PASSAGE = 64
 # The fit uses the labels of this many documents at most, those with the smallest hash of their id.
 SAMPLE = 6_000
+# Passages of a document that the model learns from.
+BAG = 32
 HIDDEN, GATE = 24, 12
 EPOCHS, BATCH, RATE, DECAY = 25, 128, 4e-3, 1e-4
 ACCEPT = 0.3
@@ -152,21 +154,25 @@ def train(x: np.ndarray, begins: np.ndarray, y: np.ndarray, seed: int = 7) -> Mo
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Model | float:
-    """Model from the labelled documents; their number is bounded by `sample`.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> Model | float:
+    """Model from the labelled documents: at most `sample` of them, and of each at
+    most `bag` passages, spread evenly over its text. Both bound what the driver
+    holds, with FEATURES numbers a passage; scoring knows no such bounds.
 
     `labels` has (doc_id, quality 0/1); null labels and ids are left out, and of
-    several labels of an id the largest counts. Without both kinds of labels
+    several labels of an id the largest counts. Of several rows of an id one
+    text is learnt from, the first by its hash. Without both kinds of labels
     the result is their share of 1 (0.5 without any): a constant score.
     """
     marked = labels.where(F.col(quality).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(quality).cast("double").alias("y"))
     some = docs.select(F.col(doc_id).alias("_id")).distinct().join(marked, "_id").orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(some), "_id")
+    rows = rows.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, places in slices(batches):
             x, begins = passages(raw, places)
-            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("y"), pa.array([x[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:])], pa.binary())], ["id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.int64()), batch.column("y"), pa.array([x[some_of(a, b, bag)].tobytes() for a, b in zip(begins[:-1], begins[1:])], pa.binary())], ["id", "y", "x"])
 
     found = rows.mapInArrow(encode, "id long, y double, x binary").toPandas().sort_values("id", kind="stable")
     y = found["y"].to_numpy(float)
@@ -176,9 +182,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str =
     return train(np.concatenate(bags).astype(float), np.concatenate(([0], np.cumsum([len(b) for b in bags]))), y)
 
 
+def some_of(first: int, end: int, most: int) -> np.ndarray:
+    """All numbers from first to end, or `most` of them at even distances."""
+    n = end - first
+    return np.arange(first, end) if n <= most else first + np.arange(most) * n // most
+
+
 def score(docs: DataFrame, model: Model | float, doc_id: str = "doc_id", text: str = "text", accept: float = ACCEPT, keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` (default: the id), score and predicted (1 from `accept` on)
-    of every row. A null or empty text is one passage without words."""
+    of every row. A null or empty text is one passage without words; all
+    passages of a text of any length count. Rows with equal ids are scored each
+    by its own text."""
     keep = [doc_id] if keep is None else keep
     if {"score", "predicted"} & set(keep):
         raise ValueError("columns score and predicted are made here")

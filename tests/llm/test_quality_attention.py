@@ -88,3 +88,74 @@ def test_odd_rows(spark):
     assert Q.score(docs.limit(0), 0.5).collect() == []
     with pytest.raises(ValueError):
         Q.score(docs.withColumnRenamed("y", "score"), 0.5, keep=["score"])
+
+
+def plain_passages(text):
+    """Features of a text's passages, byte by byte and word by word."""
+    raw = (text or "").encode()
+    gap = {32, *range(9, 14)}
+    words, i = [], 0
+    while i < len(raw):
+        if raw[i] in gap:
+            i += 1
+            continue
+        j = i
+        while j < len(raw) and raw[j] not in gap:
+            j += 1
+        words.append((i, j, bytes(b + 32 if 65 <= b <= 90 else b for b in raw[i:j])))
+        i = j
+    out = []
+    for k in range(0, max(1, len(words)), Q.PASSAGE):
+        part = words[k:k + Q.PASSAGE]
+        x = np.zeros(Q.FEATURES)
+        if part:
+            end = words[k + Q.PASSAGE][0] if k + Q.PASSAGE < len(words) else len(raw)
+            kinds = [int(Q._CLASS[b]) for b in raw[part[0][0]:end]]
+            pairs = np.zeros(Q._N * Q._N)
+            for a, b in zip(kinds, kinds[1:]):
+                pairs[a * Q._N + b] += 1
+            x[:Q._N * Q._N] = np.sqrt(pairs / max(1, pairs.sum()))
+            seen, n = [w for _, _, w in part], len(part)
+            x[-5] = (n - len(set(seen))) / n
+            x[-4] = sum(a == b for a, b in zip(seen, seen[1:])) / n
+            x[-3] = sum(k + i >= Q.PASSAGE and words[k + i - Q.PASSAGE][2] == w for i, w in enumerate(seen)) / n
+            x[-2] = sum(j - i for i, j, _ in part) / n / 10
+            x[-1] = np.log1p(n) / 5
+        out.append(x)
+    return out
+
+
+def plain_score(m, bag):
+    """Gated attention over a bag, one passage after another."""
+    states, gates = [], []
+    for x in bag:
+        h = [max(0.0, sum((x[i] - m.mean[i]) / m.scale[i] * m.w[i, j] for i in range(Q.FEATURES)) + m.b[j]) for j in range(Q.HIDDEN)]
+        e = 0.0
+        for k in range(Q.GATE):
+            t = np.tanh(sum(h[j] * m.v[j, k] for j in range(Q.HIDDEN)))
+            g = 1 / (1 + np.exp(-sum(h[j] * m.u[j, k] for j in range(Q.HIDDEN))))
+            e += t * g * m.a[k]
+        states.append(h)
+        gates.append(np.exp(e))
+    z = [sum(g * h[j] for g, h in zip(gates, states)) / sum(gates) for j in range(Q.HIDDEN)]
+    return 1 / (1 + np.exp(-(sum(z[j] * m.c[j] for j in range(Q.HIDDEN)) + m.d[0])))
+
+
+def test_against_brute_force(spark):
+    rows = corpus(30, seed=8)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(90, None), (91, ""), (92, "é Ü x\ty\n\nz"), (92, "again")], "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int"))
+    got = sorted((r["doc_id"], round(r["score"], 5)) for r in Q.score(docs, model).collect())
+    want = sorted((r["doc_id"], round(float(plain_score(model, plain_passages(r["text"]))), 5)) for r in docs.collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=2e-4)
+
+
+def test_bags_are_bounded(spark, monkeypatch):
+    """Long texts and repeated rows of an id give a bounded number of passages."""
+    assert Q.some_of(5, 9, 32).tolist() == [5, 6, 7, 8] and Q.some_of(0, 100, 4).tolist() == [0, 25, 50, 75]
+    seen = []
+    monkeypatch.setattr(Q, "train", lambda x, begins, y: seen.append((len(x), len(y))) or 0.5)
+    docs = spark.createDataFrame([(1, "word " * 64 * 50), (1, "word " * 64 * 50), (1, "other"), (2, "short text")], "doc_id long, text string")
+    Q.fit(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"), bag=8)
+    assert len(seen) == 1 and seen[0][1] == 2 and seen[0][0] <= 9
