@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stopflow.llm.frames import stored
 from stopflow.llm.tokens import batches_of_text
 
 # Classes that byte trigrams are hashed into.
@@ -21,8 +22,10 @@ SMOOTHING = 0.1
 OVERLAP = 3.0
 ROUNDS = 40
 UNKNOWN = "und"
+# Languages that a model may have; their likelihoods are held by the driver and every task.
+MOST_LANGUAGES = 400
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)
@@ -49,7 +52,9 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     """Trigram likelihoods of every language that occurs, counted over all rows
     whose text and language are not null. Each task adds up its rows before the
-    shuffle; the model has CLASSES numbers per language, whatever the input."""
+    shuffle; the model has CLASSES numbers per language, whatever the input. More
+    than MOST_LANGUAGES languages are an error. Repeated rows count each; a text
+    of any length is one row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -64,7 +69,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "class", "n"])
 
     known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = known.mapInArrow(count, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")).toPandas()
+    counts = stored(known.mapInArrow(count, "lang string, class int, n long").groupBy("lang", "class").agg(F.sum("n").alias("n")), "trigrams")
+    if counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    rows = counts.toPandas()
     languages = sorted(set(rows["lang"]))
     n = np.zeros((CLASSES, len(languages)))
     n[rows["class"].to_numpy(int), [languages.index(x) for x in rows["lang"]]] = rows["n"]
@@ -111,8 +119,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """Columns `keep`, lang_pred, score (its proportion), languages, proportions.
 
     A text that is null or has no letter, and every text when the model knows no
-    language, is `und` with score 0 and empty lists. Ties go to the language
-    that comes first by name. Rows are judged each by itself.
+    language, is `und` with score 0 and empty lists; letters are characters of
+    Unicode category L, so numbers written as one character are none. Ties go to
+    the language that comes first by name. Rows are judged each by itself, texts
+    as a whole, however long.
     """
     clash = {"lang_pred", "score", "languages", "proportions", "text"} & set(keep)
     if clash:
