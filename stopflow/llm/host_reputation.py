@@ -33,19 +33,26 @@ Z = 1.645
 TOP_WEIGHT = 2.0
 MIN_WEIGHT, MAX_WEIGHT = 1.0, 1000.0
 
+# Suffixes of two labels under which anybody registers a domain; others have one.
+SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr", "co.in", "co.za", "com.br", "com.cn", "com.mx", "com.tr")
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
-    """Adds host, path, domain (last two labels) and suffix (last label). A url
-    that is null or has no `://` has an empty host and path."""
+    """Adds host, path, domain and suffix. The suffix is the last label, or two that
+    are one of SUFFIXES, the domain has one label more; a port belongs to
+    neither. A url that is null or has no `://` has an empty host and path."""
     u = F.coalesce(F.col(url), F.lit(""))
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(F.lit(""))
     out = pages.drop("host", "path", "domain", "suffix", "_u_rest").withColumn("_u_rest", rest)
     out = out.withColumn("host", F.translate(F.regexp_extract("_u_rest", r"^([^/?#]*)", 1), _UPPER, _LOWER))
     out = out.withColumn("path", F.regexp_extract("_u_rest", r"^[^/?#]*([^?#]*)", 1)).drop("_u_rest")
-    return out.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    name = F.regexp_replace("host", r":[0-9]*$", "")
+    two = F.substring_index(name, ".", -2)
+    wide = two.isin(*SUFFIXES)
+    return out.withColumn("domain", F.when(wide, F.substring_index(name, ".", -3)).otherwise(two)).withColumn("suffix", F.when(wide, two).otherwise(F.substring_index(name, ".", -1)))
 
 
 def rule_for(rules: Sequence[UrlRule], what: str) -> Column:

@@ -48,6 +48,7 @@ def bad_pages(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), F.when(F.col("quality").isNull() & F.col("toxic").isNull(), None).otherwise(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
 
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in host_reputation.SUFFIXES)
 _FIT = """SELECT CASE WHEN rho <= 1 / 1001.0::double THEN 1000.0::double WHEN rho >= 0.5 THEN 1.0::double ELSE (1 - rho) / rho END FROM (
     SELECT coalesce(CASE WHEN sum((n - 1) * m * (1 - m)) > 0 THEN (sum(n * (bad::double / n - m) * (bad::double / n - m)) - sum(m * (1 - m))) / sum((n - 1) * m * (1 - m)) ELSE 0.0 END, 0.0) AS rho FROM {} WHERE n > 0)"""
 
@@ -56,8 +57,10 @@ _FIT = """SELECT CASE WHEN rho <= 1 / 1001.0::double THEN 1000.0::double WHEN rh
 WITH u AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 l AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::double AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-h AS (SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, list_extract(string_split(host, '.'), -1) AS suffix, sum(coalesce(n, 0))::double AS n, sum(coalesce(bad, 0)) AS bad
-      FROM p LEFT JOIN l ON l.doc_id = p.page_id GROUP BY ALL),
+x AS (SELECT DISTINCT host, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS labels FROM p),
+y AS (SELECT *, CASE WHEN array_to_string(list_slice(labels, -2, -1), '.') IN ({_SUFFIXES}) THEN 2 ELSE 1 END AS k FROM x),
+h AS (SELECT host, array_to_string(list_slice(labels, -1 - k, -1), '.') AS domain, array_to_string(list_slice(labels, -k, -1), '.') AS suffix, sum(coalesce(n, 0))::double AS n, sum(coalesce(bad, 0)) AS bad
+      FROM p JOIN y USING (host) LEFT JOIN l ON l.doc_id = p.page_id GROUP BY ALL),
 top AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM h),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM h, top GROUP BY suffix),
 s AS (SELECT suffix, (m * w + bad) / (w + n) AS m FROM s0, ({_FIT.format("s0")}) f(w)),

@@ -35,3 +35,16 @@ def test_repeated_rows_and_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.com/"), (1, "http://a.com/"), (1, "http://b.com/")], "page_id long, url string")
     out = H.judge(pages, spark.createDataFrame([(1, 1), (1, 0)], "page_id long, bad int")).collect()
     assert len(out) == 3 and {r["n_labelled"] for r in out if r["host"] == "a.com"} == {4}
+
+
+def test_domains_below_suffixes_of_two_labels(spark):
+    urls = ["http://a.one.co.uk/", "http://www.two.co.uk:8080/x", "http://co.uk/", "http://x.com:80/", "http://sub.x.com/", "http://uk/", "http://h:/"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["domain"], r["suffix"]) for r in H.with_parts(pages).collect()}
+    assert got == {0: ("a.one.co.uk", "one.co.uk", "co.uk"), 1: ("www.two.co.uk:8080", "two.co.uk", "co.uk"), 2: ("co.uk", "co.uk", "co.uk"), 3: ("x.com:80", "x.com", "com"),
+                   4: ("sub.x.com", "x.com", "com"), 5: ("uk", "uk", "uk"), 6: ("h:", "h", "h")}
+    # owners below one suffix are told apart
+    many = spark.createDataFrame([(i, f"http://bad.one.co.uk/{i}") for i in range(60)] + [(100 + i, f"http://good.two.co.uk/{i}") for i in range(60)] + [(200, "http://new.one.co.uk/"), (201, "http://new.two.co.uk/")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(60)], "page_id long, bad int")
+    judged = {r["page_id"]: r for r in H.judge(many, outcomes).collect()}
+    assert judged[200]["bad_mean"] > 0.5 > judged[201]["bad_mean"]
