@@ -73,3 +73,20 @@ def test_empty_documents(spark):
     for _, stage in P.STAGES:
         docs = stored(stage(spark, docs, SF_DIR), "stage")
         assert docs.count() == 0
+
+
+def test_clashing_columns_come_out_as_they_went_in(spark):
+    """Columns that operators make themselves, and nulls, empty texts and repeated rows."""
+    if not os.path.isdir(SF_DIR):
+        pytest.skip("test tables not present")
+    names = ("score", "predicted", "kept", "failed_rules", "_q_n_words", "slot", "place", "scheduled", "component_id", "count", "_row", "n")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", "s", 0), (-1, None, None, None, None), (-1, None, None, None, None)], docs.schema)
+    docs = docs.union(odd).selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in names])
+    for name, stage in P.STAGES[:-1]:
+        after = stored(stage(spark, docs, SF_DIR), "stage")
+        assert after.columns == docs.columns, name
+        assert Counter(after.collect()) <= Counter(docs.collect()), name
+        docs = after
+    packed = stored(P.STAGES[-1][1](spark, docs, SF_DIR), "stage")
+    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
