@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import sys
@@ -146,10 +148,23 @@ def encoder(name: str) -> Encoder:
     to task lies in `sys`."""
     held = sys.__dict__.setdefault("_stopflow_encoders", {})
     if name not in held:
+        trim()
         held[name] = Encoder(name)
     return held[name]
 
 
 def forget() -> None:
     """Gives the memory of remembered words back, for operators without tokens."""
-    sys.__dict__.pop("_stopflow_encoders", None)
+    if sys.__dict__.pop("_stopflow_encoders", None) is not None:
+        trim()
+
+
+def trim() -> None:
+    """Gives memory that an earlier task of this worker has freed back to the
+    system: a worker goes on from operator to operator."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not this C library
