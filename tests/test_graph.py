@@ -106,3 +106,19 @@ def test_lookup_reads_one_bucket_of_each_table(spark, toy, tmp_path):
         spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
         for name in (index.stations, index.neighbours, index.faults):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_functions_go_to_workers_by_value(tmp_path):
+    """A worker has no copy of the package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from stopflow.operators import calibration
+
+    for k, thing in enumerate((G.Network, calibration.pool, calibration._pooled)):
+        (tmp_path / f"{k}").write_bytes(cloudpickle.dumps(thing))
+        code = f"from pyspark import cloudpickle; print(cloudpickle.loads(open({str(tmp_path / str(k))!r}, 'rb').read()).__name__)"
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True, env={"PATH": "/usr/bin:/bin"})
+        assert out.stdout.strip() == thing.__name__
