@@ -10,6 +10,7 @@ from stopflow.operators import guards
 from stopflow.operators import metrics as M
 from stopflow.plans import causes, model_tables, training
 from stopflow.plans.catalog import models as Q
+from stopflow.session import fit_parts
 
 COLUMNS = ["a", "b", "c"]
 
@@ -166,3 +167,26 @@ def test_columns_of_the_registered_models(spark):
     a, b = Q.columns_for(df, "A"), Q.columns_for(df, "B")
     assert "betweenness_centrality" in a and "delay_min" not in b and set(b) - set(a) == {"prev_stop_actual_delay"}
     assert Q.cause_columns(df) == ["betweenness_centrality", "prev_stop_actual_delay", "delay_min", "delay_log"]
+
+
+def test_fits_deal_their_rows_by_number_and_score_without_python(spark, labelled, monkeypatch):
+    """Many shuffle partitions and a crowded class do not shape the rows of a fit;
+    one-against-rest is a projection with the margins of its binary models."""
+    seen = []
+
+    class Spy(causes.LogisticRegression):
+        def fit(self, dataset, params=None):
+            seen.append(dataset.rdd.getNumPartitions())
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(causes, "LogisticRegression", Spy)
+    models = causes.fit_models(labelled.repartition(60, "f0"), ["f0", "f1", "f2"], rounds=2, depth=2, names=("logreg", "gbt"))
+    causes.fit_stack(models, labelled.repartition(60, "f0"), rounds=5)
+    assert seen == [1, 1]
+    assert [fit_parts(n) for n in (0, 25_001, 1_200_000, 12_000_000, 12_000_001)] == [1, 2, 48, 48, 49]
+    test = labelled.where("split = 'test'")
+    scored = models.score(test, "gbt")
+    assert "EvalPython" not in scored._jdf.queryExecution().toString()
+    margins = [[r["rawPrediction"][1] for r in m.transform(models.prepare(test)).orderBy("f0", "f1").collect()] for m in models.models["gbt"].models]
+    want = [models.classes[max(range(3), key=lambda k: (row[k], -k))] for row in zip(*margins)]
+    assert [r["pred_cause_group"] for r in scored.orderBy("f0", "f1").collect()] == want
