@@ -7,7 +7,8 @@ one. All but the last return the columns of the documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stopflow.llm import best_fit, jaccard_join, pfair_mix, quality_attention, quality_rules
@@ -85,20 +86,44 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of the weight; what such a source has beyond that follows at the end.
 
     A null source is a source; repeated rows and null ids go each by itself,
-    texts are never looked at. Columns of any name come out as they went in.
+    texts are never looked at. Columns of any name come out as they went in; the
+    rows lie in the order of the mixture, which is what packing goes by.
     """
     rows, names = aside(docs)
     mixed = pfair_mix.mix(rows, source=names["source"], doc_id=names["doc_id"])
     return back(mixed.repartitionByRange(F.col("slot")).sortWithinPartitions("slot", "place"), names)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """The documents with `_at`, one number a row in the order in which they lie: by
+    file name and row. Rows that come from no file are written as they come."""
+    try:
+        rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return stored(docs.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    # one row per file
+    files = docs.select(F.col("_metadata.file_path").alias("_file")).distinct().withColumn("_no", F.row_number().over(Window.orderBy("_file")))
+    at = F.shiftleft(F.col("_no").cast("long"), 40) + F.col("_row")
+    return rows.join(F.broadcast(files), "_file").withColumn("_at", at).select(*docs.columns, "_at")
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in the training sequences.
 
+    The order in which the documents lie, that of the mixture, is the order of the
+    sequences: `first_place` is the least place of a sequence's documents, and the
+    rows are sorted by it.
+
     A null or empty text is the end id alone; rows with equal or null ids are
     packed each by itself. Other columns are not looked at.
     """
-    return best_fit.pack(docs)
+    rows = placed(docs.select("doc_id", "text"))
+    packed = best_fit.pack(rows, doc_id="_at").withColumnRenamed("doc_id", "_at")
+    # a sequence has no more pieces than ids
+    packed = packed.withColumn("first_place", F.min("_at").over(Window.partitionBy("sequence_id")))
+    named = packed.join(rows.select("_at", F.col("doc_id").cast("long").alias("doc_id")), "_at")
+    out = named.select("doc_id", *[c for c in packed.columns if c not in ("_at", "first_place")], "first_place")
+    return out.repartitionByRange("first_place", "sequence_id").sortWithinPartitions("first_place", "sequence_id", "offset")
 
 
 STAGES = [("quality classifier", classify), ("quality rules", rules), ("n-gram Jaccard join", deduplicate), ("mixing sources", mix), ("best-fit packing", pack)]

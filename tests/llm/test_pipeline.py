@@ -90,3 +90,17 @@ def test_clashing_columns_come_out_as_they_went_in(spark):
         docs = after
     packed = stored(P.STAGES[-1][1](spark, docs, SF_DIR), "stage")
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_the_mixture_orders_the_sequences(spark):
+    """Texts of half a sequence: two by two, in the order in which the mixture wrote them."""
+    text = " ".join(["word"] * 1500)
+    docs = stored(spark.range(400).selectExpr("id AS doc_id", f"'{text}' AS text", "if(id < 240, 'hot', concat('s', id % 4)) AS source"), "docs")
+    mixed = stored(P.mix(spark, docs, SF_DIR), "mixed")
+    want = [r["doc_id"] for r in P.placed(mixed).orderBy("_at").collect()]
+    by_slot = [r["doc_id"] for r in pfair_mix.mix(docs).orderBy("slot", "place").collect()]
+    assert want == by_slot != sorted(want)
+    packed = P.pack(spark, mixed, SF_DIR).collect()
+    heads = {r["sequence_id"]: min(want.index(x["doc_id"]) for x in packed if x["sequence_id"] == r["sequence_id"]) for r in packed}
+    order = [r["sequence_id"] for r in sorted(packed, key=lambda r: r["first_place"])]
+    assert [heads[s] for s in order] == sorted(heads.values()) and len(packed) == 400
