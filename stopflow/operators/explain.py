@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from stopflow.operators.splits import sample_per_group
 
+# Entries (row x feature) that one task sorts for waterfalls.
+PART_ENTRIES = 500_000
+
 
 def linear_attributions(df: DataFrame, ids: Sequence[str], weights: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
     """Exact contributions w * (x - mean(x)) of a linear score, in long form.
@@ -57,7 +60,10 @@ def group_pivot(top: DataFrame, group: str, values: Sequence[str], n: int = 12)
 
 def waterfall(attributions: DataFrame, row: Sequence[str], base: DataFrame, n: int = 12) -> DataFrame:
     """Per row: its n largest contributions, one 'others' entry, and the running
-    score before and after each."""
+    score before and after each. Entries are counted first and dealt by row id into
+    parts of about PART_ENTRIES, so that a task's sorts do not grow with the table."""
+    n_parts = max(1, -(-attributions.count() // PART_ENTRIES))
+    attributions = attributions.repartition(n_parts, *row)
     ranked = attributions.withColumn("step", F.row_number().over(
         Window.partitionBy(*row).orderBy(F.desc(F.abs("attribution")), "feature")))
     merged = ranked.groupBy(*row, F.least("step", F.lit(n + 1)).alias("step")).agg(
