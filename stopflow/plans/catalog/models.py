@@ -21,7 +21,7 @@ from stopflow.plans import causes, model_tables, training
 from stopflow.plans.adapter import EVENT_SPLITS, Tables
 from stopflow.plans.catalog.features import feature_store
 from stopflow.plans.registry import query
-from stopflow.session import checkpointed, scratch_path
+from stopflow.session import checkpointed, scratch_path, written
 
 
 # Numbers of the test tables that no feed has.
@@ -29,8 +29,8 @@ HELPERS = ("seq", "k", "user_id", "delay_int")
 
 
 def store(t: Tables):
-    """Feature store with splits, written once: several fits read it."""
-    return checkpointed(with_split(feature_store(t), splits=EVENT_SPLITS))
+    """Feature store with splits, written once: several fits read it, each its columns only."""
+    return written(with_split(feature_store(t), splits=EVENT_SPLITS), "store")
 
 
 def columns_for(data, scenario: str) -> list[str]:
@@ -45,7 +45,8 @@ def _summary(model: training.StopModel, data):
 
 def _summaries(data, names: Sequence[str]):
     """One row per model and scenario."""
-    rows = [_summary(training.fit(name, data, s, columns_for(data, s)), data) for name in names for s in "AB"]
+    facts = training.TrainFacts.of(data, [c for s in "AB" for c in columns_for(data, s)])
+    rows = [_summary(training.fit(name, data, s, columns_for(data, s), facts), data) for name in names for s in "AB"]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -169,7 +170,7 @@ def x1_paths(t: Tables):
 def m3(t: Tables):
     data = store(t).drop(*HELPERS)
     stations = t.stations.join(betweenness(t.edges, t.stations), "station_id")
-    rows = [_summary(*training.fit_graph_model(data, stations, t.edges, s)) for s in "AB"]
+    rows = [_summary(*fitted) for fitted in training.fit_graph_models(data, stations, t.edges, "AB")]
     return reduce(DataFrame.unionByName, rows)
 
 
@@ -186,7 +187,7 @@ def cause_columns(data) -> list[str]:
 
 def cause_data(t: Tables):
     df = with_split(feature_store(t), splits=EVENT_SPLITS)
-    return checkpointed(causes.label_causes(cause_features(df), t.faults, country=None))
+    return written(causes.label_causes(cause_features(df), t.faults, country=None), "cause-data")
 
 
 @query("m7_cause_models")
@@ -209,8 +210,8 @@ def m8(t: Tables):
 @query("m10_transfer_scoring")
 def m10(t: Tables):
     """Fit on NL causes, score disrupted stops of the other countries."""
-    data = checkpointed(cause_features(with_split(feature_store(t), splits=EVENT_SPLITS)))
-    labelled = checkpointed(causes.label_causes(data, t.faults, country="NL"))
+    data = written(cause_features(with_split(feature_store(t), splits=EVENT_SPLITS)), "stops")
+    labelled = written(causes.label_causes(data, t.faults, country="NL"), "cause-data")
     models = causes.fit_models(labelled, cause_columns(data))
     name = causes.pick_for_transfer(causes.benchmark(models, labelled))
     scored = models.score(data.where("y_stop = 1 AND country <> 'NL'"), name)
@@ -264,9 +265,10 @@ def e11_fit(t: Tables):
 @query("x1_permutation_importance")
 def x1_permutation(t: Tables):
     data = store(t)
+    facts = training.TrainFacts.of(data, [c for s in "AB" for c in columns_for(data, s)])
     parts = []
     for s in "AB":
-        model = training.fit("boost_shallow", data, s, columns_for(data, s))
+        model = training.fit("boost_shallow", data, s, columns_for(data, s), facts)
         parts.append(training.permutation_importance(model, data.where("split = 'test'"), ["seq"]).withColumn("scenario", F.lit(s)))
     return reduce(DataFrame.unionByName, parts).withColumn("drop", C.r6("drop"))
 
@@ -274,5 +276,6 @@ def x1_permutation(t: Tables):
 @query("x8_lag_ablation")
 def x8(t: Tables):
     data = store(t).drop(*HELPERS)
-    out = reduce(DataFrame.unionByName, [training.lag_ablation(data, s) for s in "AB"])
+    facts = training.shared_facts(data, "AB")
+    out = reduce(DataFrame.unionByName, [training.lag_ablation(data, s, facts=facts) for s in "AB"])
     return out.withColumn("pr_auc", C.r6("pr_auc"))

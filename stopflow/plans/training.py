@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import json
 import logging
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -23,7 +23,7 @@ from stopflow.operators import metrics as M
 from stopflow.operators.graph import neighbour_means
 from stopflow.operators.impute import train_medians
 from stopflow.operators.splits import positive_weight
-from stopflow.session import checkpointed
+from stopflow.session import fit_parts, written
 from stopflow.sources.sinks import save_predictions, scored
 
 log = logging.getLogger("stopflow")
@@ -87,29 +87,52 @@ class StopModel:
         return cls(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
-def _imputer(medians: DataFrame, columns: Sequence[str]) -> SQLTransformer:
-    """Train medians (one row, one number per column) as literals of a statement."""
-    row = medians.first()
-    filled = ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), {float(row[c])!r}D) AS `{c}__in`" for c in columns)
+@dataclass(frozen=True)
+class TrainFacts:
+    """What fits need to know of the train rows: taken once, it serves every model and
+    scenario over the same frame."""
+
+    medians: dict[str, float]
+    weight: float
+    n_rows: int
+
+    @classmethod
+    def of(cls, data: DataFrame, columns: Iterable[str]) -> TrainFacts:
+        train, columns = data.where("split = 'train'"), list(dict.fromkeys(columns))
+        return cls(train_medians(train, columns).first().asDict(), positive_weight(train, LABEL).first()[0], train.count())
+
+
+def shared_facts(data: DataFrame, scenarios: Iterable[str]) -> TrainFacts:
+    return TrainFacts.of(data, [c for s in scenarios for c in guards.model_columns(data, s)])
+
+
+def _imputer(medians: dict[str, float], columns: Sequence[str]) -> SQLTransformer:
+    """Train medians as literals of a statement."""
+    filled = ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), {float(medians[c])!r}D) AS `{c}__in`" for c in columns)
     return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
 
 
-def fit(name: str, data: DataFrame, scenario: str, columns: Sequence[str] | None = None, **settings) -> StopModel:
+def fit(name: str, data: DataFrame, scenario: str, columns: Sequence[str] | None = None, facts: TrainFacts | None = None, **settings) -> StopModel:
     """Fit on `split = 'train'`; `split = 'val'` stops boosting early and tunes
-    the threshold. Positives weigh max(1, negatives / positives)."""
+    the threshold. Positives weigh max(1, negatives / positives). The rows of the
+    fit are written once as vectors and dealt into parts by their number. `facts`
+    are those of the same frame, if they are known."""
     columns = list(columns or guards.model_columns(data, scenario))
     guards.check_no_leak(columns, scenario)
-    train = data.where("split = 'train'")
-    weight = positive_weight(train, LABEL).scalar()
-    rows = data.where("split IN ('train', 'val')").withColumns({
-        "_weight": F.when(F.col(LABEL) == 1, weight).otherwise(F.lit(1.0)),
-        "_is_val": F.col("split") == "val"})
-    steps = [_imputer(train_medians(train, columns), columns),
+    facts = facts or TrainFacts.of(data, columns)
+    steps = [_imputer(facts.medians, columns),
              VectorAssembler(inputCols=[f"{c}__in" for c in columns], outputCol="features")]
     maker = MODELS[name]
-    fitted_on = rows if maker is not _logistic and settings.get("early_stop", True) else rows.where("NOT _is_val")
-    classifier = maker(train.count(), settings)
-    pipeline = Pipeline(stages=[*steps, classifier]).fit(fitted_on)
+    classifier = maker(facts.n_rows, settings)
+    validated = maker is not _logistic and settings.get("early_stop", True)
+    rows = data.where("split IN ('train', 'val')" if validated else "split = 'train'").withColumns({
+        "_weight": F.when(F.col(LABEL) == 1, facts.weight).otherwise(F.lit(1.0)),
+        "_is_val": F.col("split") == "val"})
+    for step in steps:
+        rows = step.transform(rows)
+    rows = written(rows.select("features", LABEL, "_weight", "_is_val"), "fit-rows")
+    fitted = classifier.fit(rows.repartition(fit_parts(rows.count())))
+    pipeline = PipelineModel([*steps, fitted])
     model = StopModel(name, scenario, columns, pipeline, settings=settings)
     best = M.tune_threshold(model.score(data.where("split = 'val'")), [], "p_disrupted", LABEL).first()
     model.threshold = float(best["threshold"]) if best else 0.5
@@ -126,10 +149,17 @@ def with_station_context(data: DataFrame, stations: DataFrame, edges: DataFrame)
 
 def fit_graph_model(data: DataFrame, stations: DataFrame, edges: DataFrame, scenario: str, **settings) -> tuple[StopModel, DataFrame]:
     """Boosted trees over neighbour means of the stations and the other columns."""
-    joined = checkpointed(with_station_context(data, stations, edges)[0])
-    model = fit("boost_shallow", joined, scenario, **settings)
-    model.name = "graph"
-    return model, joined
+    return fit_graph_models(data, stations, edges, [scenario], **settings)[0]
+
+
+def fit_graph_models(data: DataFrame, stations: DataFrame, edges: DataFrame, scenarios: Sequence[str], **settings) -> list[tuple[StopModel, DataFrame]]:
+    """The graph models of several scenarios over one frame, written once."""
+    joined = written(with_station_context(data, stations, edges)[0], "graph-rows")
+    facts = shared_facts(joined, scenarios)
+    models = [fit("boost_shallow", joined, s, facts=facts, **settings) for s in scenarios]
+    for model in models:
+        model.name = "graph"
+    return [(m, joined) for m in models]
 
 
 def run_matrix(data: DataFrame, path: str, names: Sequence[str] = tuple(MODELS), scenarios: Sequence[str] = ("A", "B"), **settings) -> DataFrame:
@@ -137,10 +167,12 @@ def run_matrix(data: DataFrame, path: str, names: Sequence[str] = tuple(MODELS),
     `status` ('ok' or the error) and, where it worked, the metrics of the test
     split. Each run replaces its own part of the prediction table."""
     runs = []
+    facts = None
     for scenario in scenarios:
         for name in names:
             try:
-                model = fit(name, data, scenario, **settings)
+                facts = facts or shared_facts(data, scenarios)
+                model = fit(name, data, scenario, facts=facts, **settings)
                 rows = model.score(data.where("split IN ('val', 'test')"))
                 save_predictions(scored(rows.drop("y_pred"), "p_disrupted", model.threshold, name, scenario, extra=["split"]), path)
                 runs.append((name, scenario, "ok"))
@@ -204,14 +236,14 @@ def permutation_importance(model: StopModel, df: DataFrame, ids: Sequence[str],
     return auc.where("_moved <> ''").select(F.col("_moved").alias("feature"), (base - F.col("pr_auc")).alias("drop"))
 
 
-def lag_ablation(data: DataFrame, scenario: str, name: str = "boost_shallow", **settings) -> DataFrame:
+def lag_ablation(data: DataFrame, scenario: str, name: str = "boost_shallow", facts: TrainFacts | None = None, **settings) -> DataFrame:
     """PR-AUC with all columns and without history columns."""
     columns = guards.model_columns(data, scenario)
     without = [c for c in columns if not guards.is_history_column(c)]
     test = data.where("split = 'test'")
-    parts = None
+    parts, facts = None, facts or TrainFacts.of(data, columns)
     for variant, used in (("all", columns), ("without history", without)):
-        model = fit(name, data, scenario, used, **settings)
+        model = fit(name, data, scenario, used, facts, **settings)
         points = M.score_points(model.score(test), [], "p_disrupted", LABEL)
         one = M.pr_auc(points, []).select(
             F.lit(scenario).alias("scenario"), F.lit(variant).alias("variant"), F.lit(len(used)).alias("n_columns"), "pr_auc")

@@ -190,3 +190,35 @@ def test_fits_deal_their_rows_by_number_and_score_without_python(spark, labelled
     margins = [[r["rawPrediction"][1] for r in m.transform(models.prepare(test)).orderBy("f0", "f1").collect()] for m in models.models["gbt"].models]
     want = [models.classes[max(range(3), key=lambda k: (row[k], -k))] for row in zip(*margins)]
     assert [r["pred_cause_group"] for r in scored.orderBy("f0", "f1").collect()] == want
+
+
+def test_fits_share_what_they_know_of_the_train_rows(frame, tmp_path, monkeypatch):
+    """The medians are taken once for all fits over a frame, and a fit reads vectors
+    dealt by number; the models are those of single fits."""
+    calls, dealt = [], []
+    plain = training.train_medians
+    monkeypatch.setattr(training, "train_medians", lambda *a: calls.append(1) or plain(*a))
+    df = frame.select("seq", "y_stop", "split", "a", F.when(F.col("b") > 0, F.col("b")).alias("station_lag1_rate"), "c").repartition(40)
+    facts = training.shared_facts(df, "AB")
+    out = [r["pr_auc"] for s in "AB" for r in training.lag_ablation(df, s, name="logreg", facts=facts, rounds=20).collect()]
+    assert len(calls) == 1
+    assert [r["pr_auc"] for s in "AB" for r in training.lag_ablation(df, s, name="logreg", rounds=20).collect()] == pytest.approx(out)
+    assert len(calls) == 3
+    maker = training.MODELS["logreg"]
+    fitted = training.LogisticRegression.fit
+    monkeypatch.setattr(training.LogisticRegression, "fit", lambda self, rows: dealt.append((rows.columns, rows.rdd.getNumPartitions())) or fitted(self, rows))
+    training.fit("logreg", df, "A", facts=facts, rounds=5)
+    assert maker is training.MODELS["logreg"] and dealt == [(["features", "y_stop", "_weight", "_is_val"], 1)]
+
+
+def test_waterfalls_are_dealt_by_number(spark, monkeypatch):
+    """Small parts give the same waterfalls, repeated and null ids included."""
+    from stopflow.operators import explain as X
+
+    rows = spark.range(300).selectExpr("if(id % 50 = 0, null, id % 200) AS seq", "explode(array('a', 'b', 'c', 'd')) AS feature", "sin(id * ascii(feature)) AS attribution")
+    base = spark.sql("SELECT 0.5D AS b")
+    whole = sorted(map(str, X.waterfall(rows, ["seq"], base, 2).selectExpr("seq", "step", "feature", "round(attribution, 9)", "round(score_after, 9)").collect()))
+    monkeypatch.setattr(X, "PART_ENTRIES", 100)
+    small = X.waterfall(rows, ["seq"], base, 2)
+    assert small.select(F.spark_partition_id()).distinct().count() > 6
+    assert sorted(map(str, small.selectExpr("seq", "step", "feature", "round(attribution, 9)", "round(score_after, 9)").collect())) == whole
