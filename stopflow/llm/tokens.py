@@ -9,9 +9,11 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Words whose ids a worker remembers.
 REMEMBERED = 1_500_000
@@ -23,6 +25,12 @@ CHARS = 2_000_000
 # pre-tokens of the supported tokenizers.
 _SAFE = re.compile(r"[\w!-~]")
 
+_LETTERS = "".join(filter(str.isalpha, map(chr, range(256))))
+_BEYOND = re.compile(r"[^\0-\xff]")
+# What may stand behind a word; an apostrophe may belong to the word.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_PROBES = ["there", "There", "OTHER", "Straße", "señor", "Éclair", "Zürich", "français", "unknowable", "internationalisation", "xqzjkvw"]
+
 
 def tokenizer_path(name: str) -> str:
     """A file's path: as given, or by name among the installed public files."""
@@ -34,7 +42,7 @@ def tokenizer_path(name: str) -> str:
 
 
 class _Places(dict):
-    """Place of every piece in a list; a new piece gets the next one."""
+    """Place of every piece in the table of ids; a new piece gets the next one."""
 
     def __init__(self):
         super().__init__()
@@ -46,6 +54,40 @@ class _Places(dict):
         return place
 
 
+class _Known:
+    """Ids by place, all in one array."""
+
+    def __init__(self):
+        self.ids = np.empty(1 << 16, "<u4")
+        self.end = 0
+        self.starts = np.zeros(1 << 14, np.int64)
+        # negative where a piece has no ids of its own
+        self.sizes = np.zeros(1 << 14, np.int32)
+
+    def reserve(self, places: int) -> None:
+        more = places - len(self.sizes)
+        if more > 0:
+            more = max(more, len(self.sizes) // 2)
+            self.starts, self.sizes = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.sizes))
+
+    def put(self, places: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        if self.end + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.end], np.empty(max(len(ids), self.end // 2), "<u4")])
+        at = np.asarray(places, np.int64)
+        self.starts[at] = self.end + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.sizes[at] = sizes
+        self.ids[self.end:self.end + len(ids)] = ids
+        self.end += len(ids)
+
+    def get(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these places, joined, and where those of each one end."""
+        sizes = np.maximum(self.sizes[places], 0)
+        ends = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat(self.starts[places] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], ends
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
@@ -53,6 +95,11 @@ class Encoder:
     characters; the pieces are encoded once and remembered. Texts with anything
     else at a cut are encoded whole, so the ids are always those of the whole
     text. Strings of special tokens are ordinary text.
+
+    Most pieces are a word of Latin letters, with or without punctuation behind
+    it. Their ids are those of the folded word and of the punctuation, and a
+    word's come from the tokenizer's model alone, unless the whole tokenizer is
+    seen to say otherwise (`_letters`).
     """
 
     def __init__(self, name: str, remembered: int = REMEMBERED):
@@ -61,11 +108,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.remembered = remembered
-        # of pieces, with their line feed or without the space before them: ids, or
-        # None where a piece does not begin and end with safe characters
-        self.places = _Places()
-        self.known: list[bytes | None] = []
         # what stands between words encoded together: a line feed where the
         # tokenizer keeps it, else a control character that is a word of its own
         self.line_feed = self._ids(["\n"])[0]
@@ -73,6 +117,46 @@ class Encoder:
         self.mark_id = array("I", self._ids([self.mark])[0])
         if len(self.mark_id) != 1:
             raise ValueError(f"{name}: no single id to separate words with")
+        self.before = " " if self.line_feed else ""
+        self.letters = self._letters()
+        self._clear()
+
+    def _clear(self) -> None:
+        # of pieces, with their line feed or without the space before them, and of
+        # punctuation behind words, with a space, which no piece has
+        self.places = _Places()
+        self.known = _Known()
+        # of the first pieces of texts
+        self.firsts: dict[str, bytes] = {}
+
+    def _letters(self) -> tuple[dict[int, str], dict[int, str], str] | None:
+        """What letters are folded to, what the model is given for them and for a
+        space before a word. None where words and punctuation have other ids than
+        these would give."""
+        tok = self.tokenizer
+        if tok.pre_tokenizer is None or not all(t.special for t in tok.get_added_tokens_decoder().values()):
+            return None
+
+        def shown(text: str) -> str | None:
+            parts = tok.pre_tokenizer.pre_tokenize_str(text)
+            return parts[0][0] if len(parts) == 1 else None
+
+        fold = {ord(c): tok.normalizer.normalize_str(c) if tok.normalizer else c for c in _LETTERS}
+        given = {c: shown(f) for c, f in fold.items()}
+        spaced = shown(self.before + "a")
+        if not (all(f in set(_LETTERS) for f in fold.values()) and all(given.values()) and spaced and spaced.endswith(given[ord("a")])):
+            return None
+        space = spaced.removesuffix(given[ord("a")])
+        words = [*_LETTERS, *_PROBES, _LETTERS, _LETTERS[::-1]]
+        for w, plain, behind in zip(words, self._ids(words), self._ids([self.before + w for w in words])):
+            shapes = [w.translate(given), space + w.translate(given)]
+            if [plain, behind] != [array("I", (t.id for t in self.model.tokenize(s))).tobytes() for s in shapes]:
+                return None
+        marks = [a + b for a in _MARKS if a != "'" for b in ("", *_MARKS)]
+        at, ends = self._ids(["at", self.before + "at"]), self._ids(marks)
+        if self._ids([f"at{m} at" for m in marks]) != [at[0] + m + at[1] for m in ends]:
+            return None
+        return fold, given, space
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -92,42 +176,78 @@ class Encoder:
 
     def _learn(self) -> None:
         """Ids of the pieces that were met for the first time."""
-        at_line, words, places = [], [], [[], []]
-        first = len(self.known)
-        self.known += [None] * len(self.places.fresh)
-        for k, p in enumerate(self.places.fresh, first):
+        fresh, place = self.places.fresh, self.places.__getitem__
+        # words as they are, behind a line feed, and punctuation
+        words, places = ([], [], []), ([], [], [])
+        shapes, plain, built, parts, without = ([], []), ([], []), [], [], []
+        fold, given, space = self.letters or ({}, {}, "")
+        # the words and the punctuation of pieces join the list while it is read
+        for k, p in enumerate(fresh, len(self.places) - len(fresh)):
+            if p[:1] == " ":
+                places[2].append(k)
+                words[2].append(p[1:])
+                continue
             line = p[:1] == "\n"
             w = p[1:] if line else p
-            if w and _SAFE.match(w[0]) and _SAFE.match(w[-1]) and "\x01" not in w:
-                (at_line if line else words).append(w)
+            letters = w.rstrip(_MARKS)
+            marks = w[len(letters):]
+            if fold and letters.isalpha() and marks[:1] != "'" and (letters.isascii() or not _BEYOND.search(letters)):
+                letters = letters.translate(fold)
+                root = "\n" + letters if line and self.line_feed else letters
+                if root == p:
+                    plain[line].append(k)
+                    shapes[line].append(letters.translate(given) if line else space + letters.translate(given))
+                else:
+                    built.append(k)
+                    parts.append(place(root))
+                    parts.append(place(" " + marks))
+            elif w and _SAFE.match(w[0]) and _SAFE.match(w[-1]) and "\x01" not in w:
                 places[line].append(k)
-        for k, ids in zip(places[0], self._words(words, " " if self.line_feed else "")):
-            self.known[k] = ids
-        for k, ids in zip(places[1], self._words(at_line, "")):
-            self.known[k] = self.line_feed + ids
+                words[line].append(w)
+            else:
+                without.append(k)
         self.places.fresh = []
+        self.known.reserve(len(self.places))
+        self.known.sizes[without] = -1
+        tokenize = self.model.tokenize
+        for line, head in ((0, b""), (1, self.line_feed)):
+            self._put(plain[line], [head + array("I", [t.id for t in tokenize(s)]).tobytes() for s in shapes[line]])
+        for kind, before, head in ((0, self.before, b""), (1, "", self.line_feed), (2, "", b"")):
+            self._put(places[kind], [head + ids for ids in self._words(words[kind], before)])
+        # each from two places that are known by now
+        ids, ends = self.known.get(np.asarray(parts, np.int64))
+        self.known.put(built, np.diff(ends[1::2], prepend=0), ids)
+
+    def _put(self, places: list[int], ids: list[bytes]) -> None:
+        self.known.put(places, np.fromiter(map(len, ids), np.int64, len(ids)) // 4, np.frombuffer(b"".join(ids), "<u4"))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of a few texts; call it with batches of some megabytes."""
-        if len(self.known) > self.remembered:
-            self.places, self.known = _Places(), []
-        place = self.places.__getitem__
-        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        if len(self.places) + len(self.firsts) > self.remembered:
+            self._clear()
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        coded = cut.values.dictionary_encode()
+        pieces, codes, bounds = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy(), cut.offsets.to_numpy().astype(np.int64)
         # the first piece has no space before it
-        firsts = [p.pop(0) for p in cut]
-        found = [list(map(place, p)) for p in cut]
-        self._learn()
-        ids_at = self.known.__getitem__
-        heads, rest = [], []
-        for text, first, places in zip(texts, firsts, found):
-            try:
-                ids = b"".join(map(ids_at, places)) if first and _SAFE.match(first[0]) and _SAFE.match(first[-1]) else None
-            except TypeError:
-                # a piece without ids of its own
-                ids = None
-            heads.append(text if ids is None else first)
-            rest.append(ids or b"")
-        return [h + r for h, r in zip(self._ids(heads), rest)]
+        firsts = pieces[codes[bounds[:-1]]].tolist()
+        codes = np.delete(codes, bounds[:-1])
+        bounds -= np.arange(len(bounds))
+        used = np.zeros(len(pieces), bool)
+        used[codes] = True
+        places = np.zeros(len(pieces), np.int64)
+        places[used] = list(map(self.places.__getitem__, pieces[used].tolist()))
+        if self.places.fresh:
+            self._learn()
+        whole = np.zeros(len(texts), bool)
+        # pieces without ids of their own
+        whole[np.searchsorted(bounds, np.flatnonzero((self.known.sizes[places] < 0)[codes]), "right") - 1] = True
+        whole |= np.array([not (f and _SAFE.match(f[0]) and _SAFE.match(f[-1])) for f in firsts], bool)
+        new = list({f for f, w in zip(firsts, whole.tolist()) if not w and f not in self.firsts})
+        self.firsts.update(zip(new, self._ids(new)))
+        by_text = iter(self._ids(list(compress(texts, whole.tolist()))))
+        ids, ends = self.known.get(places[codes])
+        raw, at = ids.tobytes(), (4 * np.concatenate([[0], ends])[bounds]).tolist()
+        return [next(by_text) if w else self.firsts[f] + raw[s:e] for f, w, s, e in zip(firsts, whole.tolist(), at, at[1:])]
 
 
 def batches_of_text(batches: Iterator[pa.RecordBatch], column: str = "text", chars: int = CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
