@@ -23,7 +23,7 @@ from stopflow.operators import metrics as M
 from stopflow.operators.graph import neighbour_means
 from stopflow.operators.impute import train_medians
 from stopflow.operators.splits import positive_weight
-from stopflow.session import fit_parts, written
+from stopflow.session import fit_rows, written
 from stopflow.sources.sinks import save_predictions, scored
 
 log = logging.getLogger("stopflow")
@@ -115,7 +115,7 @@ def _imputer(medians: dict[str, float], columns: Sequence[str]) -> SQLTransforme
 def fit(name: str, data: DataFrame, scenario: str, columns: Sequence[str] | None = None, facts: TrainFacts | None = None, **settings) -> StopModel:
     """Fit on `split = 'train'`; `split = 'val'` stops boosting early and tunes
     the threshold. Positives weigh max(1, negatives / positives). The rows of the
-    fit are written once as vectors and dealt into parts by their number. `facts`
+    fit are written once as vectors, in parts by their number, and go with it. `facts`
     are those of the same frame, if they are known."""
     columns = list(columns or guards.model_columns(data, scenario))
     guards.check_no_leak(columns, scenario)
@@ -130,8 +130,8 @@ def fit(name: str, data: DataFrame, scenario: str, columns: Sequence[str] | None
         "_is_val": F.col("split") == "val"})
     for step in steps:
         rows = step.transform(rows)
-    rows = written(rows.select("features", LABEL, "_weight", "_is_val"), "fit-rows")
-    fitted = classifier.fit(rows.repartition(fit_parts(rows.count())))
+    with fit_rows(rows.select("features", LABEL, "_weight", "_is_val"), "fit-rows") as vectors:
+        fitted = classifier.fit(vectors)
     pipeline = PipelineModel([*steps, fitted])
     model = StopModel(name, scenario, columns, pipeline, settings=settings)
     best = M.tune_threshold(model.score(data.where("split = 'val'")), [], "p_disrupted", LABEL).first()

@@ -1,6 +1,9 @@
 """Training plans on small frames: fitted models against plain versions of themselves."""
 
 import math
+import time
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -10,7 +13,8 @@ from stopflow.operators import guards
 from stopflow.operators import metrics as M
 from stopflow.plans import causes, model_tables, training
 from stopflow.plans.catalog import models as Q
-from stopflow.session import fit_parts
+from stopflow import session
+from stopflow.session import fit_parts, shared_folder, written
 
 COLUMNS = ["a", "b", "c"]
 
@@ -222,3 +226,41 @@ def test_waterfalls_are_dealt_by_number(spark, monkeypatch):
     small = X.waterfall(rows, ["seq"], base, 2)
     assert small.select(F.spark_partition_id()).distinct().count() > 6
     assert sorted(map(str, small.selectExpr("seq", "step", "feature", "round(attribution, 9)", "round(score_after, 9)").collect())) == whole
+
+
+def test_a_fit_leaves_no_rows_behind_and_shuffles_few(spark, frame, monkeypatch):
+    """Many rows are read where they were written, for the same model; the written rows go
+    when the fit ends, well or not."""
+    folder = Path(urlparse(shared_folder(spark)).path)
+    tables = lambda: {p.name for p in folder.glob("fit-rows-*")}
+    before, seen = tables(), []
+    plain = training.LogisticRegression.fit
+    # the frame comes in eight parts, rows of a fit are in several of them
+    monkeypatch.setattr(training.LogisticRegression, "fit", lambda self, rows: seen.append(
+        (rows.rdd.getNumPartitions(), rows.count(), "Exchange" in rows._jdf.queryExecution().executedPlan().toString(), len(tables() - before))) or plain(self, rows))
+    fitted = lambda: training.fit("logreg", frame, "B", COLUMNS, rounds=200, tol=1e-12)
+    few = fitted()
+    monkeypatch.setattr(session, "FEW_ROWS", 100)
+    monkeypatch.setattr(session, "SOME_PARTS", 2)
+    monkeypatch.setattr(session, "MANY_ROWS", 300)
+    many = fitted()
+    assert seen == [(1, 900, True, 1), (3, 900, False, 1)] and tables() == before
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None
+    coefficients = lambda m: list(model_tables.classifier_of(m.pipeline).coefficients)
+    assert coefficients(many) == pytest.approx(coefficients(few), rel=1e-6)
+    monkeypatch.setattr(training.LogisticRegression, "fit", lambda self, rows: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        fitted()
+    assert tables() == before
+
+
+def test_a_written_frame_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in disk.localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+    before = files()
+    rows = spark.range(5000).withColumn("k", F.col("id") % 7).repartition(3, "id")
+    table = written(rows.join(rows.groupBy("k").count(), "k"), "shuffled")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and table.count() == 5000
